@@ -20,7 +20,8 @@ from waveledger.functions.arrays import let
 from waveledger.functions.scalars import col
 
 
-def _map_rows(windows: pa.Array, kernel: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+def _map_rows(windows: pa.Array, kernel: Callable[[np.ndarray], np.ndarray],
+              centre: bool = False) -> pa.Array:
     """Apply a matrix kernel to all rows of equal length at once; bad rows become null."""
     lengths = pc.fill_null(pc.list_value_length(windows), 0).to_numpy(zero_copy_only=False)
     lengths = lengths.astype(np.int64)
@@ -30,6 +31,8 @@ def _map_rows(windows: pa.Array, kernel: Callable[[np.ndarray], np.ndarray]) ->
     for n in np.unique(lengths[lengths > 0]):
         rows = np.flatnonzero(lengths == n)
         block = flat[starts[rows][:, None] + np.arange(n)]
+        if centre:
+            block = block - block.mean(axis=1, keepdims=True)
         good = np.isfinite(block).all(axis=1)
         if good.any():
             for r, out in zip(rows[good], kernel(block[good])):
@@ -78,11 +81,13 @@ def amplitude_spectrum(samples: Column | str) -> Column:
 
 
 def power_density(samples: Column | str, rate: float, segment: int | None = None,
-                  overlap: float = 0.5, detrend: bool = True, floor: float = 0.0) -> Column:
+                  overlap: float = 0.5, detrend: bool = True, floor: float = 0.0,
+                  centre: bool = False) -> Column:
     """Power density averaged over segments (periodic Hann, one-sided, at least `floor`).
 
     `segment=None` takes the whole window as a single segment; otherwise segments hold
-    min(segment, window) samples and advance by (1 - overlap) of that.
+    min(segment, window) samples and advance by (1 - overlap) of that.  `centre` removes
+    the mean of the whole window first, `detrend` that of each segment.
     """
 
     @arrow_udf("array<double>")
@@ -95,28 +100,29 @@ def power_density(samples: Column | str, rate: float, segment: int | None = None
                 frames = frames - frames.mean(axis=-1, keepdims=True)
             density = _density(frames, _periodic_hann(size)).mean(axis=1) / rate
             return np.maximum(density, floor)
-        return _map_rows(a, averaged)
+        return _map_rows(a, averaged, centre)
 
     return _opaque(kernel)(col(samples))
 
 
 def raw_magnitude(samples: Column | str) -> Column:
-    """Magnitude spectrum without a window."""
+    """Magnitude spectrum of the centred samples, without a window."""
 
     @arrow_udf("array<double>")
     def kernel(a: pa.Array) -> pa.Array:
-        return _map_rows(a, lambda block: np.abs(np.fft.rfft(block, axis=1)))
+        return _map_rows(a, lambda block: np.abs(np.fft.rfft(block, axis=1)), centre=True)
 
     return _opaque(kernel)(col(samples))
 
 
 def hann_magnitude(samples: Column | str) -> Column:
-    """Magnitude spectrum under a symmetric Hann window."""
+    """Magnitude spectrum of the centred samples under a symmetric Hann window."""
 
     @arrow_udf("array<double>")
     def kernel(a: pa.Array) -> pa.Array:
         return _map_rows(
-            a, lambda block: np.abs(np.fft.rfft(block * np.hanning(block.shape[1]), axis=1)))
+            a, lambda block: np.abs(np.fft.rfft(block * np.hanning(block.shape[1]), axis=1)),
+            centre=True)
 
     return _opaque(kernel)(col(samples))
 

@@ -13,15 +13,17 @@ from waveledger.operators import timefeat
 
 
 def welch_psd(windows: DataFrame, fs: float, samples: str = "samples", out: str = "psd",
-              segment: int = 16384, floor: float = fv.PSD_FLOOR) -> DataFrame:
+              segment: int = 16384, floor: float = fv.PSD_FLOOR, centre: bool = False) -> DataFrame:
     """Welch density: periodic Hann, half-overlapping segments, mean removed per segment."""
-    return windows.withColumn(out, spectra.power_density(samples, fs, segment, floor=floor))
+    return windows.withColumn(
+        out, spectra.power_density(samples, fs, segment, floor=floor, centre=centre))
 
 
 def periodogram(windows: DataFrame, fs: float, samples: str = "samples",
-                out: str = "psd") -> DataFrame:
+                out: str = "psd", centre: bool = False) -> DataFrame:
     """Density of the whole window: periodic Hann, no detrending."""
-    return windows.withColumn(out, spectra.power_density(samples, fs, None, 0.0, detrend=False))
+    return windows.withColumn(
+        out, spectra.power_density(samples, fs, None, 0.0, detrend=False, centre=centre))
 
 
 def amplitude_spectrum(windows: DataFrame, samples: str = "samples",
@@ -53,9 +55,8 @@ def dominant_frequencies(windows: DataFrame, fs: float, samples: str = "samples"
     n = F.size(samples).cast("double")
     step = F.lit(float(fs)) / n
     df = welch_psd(windows, fs, samples, "_psd")
-    df = df.withColumn("_ac", A.centred(samples, A.mean(samples)))
-    df = df.withColumns({"_fft": spectra.raw_magnitude("_ac"),
-                         "_hann": spectra.hann_magnitude("_ac")})
+    df = df.withColumns({"_fft": spectra.raw_magnitude(samples),
+                         "_hann": spectra.hann_magnitude(samples)})
     above = A.let(step, lambda hz: F.transform(
         "_hann", lambda a, k: F.when(k * hz >= min_hz, a).otherwise(0.0)))
     no_dc = F.slice("_fft", 2, F.greatest(F.size("_fft") - 1, F.lit(0)))
@@ -63,7 +64,7 @@ def dominant_frequencies(windows: DataFrame, fs: float, samples: str = "samples"
         "dom_psd": first_peak("_psd") * step,
         "dom_fft": (first_peak(no_dc) + 1) * step,
         "dom_hann": first_peak(above) * step,
-    }).drop("_psd", "_ac", "_fft", "_hann")
+    }).drop("_psd", "_fft", "_hann")
 
 
 def spectral_shape(df: DataFrame, spectrum: str, step_hz: Column) -> DataFrame:
@@ -110,28 +111,26 @@ def benchmark_features(windows: DataFrame, fs: float, samples: str = "samples",
                        bands: Sequence[tuple[float, float]] = fv.WIDE_BANDS) -> DataFrame:
     """The long feature row: time statistics, spectral shape and band shares."""
     df = timefeat.window_time_features(windows, samples)
-    df = df.withColumn("_ac", A.centred(samples, A.mean(samples)))
-    df = welch_psd(df, fs, "_ac", "_psd")
+    df = welch_psd(df, fs, samples, "_psd", centre=True)
     n = F.least(F.size(samples), F.lit(16384)).cast("double")
     step = F.lit(float(fs)) / n
     df = band_power(spectral_shape(df, "_psd", step), "_psd", step, bands)
     names = ["dom_freq", "spec_centroid", "spec_bandwidth", "spec_rolloff85",
              *[f"band_{lo:g}_{hi:g}" for lo, hi in bands]]
     valid = F.col("feat_valid") == 1.0
-    return df.withColumns({c: F.when(valid, finite_or_zero(c)) for c in names}).drop("_psd", "_ac")
+    return df.withColumns({c: F.when(valid, finite_or_zero(c)) for c in names}).drop("_psd")
 
 
 def short_features(windows: DataFrame, fs: float, samples: str = "samples",
                    bands: Sequence[tuple[float, float]] = fv.FINE_BANDS) -> DataFrame:
     """The short feature row: RMS, peak-to-peak, crest, kurtosis and periodogram band shares."""
     df = timefeat.short_window_features(windows, samples)
-    df = df.withColumn("_ac", A.centred(samples, A.mean(samples)))
-    df = periodogram(df, fs, "_ac", "_psd")
+    df = periodogram(df, fs, samples, "_psd", centre=True)
     step = F.lit(float(fs)) / F.size(samples).cast("double")
     df = band_power(df, "_psd", step, bands)
     ok = F.col("status") == "ok"
     names = [f"band_{lo:g}_{hi:g}" for lo, hi in bands]
-    return df.withColumns({c: F.when(ok, F.col(c)) for c in names}).drop("_psd", "_ac")
+    return df.withColumns({c: F.when(ok, F.col(c)) for c in names}).drop("_psd")
 
 
 def spectrogram_db(windows: DataFrame, keys: Sequence[str], fs: float, segment: int, hop: int,

@@ -128,3 +128,32 @@ def periodic_hann(n: int) -> str:
 
 def symmetric_hann(n: int) -> str:
     return f"0.5 - 0.5 * cos(2 * pi() * j / ({n} - 1))"
+
+# orders again, with many small operating points: a condition per customer. ----------
+
+FLEET = """fleet AS (
+  SELECT o_orderkey AS recording_id, concat('c', CAST(o_custkey AS VARCHAR)) AS condition,
+         concat('op', CAST(o_custkey % 4 AS VARCHAR)) AS operation,
+         CASE WHEN o_custkey % 2 = 0 THEN 'yes' ELSE 'no' END AS reversal,
+         CAST(year(o_orderdate) - 1990 AS BIGINT) AS speed_percent,
+         CASE o_orderstatus WHEN 'F' THEN 'sound_phone' WHEN 'O' THEN 'sound_vibrometer'
+              WHEN 'P' THEN 'current' END AS sensor,
+         printf('data/%s/%012d.bin', o_orderstatus, o_orderkey) AS path,
+         CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice / 1000 END AS duration_s
+  FROM orders)"""
+
+
+def fleet(spark: SparkSession, sf: str) -> DataFrame:
+    """orders as recordings of many conditions; every fifth duration is unknown."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("recording_id"), "o_custkey",
+                                          "o_orderdate", "o_orderstatus", "o_totalprice")
+    sensor = F.create_map(*[F.lit(x) for kv in SENSOR_OF_STATUS.items() for x in kv])
+    return o.select(
+        "recording_id", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("condition"),
+        F.concat(F.lit("op"), (F.col("o_custkey") % 4).cast("string")).alias("operation"),
+        F.when(F.col("o_custkey") % 2 == 0, "yes").otherwise("no").alias("reversal"),
+        (F.year("o_orderdate") - 1990).cast("bigint").alias("speed_percent"),
+        sensor[F.col("o_orderstatus")].alias("sensor"),
+        F.format_string("data/%s/%012d.bin", F.col("o_orderstatus"),
+                        F.col("recording_id")).alias("path"),
+        F.when(F.col("recording_id") % 5 != 0, F.col("o_totalprice") / 1000).alias("duration_s"))
