@@ -13,12 +13,14 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from waveledger.functions.arrays import let
 from waveledger.functions.scalars import col
 
+DOUBLES = T.ArrayType(T.DoubleType())
+
 
 def _map_rows(windows: pa.Array, kernel: Callable[[np.ndarray], np.ndarray],
               centre: bool = False) -> pa.Array:
@@ -64,7 +66,7 @@ def _frames(block: np.ndarray, size: int, hop: int) -> np.ndarray:
 def amplitude_spectrum(samples: Column | str) -> Column:
     """Single-sided peak amplitude with a symmetric Hann window and coherent gain 1."""
 
-    @arrow_udf("array<double>")
+    @arrow_udf(DOUBLES)
     def kernel(a: pa.Array) -> pa.Array:
         def one(block):
             n = block.shape[1]
@@ -90,7 +92,7 @@ def power_density(samples: Column | str, rate: float, segment: int | None = None
     the mean of the whole window first, `detrend` that of each segment.
     """
 
-    @arrow_udf("array<double>")
+    @arrow_udf(DOUBLES)
     def kernel(a: pa.Array) -> pa.Array:
         def averaged(block):
             n = block.shape[1]
@@ -108,7 +110,7 @@ def power_density(samples: Column | str, rate: float, segment: int | None = None
 def raw_magnitude(samples: Column | str) -> Column:
     """Magnitude spectrum of the centred samples, without a window."""
 
-    @arrow_udf("array<double>")
+    @arrow_udf(DOUBLES)
     def kernel(a: pa.Array) -> pa.Array:
         return _map_rows(a, lambda block: np.abs(np.fft.rfft(block, axis=1)), centre=True)
 
@@ -118,7 +120,7 @@ def raw_magnitude(samples: Column | str) -> Column:
 def hann_magnitude(samples: Column | str) -> Column:
     """Magnitude spectrum of the centred samples under a symmetric Hann window."""
 
-    @arrow_udf("array<double>")
+    @arrow_udf(DOUBLES)
     def kernel(a: pa.Array) -> pa.Array:
         return _map_rows(
             a, lambda block: np.abs(np.fft.rfft(block * np.hanning(block.shape[1]), axis=1)),
@@ -151,7 +153,7 @@ def log_mel(samples: Column | str, rate: float, n_fft: int, hop: int, n_mels: in
     Frames are centred (zero-padded ends), 80 dB deep; missing frames repeat the last one.
     """
 
-    @arrow_udf("array<double>")
+    @arrow_udf(DOUBLES)
     def kernel(a: pa.Array) -> pa.Array:
         bank, window = mel_filters(rate, n_fft, n_mels), _periodic_hann(n_fft)
 
@@ -202,7 +204,7 @@ def resample_block(samples: Column | str, first_input: Column, first_output: Col
                    n_output: Column, up: int, down: int) -> Column:
     """Outputs [first_output, first_output + n_output) from a block that holds their inputs."""
 
-    @arrow_udf("array<double>")
+    @arrow_udf(DOUBLES)
     def kernel(a: pa.Array, i0: pa.Array, m0: pa.Array, count: pa.Array) -> pa.Array:
         taps = resampling_filter(up, down)
         half = len(taps) // 2

@@ -648,10 +648,10 @@ def set_intersect(spark, sf):
     return a.intersect(S.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k")))
 
 
-@query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT l_suppkey FROM lineitem")
 def set_except(spark, sf):
     a = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
-    return a.subtract(S.table(spark, sf, "orders").select(F.col("o_custkey").alias("k")))
+    return a.subtract(S.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k")))
 
 
 @query("distinct_groups", f"""
