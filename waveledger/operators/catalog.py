@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waveledger import fixed_values as fv, schemas
 from waveledger.functions import scalars as sc
+from waveledger.sources import files
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -37,12 +38,10 @@ def sensor_alias(df: DataFrame, folder: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Paths below `root` with their lengths; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """Paths relative to `root` with their lengths; contents are not read."""
     base = root.rstrip("/") + "/"
-    start = F.instr("path", F.lit(base))
-    return files.select(
-        F.substr(F.col("path"), start + F.length(F.lit(base))).alias("path"),
+    return files.listing(spark, root).select(
+        F.substr(F.col("path"), F.lit(len(base) + 1)).alias("path"),
         F.col("length").alias("file_size_bytes"))
 
 
