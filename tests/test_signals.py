@@ -91,6 +91,17 @@ def test_sliding_windows_match_slices(spark, size, hop):
     assert got == want
 
 
+@pytest.mark.parametrize("chunk", [4, 9, 64])
+@pytest.mark.parametrize("size,hop", [(8, 4), (7, 3), (20, 20), (6, 1)])
+def test_windows_from_chunks_match_slices(spark, chunk, size, hop):
+    x = [float(v) for v in np.arange(43) ** 1.5]
+    rows = [("a", s, x[s:s + chunk], 43) for s in range(0, 43, chunk)]
+    chunks = spark.createDataFrame(rows, "k string, start_sample bigint, samples array<double>, n bigint")
+    got = [(r.segment_index, r.start_sample, r.samples) for r in windows.windows_from_chunks(
+        chunks, ["k"], size, hop).orderBy("segment_index").collect()]
+    assert got == [(k, s, x[s:s + size]) for k, s in enumerate(range(0, 43 - size + 1, hop))]
+
+
 def test_time_features_need_32_samples(spark):
     rows = timefeat.window_time_features(frame(spark, range(31), range(32))).orderBy("id").collect()
     assert rows[0].feat_valid == 0.0 and rows[0].rms is None

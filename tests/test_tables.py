@@ -229,8 +229,19 @@ def test_readings(spark):
 
 def test_duplicate_peers_name_another_file(spark):
     h = spark.createDataFrame([(f"f{i}", "same") for i in range(5)] + [("z", "other")], "path string, sha256 string")
-    rows = {r.path: (r.n_peers, r.first_peer) for r in quality.duplicate_peers(h).collect()}
-    assert rows == {"f0": (4, "f1"), **{f"f{i}": (4, "f0") for i in range(1, 5)}}
+    rows = {r.path: (r.n_peers, r.peer) for r in quality.duplicate_peers(h).collect()}
+    assert rows == {"f0": (4, "f4"), **{f"f{i}": (4, "f0") for i in range(1, 5)}}
+
+
+def test_file_checksums(spark, tmp_path):
+    import hashlib
+
+    data = {"a.bin": b"x" * 3_000_000, "b.bin": b""}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[1]: r.sha256 for r in files.checksums(
+        files.listing(spark, str(tmp_path))).collect()}
+    assert got == {n: hashlib.sha256(c).hexdigest() for n, c in data.items()}
 
 
 def test_scope_files_from_storage(spark, tmp_path):

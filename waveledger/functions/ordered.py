@@ -23,6 +23,19 @@ def value_slice(value: Column | str, per_octave: int = 1024) -> Column:
     return F.when(v > 0, level).when(v < 0, -level).otherwise(F.lit(0)).cast("bigint")
 
 
+def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], salt_on: Sequence[Column | str],
+           how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join one-row-per-key `facts` to `rows`, with each key of `rows` spread over salts.
+
+    A key holding a third of all rows is joined by up to `salts` tasks; the facts are
+    repeated `salts` times, which is little because they are one row per key.  Small
+    facts are broadcast instead when Spark measures them to be small enough.
+    """
+    salt = F.pmod(F.xxhash64(*[col(c) for c in salt_on]), F.lit(salts)).cast("int")
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                  slice_of: Column, sums: Mapping[str, Column | str],
                  totals: Mapping[str, str] | None = None) -> DataFrame:

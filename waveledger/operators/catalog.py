@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waveledger import fixed_values as fv, schemas
-from waveledger.functions import scalars as sc
+from waveledger.functions import ordered, scalars as sc
 from waveledger.sources import files
 
 
@@ -155,8 +155,9 @@ def common_setpoints(recordings: DataFrame, conditions: Sequence[str]) -> DataFr
 
 
 def keep_common_setpoints(recordings: DataFrame, conditions: Sequence[str]) -> DataFrame:
-    return recordings.where(F.col("condition").isin(*conditions)).join(
-        common_setpoints(recordings, conditions), "speed_percent", "left_semi")
+    return ordered.attach(recordings.where(F.col("condition").isin(*conditions)),
+                          common_setpoints(recordings, conditions), ["speed_percent"],
+                          recordings.columns)
 
 
 def not_exactly_one(recordings: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataFrame:
@@ -191,4 +192,5 @@ def class_index(labels: DataFrame, label: str, out: str = "class_index") -> Data
     distinct = labels.select(label).distinct()
     ranked = distinct.withColumn(out, F.row_number().over(
         Window.partitionBy(F.lit(0)).orderBy(label)) - 1)
-    return labels.join(ranked, label)
+    others = [c for c in labels.columns if c != label]
+    return ordered.attach(labels, ranked, [label], others or [label])

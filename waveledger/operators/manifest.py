@@ -103,7 +103,8 @@ _SLOT = ["condition", "sensor", "speed_percent"]
 
 
 def missing_slots(expected: DataFrame, present: DataFrame) -> DataFrame:
-    return expected.join(present.select(*_SLOT), _SLOT, "left_anti").select(*_SLOT)
+    have = present.select(*_SLOT).distinct()
+    return expected.join(have, _SLOT, "left_anti").select(*_SLOT)
 
 
 def unexpected_slots(expected: DataFrame, present: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def quiet_blocks(samples: DataFrame, keys: Sequence[str], block: int,
     limits = typical.join(peaks, list(keys)).select(*keys, F.greatest(
         F.col("_median") * fv.QC_SILENT_SHARE,
         F.col("_peak") * fv.QC_SILENT_PEAK_SHARE).alias("_limit"))
-    return (blocks.join(limits, list(keys))
+    return (ordered.attach(blocks, limits, keys, ["block"])
             .withColumn("silent", F.col("rms") <= F.col("_limit")).drop("_limit"))
 
 
@@ -118,7 +118,7 @@ def zero_baseline(codes: DataFrame, keys: Sequence[str], value: str = "value") -
         .select(*keys, F.col("_r.start").alias("base_start"), F.col("_r.end").alias("base_end")))
     counts = codes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                       F.count_if(zero).alias("clip_low"))
-    rest = codes.select(*keys, "i", value).join(longest, list(keys), "left").where(
+    rest = ordered.attach(codes.select(*keys, "i", value), longest, keys, ["i"], "left").where(
         F.col("base_start").isNull() | (F.col("i") < F.col("base_start"))
         | (F.col("i") >= F.col("base_end")))
     room = ordered.quantiles(rest, keys, value, {"_p1": 0.01})
@@ -168,20 +168,17 @@ def duplicate_groups(hashed: DataFrame, path: str = "path", digest: str = "sha25
 
 
 def duplicate_peers(hashed: DataFrame, path: str = "path", digest: str = "sha256") -> DataFrame:
-    """Each duplicated file with its group: how many peers, and the first peer.
+    """Each duplicated file with its group: how many peers, and the name of one of them.
 
     The group is named by its digest instead of listing every peer on every row, so a
-    group of k copies costs k rows and not k squared.  Two smallest paths per digest
-    are enough to name a peer other than the file itself.
+    group of k copies costs k rows and not k squared.  The named peer is the first path
+    of the group (the last one for the first path itself).
     """
-    lead = duplicate_groups(hashed, path, digest)
-    low = hashed.join(lead.select(digest, "first_path"), digest)
-    second = (low.where(F.col(path) != F.col("first_path")).groupBy(digest)
-              .agg(F.min(path).alias("second_path")))
-    out = hashed.select(path, digest).join(lead, digest).join(second, digest, "left")
-    peer = F.when(F.col(path) == F.col("first_path"), F.col("second_path")).otherwise(
-        F.col("first_path"))
-    return out.select(path, digest, (F.col("files") - 1).alias("n_peers"), peer.alias("first_peer"))
+    groups = (hashed.groupBy(digest).agg(F.count(F.lit(1)).alias("_n"), F.min(path).alias("_lo"),
+                                         F.max(path).alias("_hi")).where(F.col("_n") > 1))
+    peer = F.when(F.col(path) == F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo"))
+    return ordered.attach(hashed.select(path, digest), groups, [digest], [path]).select(
+        path, digest, (F.col("_n") - 1).alias("n_peers"), peer.alias("peer"))
 
 
 def duplicate_summary(hashed: DataFrame, by: str, digest: str = "sha256") -> DataFrame:

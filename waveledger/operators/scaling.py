@@ -51,11 +51,12 @@ def scaled_vectors(rows: DataFrame, stats: DataFrame, features: Sequence[str],
                    fold: str = "fold") -> DataFrame:
     """Add `scaled`: the features standardised with the statistics of the row's `fold`.
 
-    A constant feature is only centred.
+    A constant feature is only centred.  The statistics are one row per fold, a number
+    fixed by the caller, so they are broadcast.
     """
     by_feature = stats.groupBy("fold").agg(F.map_from_entries(F.collect_list(
         F.struct("feature", F.struct("mean", "std")))).alias("_s"))
-    spread = rows.join(by_feature.withColumnRenamed("fold", fold), fold)
+    spread = rows.join(F.broadcast(by_feature.withColumnRenamed("fold", fold)), fold)
 
     def z(f: str):
         s = F.col("_s")[F.lit(f)]

@@ -21,6 +21,11 @@ def _digest_slice():
     return F.conv(F.substring("_digest", 1, 3), 16, 10).cast("bigint")
 
 
+def _salt_columns(rows: DataFrame) -> list[str]:
+    """Plain columns whose values tell rows of one group apart."""
+    return [c for c, t in rows.dtypes if t in ("string", "int", "bigint", "double", "float")]
+
+
 def stratified_group_folds(groups: DataFrame, key: str, label: str, k: int,
                            seed: int = 42) -> DataFrame:
     """One fold (0..k-1) per group; each class is dealt out evenly over the folds.
@@ -52,7 +57,8 @@ def group_shuffle_split(groups: DataFrame, key: str, test_size: float, val_size:
 
 def fold_membership(rows: DataFrame, folds: DataFrame, key: str, k: int) -> DataFrame:
     """Every row once per fold, as `test` in its own fold and `train` in the k - 1 others."""
-    return (rows.join(folds.select(key, F.col("fold").alias("_own")), key)
+    own = folds.select(key, F.col("fold").alias("_own"))
+    return (ordered.attach(rows, own, [key], _salt_columns(rows))
             .withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                      F.lit(k - 1).cast("bigint"))))
             .withColumn("role", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train"))
@@ -85,14 +91,16 @@ def group_weights(rows: DataFrame, key: str, out: str = "group_weight") -> DataF
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     factor = counts.agg((F.sum("_c") / F.count(F.lit(1))).alias("f")).scalar()
-    return rows.join(counts, key).withColumn(out, factor / F.col("_c")).drop("_c")
+    return ordered.attach(rows, counts, [key], _salt_columns(rows)).withColumn(
+        out, factor / F.col("_c")).drop("_c")
 
 
 def class_weights(rows: DataFrame, label: str, out: str = "class_weight") -> DataFrame:
     """Balanced weights: rows / (classes * rows of the class)."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     factor = counts.agg((F.sum("_c") / F.count(F.lit(1))).alias("f")).scalar()
-    return rows.join(counts, label).withColumn(out, factor / F.col("_c")).drop("_c")
+    return ordered.attach(rows, counts, [label], _salt_columns(rows)).withColumn(
+        out, factor / F.col("_c")).drop("_c")
 
 
 def min_class_folds(groups: DataFrame, key: str, label: str, most: int = 5) -> DataFrame:

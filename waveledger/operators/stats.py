@@ -144,6 +144,6 @@ def quartile_summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFr
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col(value)
     within = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
-    return rows.join(q, list(keys)).groupBy(*keys, "q1", "median", "q3").agg(
+    return ordered.attach(rows, q, keys, [value]).groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(within, v)).alias("whisker_low"), F.max(F.when(within, v)).alias("whisker_high"),
         F.count_if(~within).alias("outliers"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waveledger import fixed_values as fv
-from waveledger.functions import arrays as A
+from waveledger.functions import arrays as A, ordered
 from waveledger.functions.scalars import col
 
 
@@ -56,6 +56,42 @@ def sliding_windows(samples: DataFrame, keys: Sequence[str], size: int, hop: int
     return collect_windows(assign_windows(samples, size, hop), keys)
 
 
+def windows_from_chunks(chunks: DataFrame, keys: Sequence[str], size: int, hop: int,
+                        n: str = "n") -> DataFrame:
+    """Sliding windows straight from stored chunks, without a row per sample.
+
+    `chunks` has keys, `start_sample`, `samples` and the recording's length `n`; chunks do
+    not overlap.  Windows inside one chunk need no shuffle.  Of the others only the pieces
+    next to chunk edges are shuffled, to be put together in order.
+    """
+    begin, length = F.col("start_sample"), F.size("samples")
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((begin - size) / F.lit(hop)) + 1)
+    last = F.least(F.floor((begin + length - 1) / F.lit(hop)), window_count(n, size, hop) - 1)
+    whole_first = F.greatest(F.lit(0).cast("bigint"), F.ceil(begin / F.lit(hop)))
+    whole_last = F.least(F.floor((begin + length - size) / F.lit(hop)), window_count(n, size, hop) - 1)
+
+    def span(a: Column, b: Column) -> Column:
+        return F.when(b >= a, F.sequence(a, b))
+
+    whole = (chunks.withColumn("segment_index", F.explode(span(whole_first, whole_last)))
+             .withColumn("_s", F.col("segment_index") * hop)
+             .select(*keys, "segment_index", F.col("_s").alias("start_sample"),
+                     F.slice("samples", (F.col("_s") - begin).cast("int") + 1, size).alias("samples")))
+
+    at_edges = F.filter(span(first, last), lambda k: (k < whole_first) | (k > whole_last))
+    cut = chunks.withColumn("segment_index", F.explode(at_edges))
+    a = F.greatest(F.col("segment_index") * hop, begin)
+    b = F.least(F.col("segment_index") * hop + size, begin + length)
+    pieces = cut.select(*keys, "segment_index", a.alias("_a"), F.slice(
+        "samples", (a - begin).cast("int") + 1, (b - a).cast("int")).alias("_x"))
+    merged = (pieces.groupBy(*keys, "segment_index")
+              .agg(F.array_sort(F.collect_list(F.struct("_a", "_x"))).alias("_p"))
+              .select(*keys, "segment_index",
+                      (F.col("segment_index") * hop).alias("start_sample"),
+                      F.flatten(F.transform("_p", lambda p: p["_x"])).alias("samples")))
+    return whole.unionByName(merged.where(F.size("samples") == size))
+
+
 def window_times(windows: DataFrame, fs: float, size: int, offset_s: float = 0.0) -> DataFrame:
     start = F.col("start_sample") / F.lit(float(fs))
     return (windows.withColumn("segment_start_s", F.lit(offset_s) + start)
@@ -73,7 +109,7 @@ def common_window_count(span_s: Column | str, window_s: float, overlap: float) -
 def keep_common_windows(windows: DataFrame, manifest: DataFrame, key: str = "group_id",
                         count: str = "common_windows") -> DataFrame:
     """Drop windows past the shared count of their operating point."""
-    return (windows.join(manifest.select(key, count), key)
+    return (ordered.attach(windows, manifest.select(key, count), [key], ["segment_index"])
             .where(F.col("segment_index") < F.col(count)))
 
 

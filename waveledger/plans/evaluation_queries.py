@@ -10,6 +10,7 @@ from waveledger.operators import (manifest, metrics, quality, readings, scaling,
                                   timefeat, voting)
 from waveledger.plans import standins as S
 from waveledger.plans.registry import query
+from waveledger.sources import tables
 
 FLAGS = ["A", "N", "R"]
 CLASSES = list(range(10))
@@ -159,10 +160,11 @@ def duplicate_groups(spark, sf):
 
 @query("duplicate_peers", f"""
 WITH {_HASHED}
-SELECT a.path, a.sha256, count(*) AS n_peers, min(b.path) AS first_peer
+SELECT a.path, a.sha256, count(*) AS n_peers, CASE WHEN min(b.path) > a.path THEN max(b.path) ELSE min(b.path) END AS peer
 FROM hashed a JOIN hashed b ON a.sha256 = b.sha256 AND a.path <> b.path GROUP BY a.path, a.sha256""")
 def duplicate_peers(spark, sf):
-    return quality.duplicate_peers(_hashed(spark, sf))
+    """Contents are hashed once, into a written checksum table."""
+    return quality.duplicate_peers(tables.staged(_hashed(spark, sf), "checksums"))
 
 
 @query("duplicate_summary", f"""

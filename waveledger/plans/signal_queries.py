@@ -62,6 +62,29 @@ def sliding_windows(spark, sf):
                     ["segment_start_s", "segment_end_s", "rms"])
 
 
+@query("chunk_windows", f"""
+WITH {S.SIG}, w AS (
+  SELECT recording_id, n, value, i, unnest(range(CASE WHEN i < 12 THEN 0 ELSE (i - 12) // 5 + 1 END, i // 5 + 1)) AS segment_index
+  FROM sig)
+SELECT recording_id, segment_index, min(i) AS start_sample, count(*) AS n_samples,
+       round(sqrt(avg(value * value)), 6) + 0.0 AS rms, round(arg_min(value, i), 6) + 0.0 AS first_value
+FROM w WHERE segment_index * 5 + 12 <= n GROUP BY recording_id, segment_index""")
+def chunk_windows(spark, sf):
+    """Windows put together from stored chunks of 16 samples."""
+    from waveledger.functions import arrays as A
+
+    pairs = F.array_sort(F.collect_list(F.struct("i", "value")))
+    chunks = (S.samples(spark, sf).groupBy("recording_id", "n", F.floor(F.col("i") / 16).alias("c"))
+              .agg(pairs.alias("_p"))
+              .select("recording_id", "n", (F.col("c") * 16).alias("start_sample"),
+                      F.transform("_p", lambda p: p["value"]).alias("samples")))
+    w = windows.windows_from_chunks(chunks, REC, 12, 5)
+    return w.select("recording_id", "segment_index", "start_sample",
+                    F.size("samples").cast("bigint").alias("n_samples"),
+                    rounded(F.sqrt(A.total("samples", lambda x: x * x) / F.size("samples"))).alias("rms"),
+                    rounded(F.get(F.col("samples"), F.lit(0))).alias("first_value"))
+
+
 @query("spaced_windows", f"""
 WITH {S.SIG}, slots AS (SELECT k, CAST(floor(k * 6.0 / 4 * 8) AS BIGINT) AS s FROM range(4) t(k)),
 placed AS (
@@ -219,7 +242,7 @@ SELECT recording_id, count(*) AS n_windows, round(median(rms), 6) + 0.0 AS media
                   THEN (max(rms) - min(rms)) / median(rms) * 100 END, 6) + 0.0 AS rms_variation_pct
 FROM w GROUP BY recording_id""")
 def rms_variation(spark, sf):
-    out = timefeat.rms_variation(S.samples(spark, sf), REC, size=8)
+    out = timefeat.rms_variation(S.staged_samples(spark, sf), REC, size=8)
     return _rounded(out, ["recording_id", "n_windows"], ["median_rms", "rms_variation_pct"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waveledger.functions import ordered
+from waveledger.sources import tables
 
 # Stand-in: order status -> sensor.
 SENSOR_OF_STATUS = {"F": "sound_phone", "O": "sound_vibrometer", "P": "current"}
@@ -30,10 +31,15 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.index_by_time(raw_samples(spark, sf), ["recording_id"], "ts", "event_id")
 
 
+def staged_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Indexed samples as a written table, for jobs that go over them several times."""
+    return tables.staged(samples(spark, sf), "samples")
+
+
 def gated_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Indexed samples that are zero except for three event types: a signal with gaps."""
     live = F.col("channel").isin("click", "purchase", "signup")
-    return samples(spark, sf).withColumn("value", F.when(live, F.col("value")).otherwise(0.0))
+    return staged_samples(spark, sf).withColumn("value", F.when(live, F.col("value")).otherwise(0.0))
 
 
 def windows(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from waveledger import fixed_values as fv
+from waveledger.functions import ordered
 from waveledger.sources.files import open_input
 
 CHUNK_SCHEMA = ("path string, channel string, start_sample bigint, fs double, lsb double, "
@@ -72,9 +73,9 @@ def codes_long(chunks: DataFrame) -> DataFrame:
     """One row per code: path, channel, i, n (codes in the file), value, volts."""
     good = chunks.where(F.col("codes").isNotNull())
     sizes = good.groupBy("path").agg(F.sum(F.size("codes")).cast("bigint").alias("n"))
-    return (good.select("path", "channel", "start_sample", "lsb",
-                        F.posexplode("codes").alias("_k", "_v"))
-            .join(sizes, "path")
+    return (ordered.attach(good, sizes, ["path"], ["start_sample"])
+            .select("path", "channel", "start_sample", "lsb", "n",
+                    F.posexplode("codes").alias("_k", "_v"))
             .select("path", "channel", (F.col("start_sample") + F.col("_k")).alias("i"), "n",
                     F.col("_v").cast("double").alias("value"),
                     (F.col("_v") * F.col("lsb")).alias("volts")))

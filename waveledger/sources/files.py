@@ -65,6 +65,31 @@ def contents(spark, root: str, extension: str | None = None) -> DataFrame:
     return reader.load(root).select("path", "content")
 
 
+def checksums(listing: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """SHA-256 of files on storage, read block by block: (path, sha256, error).
+
+    Unlike a hash of a content column this works for files of any size.
+    """
+    def run(batches):
+        import hashlib
+
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                digest = hashlib.sha256()
+                try:
+                    with open_input(path) as f:
+                        while data := f.read(block):
+                            digest.update(data)
+                    rows.append((path, digest.hexdigest(), None))
+                except OSError as exc:
+                    rows.append((path, None, f"cannot read: {exc}"))
+            yield pd.DataFrame(rows, columns=["path", "sha256", "error"])
+
+    return listing.select("path").repartition("path").mapInPandas(
+        run, "path string, sha256 string, error string")
+
+
 def samples_long(chunks: DataFrame, key: str = "path") -> DataFrame:
     """One row per sample: key, channel, i, fs, value."""
     good = chunks.where(F.col("samples").isNotNull())
@@ -79,9 +104,9 @@ def centred_chunks(chunks: DataFrame, keys=("path", "channel")) -> DataFrame:
 
     Centred samples are doubles.
     """
-    from waveledger.functions import arrays as A
+    from waveledger.functions import arrays as A, ordered
 
     sums = chunks.where(F.col("samples").isNotNull()).groupBy(*keys).agg(
         (F.sum(A.total("samples")) / F.sum(F.size("samples"))).alias("_mean"))
-    return (chunks.join(sums, list(keys))
+    return (ordered.attach(chunks, sums, keys, ["start_sample"])
             .withColumn("samples", A.centred("samples", F.col("_mean"))).drop("_mean"))
