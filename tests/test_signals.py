@@ -222,3 +222,12 @@ def test_stereo_summary_and_dc(spark):
     assert row.dc_offset == -3.0 and row.channels == 2
     unknown = timefeat.clipping(df, ["recording_id"], None, None).first()
     assert unknown.clip_count is None and unknown.clipping_status == "unverifiable"
+
+
+def test_sql_names(spark):
+    from waveledger.functions.register import register
+
+    register(spark)
+    frame(spark, [3.0] * 100).createOrReplaceTempView("w")
+    row = spark.sql("SELECT amplitude_spectrum(samples) AS a, power_spectrum(samples) AS p FROM w").first()
+    assert row.a[0] == pytest.approx(3.0) and max(row.p) == pytest.approx(0.0)

@@ -22,7 +22,7 @@ from waveledger.functions.scalars import col
 DOUBLES = T.ArrayType(T.DoubleType())
 
 
-def _map_rows(windows: pa.Array, kernel: Callable[[np.ndarray], np.ndarray],
+def map_rows(windows: pa.Array, kernel: Callable[[np.ndarray], np.ndarray],
               centre: bool = False) -> pa.Array:
     """Apply a matrix kernel to all rows of equal length at once; bad rows become null."""
     lengths = pc.fill_null(pc.list_value_length(windows), 0).to_numpy(zero_copy_only=False)
@@ -63,21 +63,25 @@ def _frames(block: np.ndarray, size: int, hop: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(block, size, axis=-1)[:, ::hop, :]
 
 
+def amplitude_rows(windows: pa.Array) -> pa.Array:
+    """Amplitude spectrum of every row; null below three samples."""
+    def one(block: np.ndarray):
+        n = block.shape[1]
+        w = np.hanning(n)
+        if n < 3:
+            return [None] * len(block)
+        out = np.abs(np.fft.rfft(block * w, axis=1)) / w.sum()
+        out[:, 1:(-1 if n % 2 == 0 else None)] *= 2
+        return out
+    return map_rows(windows, one)
+
+
 def amplitude_spectrum(samples: Column | str) -> Column:
     """Single-sided peak amplitude with a symmetric Hann window and coherent gain 1."""
 
     @arrow_udf(DOUBLES)
     def kernel(a: pa.Array) -> pa.Array:
-        def one(block):
-            n = block.shape[1]
-            w = np.hanning(n)
-            gain = w.sum()
-            if n < 3 or gain == 0:
-                return [None] * len(block)
-            out = np.abs(np.fft.rfft(block * w, axis=1)) / gain
-            out[:, 1:(-1 if n % 2 == 0 else None)] *= 2
-            return out
-        return _map_rows(a, one)
+        return amplitude_rows(a)
 
     return _opaque(kernel)(col(samples))
 
@@ -102,7 +106,7 @@ def power_density(samples: Column | str, rate: float, segment: int | None = None
                 frames = frames - frames.mean(axis=-1, keepdims=True)
             density = _density(frames, _periodic_hann(size)).mean(axis=1) / rate
             return np.maximum(density, floor)
-        return _map_rows(a, averaged, centre)
+        return map_rows(a, averaged, centre)
 
     return _opaque(kernel)(col(samples))
 
@@ -112,7 +116,7 @@ def raw_magnitude(samples: Column | str) -> Column:
 
     @arrow_udf(DOUBLES)
     def kernel(a: pa.Array) -> pa.Array:
-        return _map_rows(a, lambda block: np.abs(np.fft.rfft(block, axis=1)), centre=True)
+        return map_rows(a, lambda block: np.abs(np.fft.rfft(block, axis=1)), centre=True)
 
     return _opaque(kernel)(col(samples))
 
@@ -122,7 +126,7 @@ def hann_magnitude(samples: Column | str) -> Column:
 
     @arrow_udf(DOUBLES)
     def kernel(a: pa.Array) -> pa.Array:
-        return _map_rows(
+        return map_rows(
             a, lambda block: np.abs(np.fft.rfft(block * np.hanning(block.shape[1]), axis=1)),
             centre=True)
 
@@ -167,7 +171,7 @@ def log_mel(samples: Column | str, rate: float, n_fft: int, hop: int, n_mels: in
             have = db.shape[2]
             take = np.minimum(np.arange(frames), have - 1)
             return db[:, :, take].reshape(len(block), -1)
-        return _map_rows(a, mel)
+        return map_rows(a, mel)
 
     return _opaque(kernel)(col(samples))
 
