@@ -99,14 +99,17 @@ def test_average_ranks(spark):
     assert got == {1.0: (2, 1.5, 6), 2.0: (1, 3.0, 6), 5.0: (3, 5.0, 6)}
 
 
-def test_knn_blocks_equal_brute_force(spark):
+@pytest.mark.parametrize("pivots,block,spread", [(1, 13, 0), (7, 13, 0), (200, 1000, 0), (9, 5, 50)])
+def test_knn_cells_equal_brute_force(spark, pivots, block, spread):
+    """Ties everywhere; `spread` puts the points into far clusters, so that cells are skipped."""
     rng = np.random.default_rng(9)
     x = rng.integers(0, 4, size=(120, 3)).astype(float)
+    x[:, 0] += spread * (np.arange(120) % 4)
     rows = [(i, [float(v) for v in x[i]], int(i % 3), 0) for i in range(120)]
     df = spark.createDataFrame(rows, "id bigint, v array<double>, label int, fold bigint")
     train, test = df.where("id < 80"), df.where("id >= 80")
     got = {}
-    for r in knn.nearest(train, test, 5, ["fold"], "id", "v", "label", block_rows=13).collect():
+    for r in knn.nearest(train, test, 5, ["fold"], "id", "v", "label", pivots, block).collect():
         got.setdefault(r.test_id, {})[r.rank] = (r.train_id, r.distance2)
     for t in range(80, 120):
         d = ((x[:80] - x[t]) ** 2).sum(axis=1)

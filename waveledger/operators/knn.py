@@ -1,65 +1,161 @@
-"""Exact nearest neighbours, block against block."""
+"""Exact nearest neighbours with pivots: only cells that can hold a neighbour are compared."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from waveledger.functions.scalars import portable_hash
+from waveledger.operators.ranking import top_k
+
+
+def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances by direct differences, a few rows at a time."""
+    out = np.empty((len(points), len(centres)))
+    step = max(1, 2_000_000 // max(1, centres.size))
+    for at in range(0, len(points), step):
+        some = points[at:at + step, None, :] - centres[None, :, :]
+        out[at:at + step] = (some * some).sum(axis=2)
+    return out
+
+
+def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(_squared(points, centres))
+
+
+def _by_key(batch: pd.DataFrame, keys: list[str]):
+    """(key tuple, rows) groups of a batch."""
+    for key, rows in batch.groupby(keys, sort=False):
+        yield (key if isinstance(key, tuple) else (key,)), rows
+
+
+def _assign_cells(train: DataFrame, pivots: dict, keys: list[str], schema: str) -> DataFrame:
+    """Add each training row's nearest pivot (`cell`) and the distance to it."""
+    def run(batches):
+        for batch in batches:
+            for key, rows in _by_key(batch, keys):
+                d = _distances(np.stack(rows["v"].to_numpy()), pivots[key])
+                cell = d.argmin(axis=1)
+                yield rows.assign(cell=cell.astype(np.int64), d=d[np.arange(len(d)), cell])
+
+    return train.mapInPandas(run, schema + ", cell bigint, d double")
+
+
+def _candidate_cells(test: DataFrame, pivots: dict, cells: dict, k: int, keys: list[str],
+                     schema: str) -> DataFrame:
+    """One row per (test row, cell that may hold one of its k nearest).
+
+    By the triangle inequality no member of a cell is nearer than d - radius, and k members
+    lie within `reach`; cells beyond that reach are left out without losing a neighbour.
+    """
+    def run(batches):
+        for batch in batches:
+            for key, rows in _by_key(batch, keys):
+                facts = cells.get(key)
+                if facts is None:
+                    continue
+                ids, counts, radius, kth = facts
+                d = _distances(np.stack(rows["v"].to_numpy()), pivots[key][ids])
+                # k members of one cell, or all members of several cells together.
+                reach = np.where(counts >= k, d + kth, np.inf).min(axis=1)
+                far = d + radius
+                order = np.argsort(far, axis=1)
+                enough = np.cumsum(counts[order], axis=1) >= min(k, counts.sum())
+                together = np.take_along_axis(far, order, axis=1)[
+                    np.arange(len(d)), enough.argmax(axis=1)]
+                reach = np.minimum(reach, together)
+                near = d - radius <= (reach * (1 + 1e-9) + 1e-9)[:, None]
+                at, c = np.nonzero(near)
+                yield rows.iloc[at].assign(cell=ids[c])
+
+    return test.mapInPandas(run, schema + ", cell bigint")
+
+
+def _spread(df: DataFrame, cells: DataFrame, keys: list[str], own: str, other: str) -> DataFrame:
+    """Put a row into its own hash block and into every block of the other side."""
+    at = df.join(F.broadcast(cells), [*keys, "cell"])
+    return (at.withColumn(own, portable_hash("id") % F.col(f"n_{own}"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n_{other}") - 1)))
+            .drop(f"n_{own}", f"n_{other}"))
 
 
 def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col: str,
-            vector: str, label: str, block_rows: int = 4096) -> DataFrame:
+            vector: str, label: str, pivots: int = 64, block_rows: int = 4096) -> DataFrame:
     """The k nearest training rows of every test row within `keys` (Euclidean; ties by id).
 
-    Both sides are hashed into blocks of about `block_rows`; one task compares one
-    training block with one test block and keeps k candidates per test row, so no list of
-    pairs is ever written and memory per task does not depend on the data.  Columns:
-    keys, test_id, train_id, distance2, train_label, rank.
+    `keys` must be few (folds).  Training rows belong to the cell of their nearest pivot;
+    a test row visits only the cells that can hold one of its k nearest.  Within a cell
+    both sides are hashed into blocks of about `block_rows`, one task compares one block
+    pair and keeps k rows per test row, so a cell of any size is split.  The driver sees
+    the pivots and one summary row per cell (`pivots` per key), never the data.
+
+    Columns: keys, test_id, train_id, distance2, train_label, rank.
     """
-    def blocks(df: DataFrame) -> Column:
-        return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))),
-                                 F.lit(1)).alias("b")).scalar()
-
-    n_train, n_test = blocks(train), blocks(test)
-
-    def every(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-
-    left = (train.select(*keys, F.col(id_col).alias("id"), F.col(vector).alias("v"),
-                         F.col(label).cast("string").alias("label"))
-            .withColumn("tb", portable_hash("id") % n_train).withColumn("sb", every(n_test)))
-    right = (test.select(*keys, F.col(id_col).alias("id"), F.col(vector).alias("v"))
-             .withColumn("sb", portable_hash("id") % n_test).withColumn("tb", every(n_train)))
-    cell = [*keys, "tb", "sb"]
-    id_type = train.schema[id_col].dataType.simpleString()
-    key_types = [f"`{c}` {train.schema[c].dataType.simpleString()}" for c in keys]
-    schema = ", ".join([*key_types, f"test_id {id_type}", f"train_id {id_type}",
-                        "distance2 double", "train_label string"])
-
-    def compare(known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if known.empty or asked.empty:
-            return pd.DataFrame(columns=[*keys, "test_id", "train_id", "distance2", "train_label"])
-        known = known.sort_values("id", kind="stable").reset_index(drop=True)
-        base = np.stack(known["v"].to_numpy())
-        keep = min(k, len(known))
+    types = dict(train.dtypes)
+    key_schema = [f"`{c}` {types[c]}" for c in keys]
+    test_schema = ", ".join([*key_schema, f"id {types[id_col]}", "v array<double>"])
+    train_schema = test_schema + ", label string"
+
+    def doubles(c: str):
+        return F.transform(c, lambda x: x.cast("double")).alias("v")
+
+    left = train.select(*keys, F.col(id_col).alias("id"), doubles(vector),
+                        F.col(label).cast("string").alias("label"))
+    right = test.select(*keys, F.col(id_col).alias("id"), doubles(vector))
+
+    chosen: dict[tuple, list] = {}
+    for r in top_k(left.select(*keys, "id", "v"), keys, [portable_hash("id"), "id"], pivots).collect():
+        chosen.setdefault(tuple(r[c] for c in keys), []).append(r.v)
+    centres = {key: np.array(v) for key, v in chosen.items()}
+
+    members = _assign_cells(left, centres, keys, train_schema)
+    where = [*keys, "cell"]
+    sizes = members.groupBy(*where).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
+    kth = top_k(members.select(*where, "d", "id"), where, ["d", "id"], k).groupBy(*where).agg(
+        F.max("d").alias("kth"))
+    summary: dict[tuple, list] = {}
+    for r in sizes.join(kth, where).collect():
+        summary.setdefault(tuple(r[c] for c in keys), []).append((r.cell, r.n, r.radius, r.kth))
+    cells = {key: tuple(np.array(x) for x in zip(*sorted(rows))) for key, rows in summary.items()}
+
+    visits = _candidate_cells(right, centres, cells, k, keys, test_schema)
+    visit_counts = {tuple(r[c] for c in where): r["count"]
+                    for r in visits.groupBy(*where).count().collect()}
+    blocks = [(*key, int(c), -(-int(n) // block_rows),
+               -(-visit_counts.get((*key, int(c)), 1) // block_rows))
+              for key, rows in summary.items() for c, n, _, _ in rows]
+    plan = train.sparkSession.createDataFrame(
+        blocks, ", ".join([*key_schema, "cell bigint, n_tb bigint, n_sb bigint"]))
+
+    one = [*where, "tb", "sb"]
+    known = _spread(members.drop("d"), plan, keys, "tb", "sb").groupBy(*one)
+    asked = _spread(visits, plan, keys, "sb", "tb").groupBy(*one)
+    columns = [*keys, "test_id", "train_id", "distance2", "train_label"]
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=columns)
+        a = a.sort_values("id", kind="stable").reset_index(drop=True)
+        base = np.stack(a["v"].to_numpy())
+        keep = min(k, len(a))
         parts = []
-        step = max(1, 4_000_000 // base.size)
-        for at in range(0, len(asked), step):
-            some = asked.iloc[at:at + step]
-            points = np.stack(some["v"].to_numpy())
-            d2 = ((points[:, None, :] - base[None, :, :]) ** 2).sum(axis=2)
+        step = max(1, 4_000_000 // len(base))
+        for at in range(0, len(b), step):
+            some = b.iloc[at:at + step]
+            d2 = _squared(np.stack(some["v"].to_numpy()), base)
             best = np.argsort(d2, axis=1, kind="stable")[:, :keep]
             rows = {c: np.repeat(some[c].to_numpy(), keep) for c in keys}
             rows["test_id"] = np.repeat(some["id"].to_numpy(), keep)
-            rows["train_id"] = known["id"].to_numpy()[best].ravel()
+            rows["train_id"] = a["id"].to_numpy()[best].ravel()
             rows["distance2"] = np.take_along_axis(d2, best, axis=1).ravel()
-            rows["train_label"] = known["label"].to_numpy()[best].ravel()
+            rows["train_label"] = a["label"].to_numpy()[best].ravel()
             parts.append(pd.DataFrame(rows))
         return pd.concat(parts, ignore_index=True)
 
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(compare, schema)
+    found = known.cogroup(asked).applyInPandas(compare, ", ".join(
+        [*key_schema, f"test_id {types[id_col]}", f"train_id {types[id_col]}",
+         "distance2 double", "train_label string"]))
     order = Window.partitionBy(*keys, "test_id").orderBy("distance2", "train_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -118,10 +118,11 @@ def feature_importance(model: Model, spark, features: Sequence[str], top: int =
 # Nearest neighbours and the kernel machine -------------------------------------------
 
 def knn_oof(rows: DataFrame, features: Sequence[str], k_folds: int, id_col: str, label: str,
-            k: int = 5, block_rows: int = 4096) -> DataFrame:
+            k: int = 5, pivots: int = 64, block_rows: int = 4096) -> DataFrame:
     """k-nearest-neighbour label of every row, from the rows outside its fold.
 
-    Features are standardised per fold with training statistics.
+    Features are standardised per fold with training statistics.  `rows` should be a
+    staged table: it is read for the pivots, the cells and the comparison.
     """
     stats = scaling.fold_scaler(rows, features, k_folds)
     test = scaling.scaled_vectors(rows, stats, features)
@@ -129,7 +130,7 @@ def knn_oof(rows: DataFrame, features: Sequence[str], k_folds: int, id_col: str,
                       lambda f: f != F.col("_own"))
     spread = rows.withColumnRenamed("fold", "_own").withColumn("fold", F.explode(others))
     train = scaling.scaled_vectors(spread, stats, features)
-    found = knn.nearest(train, test, k, ["fold"], id_col, "scaled", label, block_rows)
+    found = knn.nearest(train, test, k, ["fold"], id_col, "scaled", label, pivots, block_rows)
     return knn.vote(found, ["fold"]).withColumnRenamed("test_id", id_col)
 
 

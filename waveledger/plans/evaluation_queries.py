@@ -375,8 +375,8 @@ QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, nl) = 1""")
 def knn_oof(spark, sf):
     from waveledger.operators import models
 
-    return models.knn_oof(fold_features(spark, sf), _RAW_FEATURES, 5, "vec_id", "label",
-                          block_rows=300)
+    rows = tables.staged(fold_features(spark, sf), "knn-rows")
+    return models.knn_oof(rows, _RAW_FEATURES, 5, "vec_id", "label", pivots=16, block_rows=300)
 
 
 # Votes and softmax ------------------------------------------------------------------------
