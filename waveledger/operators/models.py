@@ -53,7 +53,7 @@ def forest_regressor(label: str, trees: int = 500, seed: int = 42,
 
 
 def out_of_fold(rows: DataFrame, folds: Sequence, fit: Callable[[DataFrame, int], Model],
-                fold: str = "fold", parallel: int = 4) -> DataFrame:
+                fold: str = "fold", parallel: int = 8) -> DataFrame:
     """Fit on everything outside a fold, predict the fold, for each fold; union of all.
 
     `rows` should be a staged table: it is read once per fold and model pass.
@@ -175,7 +175,7 @@ def kernel_svm_oof(rows: DataFrame, features: Sequence[str], folds: Sequence, la
                           parallelism=4).fit(train)
         return model.transform(test)
 
-    with ThreadPoolExecutor(max_workers=2) as pool:
+    with ThreadPoolExecutor(max_workers=4) as pool:
         parts = list(pool.map(one, folds))
     return reduce(DataFrame.unionByName, parts)
 

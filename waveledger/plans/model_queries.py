@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from waveledger.operators import metrics, models, splits, voting
 from waveledger.plans import spectral_queries, standins as S
@@ -71,24 +74,33 @@ def subset_ablation(spark, sf):
         return rows.join(found.drop("fold"), "vec_id").withColumn(
             "predicted", F.col("predicted").cast("double"))
 
+    def svm(rows, features):
+        return models.kernel_svm_oof(rows, features, range(K), "label", n_out=16, max_iter=2
+                                     ).withColumn("predicted", F.col("prediction"))
+
     return models.subset_ablation(
         _rows(spark, sf), {"time": TIME, "frequency": BANDS, "both": BOTH},
-        {"kNN": nearest, "Random Forest": forest}, "group_id", "label", CLASSES)
+        {"kNN": nearest, "SVM": svm, "Random Forest": forest}, "group_id", "label", CLASSES)
 
 
 @query("validation_sensitivity")
 def validation_sensitivity(spark, sf):
-    """Folds against leave-one-setpoint-out for the full and a derived binary target."""
+    """Folds against leave-one-setpoint-out for condition, operation, reversal and a pair."""
     rows = models.assemble(_rows(spark, sf), BOTH)
     setpoints = [float(i) for i in range(10)]
-    tasks = {"condition": ("label", N_CLASSES, rows),
-             "binary": ("label", 2, rows.withColumn("label", F.col("label") % 2))}
-    out = None
-    for task, (label, n, data) in tasks.items():
-        part = models.validation_sensitivity(data, "group_id", label, n, K, "setpoint", setpoints,
-                                             trees=5, depth=4).withColumn("task", F.lit(task))
-        out = part if out is None else out.unionByName(part)
-    return out
+    operation = F.floor(F.col("label") / 3).cast("double")
+    tasks = {"condition": (N_CLASSES, rows),
+             "operation": (4, rows.withColumn("label", operation)),
+             "reversal": (2, rows.withColumn("label", F.col("label") % 2)),
+             "binary": (2, rows.withColumn("label", operation).where("label < 2"))}
+
+    def score(task: str):
+        n, data = tasks[task]
+        return models.validation_sensitivity(data, "group_id", "label", n, K, "setpoint", setpoints,
+                                             trees=3, depth=3).withColumn("task", F.lit(task))
+
+    with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(score, tasks))
 
 
 @query("rf_importance")

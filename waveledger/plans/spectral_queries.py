@@ -131,11 +131,22 @@ def spectrogram(spark, sf):
                       rounded("freq").alias("freq"), rounded("db", 5).alias("db"))
 
 
-@query("log_mel")
+@query("log_mel", f"""
+WITH {S.WIN}, fr AS (
+  SELECT vec_id * 100 + f AS fid, j + 8 - f * 4 AS j, x FROM win, range(17) t(f) WHERE j + 8 >= f * 4 AND j + 8 < f * 4 + 16),
+{S.dft("fr", "fid", 16, S.periodic_hann(16))},
+bank AS (SELECT b, k, greatest(0, least((k * 4.0 - b * 32.0 / 7) / (32.0 / 7), ((b + 2) * 32.0 / 7 - k * 4.0) / (32.0 / 7)))
+  * 2 / (2 * 32.0 / 7) AS wt FROM range(6) p(b), range(9) q(k)),
+mel AS (SELECT fid // 100 AS vec_id, fid % 100 AS f, b, sum(wt * (re * re + im * im)) AS p FROM dft JOIN bank USING (k) GROUP BY ALL),
+db AS (SELECT vec_id, f, b, 10 * log10(greatest(p, 1e-10)) - 10 * log10(greatest(max(p) OVER (PARTITION BY vec_id), 1e-10)) AS d FROM mel),
+cut AS (SELECT vec_id, f, b, greatest(d, max(d) OVER (PARTITION BY vec_id) - 80) AS d FROM db),
+pad AS (SELECT * FROM cut UNION ALL SELECT vec_id, 17, b, d FROM cut WHERE f = 16)
+SELECT vec_id, b AS band, f AS frame, round((d - avg(d) OVER w) / (stddev_pop(d) OVER w + 1e-6), 5) + 0.0 AS z
+FROM pad WINDOW w AS (PARTITION BY vec_id)""")
 def log_mel(spark, sf):
     out = spectral.log_mel(S.windows(spark, sf), FS, need=64, n_fft=16, hop=4, n_mels=6, frames=18)
     return out.select("vec_id", F.posexplode("log_mel").alias("cell", "z")).select(
-        "vec_id", F.floor(F.col("cell") / 18).alias("band"), (F.col("cell") % 18).alias("frame"),
+        "vec_id", F.floor(F.col("cell") / 18).alias("band"), (F.col("cell") % 18).cast("bigint").alias("frame"),
         rounded("z", 5).alias("z"))
 
 
@@ -242,7 +253,20 @@ def benchmark_features(spark, sf):
     return out.select("vec_id", "feat_valid", *[rounded(c).alias(c) for c in _LONG_NAMES])
 
 
-@query("resample")
+# Taps of a 3/2 conversion: 61-point Kaiser (beta 5) low-pass; the Bessel function as a series.
+_TAPS = """b AS (SELECT t, (SELECT sum(pow(25.0 * (1 - pow((t - 30) / 30.0, 2)) / 4, k) / pow(factorial(CAST(k AS INT)), 2)) FROM range(26) s(k)) AS w
+  FROM range(61) r(t)),
+raw AS (SELECT t, w * CASE WHEN t = 30 THEN 1 ELSE sin(pi() * (t - 30) / 3.0) / (pi() * (t - 30) / 3.0) END AS h FROM b),
+taps AS (SELECT t, 3 * h / (SELECT sum(h) FROM raw) AS h FROM raw)"""
+
+
+@query("resample", f"""
+WITH {S.SIG}, {_TAPS},
+outputs AS (SELECT recording_id, unnest(range(CAST(ceil(count(*) * 1.5) AS BIGINT))) AS m FROM sig GROUP BY recording_id)
+SELECT o.recording_id, m AS i, round(sum(value * h), 6) + 0.0 AS value
+FROM outputs o JOIN sig s ON s.recording_id = o.recording_id AND s.i * 3 BETWEEN m * 2 - 30 AND m * 2 + 30
+  JOIN taps ON t = m * 2 - s.i * 3 + 30
+GROUP BY o.recording_id, m""")
 def resample(spark, sf):
     """Signal at 3/2 of its rate; blocks of 32 outputs."""
     out = spectral.resample(S.samples(spark, sf).select("recording_id", "i", "n", "value"),

@@ -5,12 +5,11 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from waveledger import fixed_values as fv
 from waveledger.functions import ordered
-from waveledger.sources.files import open_input
+from waveledger.sources.files import frames, open_input
 
 CHUNK_SCHEMA = ("path string, channel string, start_sample bigint, fs double, lsb double, "
                 "codes array<smallint>, error string")
@@ -28,18 +27,19 @@ def _lsb(head: bytes) -> float:
 def decode(files: DataFrame, rate_hz: float = fv.DEEP_MEMORY_RATE_HZ,
            chunk: int = 65_536) -> DataFrame:
     """Codes of (path, content) captures in chunks; the rate is an assumption."""
-    def run(batches):
+    def rows(batches):
         for batch in batches:
             for p, c in zip(batch["path"], batch["content"]):
                 if len(c) <= fv.DEEP_MEMORY_HEADER:
-                    yield pd.DataFrame([(p, None, None, None, None, None, "no payload")],
-                                       columns=_COLUMNS)
+                    yield (p, None, None, None, None, None, "no payload")
                     continue
                 lsb = _lsb(c[:fv.DEEP_MEMORY_HEADER])
-                codes = np.frombuffer(c, "u1", offset=fv.DEEP_MEMORY_HEADER).astype(np.int16)
-                yield pd.DataFrame(
-                    [(p, "CH1(V)", s, rate_hz, lsb, codes[s:s + chunk], None)
-                     for s in range(0, len(codes), chunk)], columns=_COLUMNS)
+                codes = np.frombuffer(c, "u1", offset=fv.DEEP_MEMORY_HEADER)
+                for s in range(0, len(codes), chunk):
+                    yield (p, "CH1(V)", s, rate_hz, lsb, codes[s:s + chunk].astype(np.int16), None)
+
+    def run(batches):
+        return frames(rows(batches), _COLUMNS, 5)
 
     return files.select("path", "content").mapInPandas(run, CHUNK_SCHEMA)
 
@@ -53,7 +53,7 @@ def read_chunks(listing: DataFrame, rate_hz: float = fv.DEEP_MEMORY_RATE_HZ,
                                                          F.lit(chunk).cast("bigint"))))
               .select("path", "_start"))
 
-    def run(batches):
+    def rows(batches):
         for batch in batches:
             for path, start in batch.itertuples(index=False):
                 try:
@@ -61,10 +61,12 @@ def read_chunks(listing: DataFrame, rate_hz: float = fv.DEEP_MEMORY_RATE_HZ,
                         lsb = _lsb(f.read(fv.DEEP_MEMORY_HEADER))
                         f.seek(int(fv.DEEP_MEMORY_HEADER + start))
                         codes = np.frombuffer(f.read(chunk), "u1").astype(np.int16)
-                    row = (path, "CH1(V)", start, rate_hz, lsb, codes, None)
+                    yield (path, "CH1(V)", start, rate_hz, lsb, codes, None)
                 except OSError as exc:
-                    row = (path, None, None, None, None, None, f"cannot read: {exc}")
-                yield pd.DataFrame([row], columns=_COLUMNS)
+                    yield (path, None, None, None, None, None, f"cannot read: {exc}")
+
+    def run(batches):
+        return frames(rows(batches), _COLUMNS, 5)
 
     return ranges.repartition("path", "_start").mapInPandas(run, CHUNK_SCHEMA)
 

@@ -20,6 +20,19 @@ def open_input(path: str):
     return system.open_input_file(inner)
 
 
+def frames(rows, columns: list[str], samples_at: int, budget: int = 4_000_000):
+    """Pandas frames of row tuples, each holding about `budget` samples at most."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 0 if row[samples_at] is None else len(row[samples_at])
+        if size >= budget or len(held) >= 10_000:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def _children(folder: str, recursive: bool) -> list[tuple[str, int, bool]]:
     """(path, length, is_folder) below a folder, with paths in the form of `folder`."""
     from pyarrow import fs

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from waveledger import fixed_values as fv
-from waveledger.sources.files import open_input
+from waveledger.sources.files import frames, open_input
 
 HEADER_SCHEMA = (
     "path string, waveform int, buffer int, channel string, unit string, rate_hz double, "
@@ -30,6 +30,7 @@ HEADER_SCHEMA = (
     "file_size bigint, error string")
 CHUNK_SCHEMA = ("path string, channel string, start_sample bigint, fs double, "
                 "samples array<float>, error string")
+_CHUNK_COLUMNS = ["path", "channel", "start_sample", "fs", "samples", "error"]
 
 Read = Callable[[int, int], bytes]
 
@@ -185,21 +186,21 @@ def _samples(raw: bytes, width: int) -> np.ndarray:
 
 def decode(files: DataFrame, chunk: int = 65_536) -> DataFrame:
     """Samples of (path, content) captures in chunks; unreadable captures give an error row."""
-    def run(batches):
+    def rows(batches):
         for batch in batches:
             for p, c in zip(batch["path"], batch["content"]):
-                rows = []
                 for h in _header_rows(p, _from_bytes(c), len(c)):
                     if h.get("error"):
-                        rows.append((p, None, None, None, None, h["error"]))
+                        yield (p, None, None, None, None, h["error"])
                         continue
                     for start in range(0, h["available_points"], chunk):
                         n = min(chunk, h["available_points"] - start)
                         at = h["payload_offset"] + start * h["width"]
-                        rows.append((p, h["channel"], start, h["rate_hz"],
-                                     _samples(c[at:at + n * h["width"]], h["width"]), None))
-                yield pd.DataFrame(rows, columns=["path", "channel", "start_sample", "fs",
-                                                  "samples", "error"])
+                        yield (p, h["channel"], start, h["rate_hz"],
+                               _samples(c[at:at + n * h["width"]], h["width"]), None)
+
+    def run(batches):
+        return frames(rows(batches), _CHUNK_COLUMNS, 4)
 
     return files.select("path", "content").mapInPandas(run, CHUNK_SCHEMA)
 
@@ -224,19 +225,19 @@ def read_chunks(listing: DataFrame, chunk: int = 65_536, offset_s: float = 0.0,
     spread = (ranges.repartition("path", "_start") if partitions is None
               else ranges.repartition(partitions, "path", "_start"))
 
-    def run(batches):
+    def rows(batches):
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                path, channel, rate, width, offset, start, n = r
+            for path, channel, rate, width, offset, start, n in batch.itertuples(index=False):
                 try:
                     with open_input(path) as f:
                         f.seek(int(offset + start * width))
                         data, error = _samples(f.read(int(n * width)), int(width)), None
                 except OSError as exc:
                     data, error = None, f"cannot read: {exc}"
-                yield pd.DataFrame([(path, channel, start, rate, data, error)],
-                                   columns=["path", "channel", "start_sample", "fs", "samples",
-                                            "error"])
+                yield (path, channel, start, rate, data, error)
+
+    def run(batches):
+        return frames(rows(batches), _CHUNK_COLUMNS, 4)
 
     errors = heads.where("error IS NOT NULL").select(
         "path", F.lit(None).cast("string").alias("channel"),

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from waveledger.sources.files import open_input
+from waveledger.sources.files import frames, open_input
 
 INFO_SCHEMA = ("path string, sample_rate_hz double, channels int, bit_depth int, frames bigint, "
                "duration_s double, error string")
@@ -96,18 +96,19 @@ def _channel_chunks(path, handle, start: int, frames: int, chunk: int, mode: str
 def decode(files: DataFrame, mode: str = "all", offset_s: float = 0.0,
            duration_s: float | None = None, chunk: int = 65_536) -> DataFrame:
     """Samples of (path, content) recordings; `mode` is all, first or mono."""
-    def run(batches):
+    def rows(batches):
         for batch in batches:
             for p, c in zip(batch["path"], batch["content"]):
-                rows = []
                 facts = _info(p, io.BytesIO(c))
                 if facts[-1]:
-                    rows.append((p, None, None, None, None, facts[-1]))
+                    yield (p, None, None, None, None, facts[-1])
                 else:
                     start = int(max(0.0, offset_s) * facts[1])
                     count = facts[4] if duration_s is None else round(duration_s * facts[1])
-                    rows = list(_channel_chunks(p, io.BytesIO(c), start, count, chunk, mode))
-                yield pd.DataFrame(rows, columns=_COLUMNS)
+                    yield from _channel_chunks(p, io.BytesIO(c), start, count, chunk, mode)
+
+    def run(batches):
+        return frames(rows(batches), _COLUMNS, 4)
 
     return files.select("path", "content").mapInPandas(run, CHUNK_SCHEMA)
 
@@ -128,15 +129,17 @@ def read_chunks(listing: DataFrame, mode: str = "all", offset_s: float = 0.0,
               .select("path", "_start",
                       F.least(F.lit(chunk), F.col("_b") - F.col("_start")).alias("_n")))
 
-    def run(batches):
+    def rows(batches):
         for batch in batches:
             for path, start, n in batch.itertuples(index=False):
                 try:
                     with open_input(path) as f:
-                        rows = list(_channel_chunks(path, f, int(start), int(n), chunk, mode))
+                        yield from _channel_chunks(path, f, int(start), int(n), chunk, mode)
                 except (OSError, wave.Error, EOFError) as exc:
-                    rows = [(path, None, None, None, None, f"cannot read: {exc}")]
-                yield pd.DataFrame(rows, columns=_COLUMNS)
+                    yield (path, None, None, None, None, f"cannot read: {exc}")
+
+    def run(batches):
+        return frames(rows(batches), _COLUMNS, 4)
 
     errors = heads.where("error IS NOT NULL").select(
         "path", F.lit(None).cast("string").alias("channel"),
