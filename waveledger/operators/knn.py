@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from waveledger.functions.scalars import portable_hash
 from waveledger.operators.ranking import top_k
+from waveledger.sources.tables import staged
 
 
 def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -109,7 +110,7 @@ def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col:
         chosen.setdefault(tuple(r[c] for c in keys), []).append(r.v)
     centres = {key: np.array(v) for key, v in chosen.items()}
 
-    members = _assign_cells(left, centres, keys, train_schema)
+    members = staged(_assign_cells(left, centres, keys, train_schema), "knn-cells")
     where = [*keys, "cell"]
     sizes = members.groupBy(*where).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
     kth = top_k(members.select(*where, "d", "id"), where, ["d", "id"], k).groupBy(*where).agg(
@@ -119,7 +120,7 @@ def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col:
         summary.setdefault(tuple(r[c] for c in keys), []).append((r.cell, r.n, r.radius, r.kth))
     cells = {key: tuple(np.array(x) for x in zip(*sorted(rows))) for key, rows in summary.items()}
 
-    visits = _candidate_cells(right, centres, cells, k, keys, test_schema)
+    visits = staged(_candidate_cells(right, centres, cells, k, keys, test_schema), "knn-visits")
     visit_counts = {tuple(r[c] for c in where): r["count"]
                     for r in visits.groupBy(*where).count().collect()}
     blocks = [(*key, int(c), -(-int(n) // block_rows),

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from waveledger.functions import ordered
+from waveledger.sources.tables import staged
 
 
 def confusion_counts(rows: DataFrame, true: str, predicted: str,
@@ -175,7 +176,8 @@ def macro_roc_curve(rows: DataFrame, label: str, scores: str, classes: Sequence,
 
     Each class is read by linear interpolation; at a vertical step the upper end counts.
     Neighbours are looked up inside slices of the rate axis, with the last and first
-    point of the slices around carried over.
+    point of the slices around carried over.  The class curves are written once, because
+    they serve as grid, as known points and as neighbours.
     """
     pts = roc_points(one_vs_rest(rows, label, scores, classes), ["class"], "score", "positive")
     pts = pts.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
@@ -184,7 +186,8 @@ def macro_roc_curve(rows: DataFrame, label: str, scores: str, classes: Sequence,
     start = (F.col("fp") == F.col("neg")) & first
     steps = pts.select("class", fpr.alias("fpr"), tpr.alias("tpr")).unionByName(
         pts.where(start).select("class", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
-    curve = steps.groupBy("class", "fpr").agg(F.min("tpr").alias("lo"), F.max("tpr").alias("hi"))
+    curve = staged(steps.groupBy("class", "fpr").agg(
+        F.min("tpr").alias("lo"), F.max("tpr").alias("hi")), "roc-curves")
 
     n_classes = curve.agg(F.count_distinct("class").alias("c")).scalar()
     names = curve.agg(F.sort_array(F.collect_set("class")).alias("c")).scalar()

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waveledger.functions import scalars as sc
 from waveledger.operators import knn, metrics, scaling, splits, voting
+from waveledger.sources.tables import staged
 
 Fit = Callable[[DataFrame], Model]
 
@@ -72,15 +73,24 @@ def forest_oof(rows: DataFrame, folds: Sequence, key: str, label: str, n_classes
                trees: int, seed: int = 42, depth: int = 12, min_leaf: int = 1) -> DataFrame:
     """Classifier predictions of held-out windows; adds `probabilities` and `prediction`."""
     def fit(train: DataFrame, position: int) -> Model:
-        weighted = training_weights(train, key, label)
         # Declare all classes, also those absent from this training set.
-        return forest_classifier(label, trees, seed + position + 1, min_leaf, depth).fit(
-            _with_classes(weighted, label, n_classes))
+        weighted = _with_classes(training_weights(train, key, label), label, n_classes)
+        return _fit_kept(forest_classifier(label, trees, seed + position + 1, min_leaf, depth),
+                         weighted.select("features", label, "weight"))
 
     out = out_of_fold(rows, folds, fit)
     return out.withColumn("probabilities", vector_to_array("probability"))
 
 
+def _fit_kept(estimator, train: DataFrame) -> Model:
+    """Fit on a kept copy: a fit passes over its input several times."""
+    kept = train.persist()
+    try:
+        return estimator.fit(kept)
+    finally:
+        kept.unpersist()
+
+
 def _with_classes(df: DataFrame, label: str, n_classes: int) -> DataFrame:
     meta = {"ml_attr": {"type": "nominal", "name": label,
                         "vals": [str(i) for i in range(n_classes)]}}
@@ -90,8 +100,8 @@ def _with_classes(df: DataFrame, label: str, n_classes: int) -> DataFrame:
 def forest_regression_oof(rows: DataFrame, folds: Sequence, key: str, target: str,
                           trees: int, seed: int = 42, depth: int = 12) -> DataFrame:
     def fit(train: DataFrame, position: int) -> Model:
-        return forest_regressor(target, trees, seed + position + 1, depth).fit(
-            training_weights(train, key))
+        return _fit_kept(forest_regressor(target, trees, seed + position + 1, depth),
+                         training_weights(train, key).select("features", target, "weight"))
 
     return out_of_fold(rows, folds, fit)
 
@@ -167,12 +177,13 @@ def kernel_svm_oof(rows: DataFrame, features: Sequence[str], folds: Sequence, la
             "fold", "phi", "scaled").withColumnRenamed("_own", "fold")
 
     def one(f) -> DataFrame:
-        train = mapped(rows.where(F.col("fold") != F.lit(f)), f)
+        train = staged(mapped(rows.where(F.col("fold") != F.lit(f)), f).select(
+            F.col(label).cast("double").alias(label), "features"), "kernel")
         test = mapped(rows.where(F.col("fold") == F.lit(f)), f)
         svm = LinearSVC(maxIter=max_iter, regParam=1.0 / c / 1000.0, labelCol=label,
                         featuresCol="features", standardization=False)
-        model = OneVsRest(classifier=svm, labelCol=label, featuresCol="features",
-                          parallelism=4).fit(train)
+        model = _fit_kept(OneVsRest(classifier=svm, labelCol=label, featuresCol="features",
+                                    parallelism=8), train.select("features", label))
         return model.transform(test)
 
     with ThreadPoolExecutor(max_workers=4) as pool:
@@ -182,34 +193,30 @@ def kernel_svm_oof(rows: DataFrame, features: Sequence[str], folds: Sequence, la
 
 # Experiments ---------------------------------------------------------------------------
 
-def score_windows_and_recordings(oof: DataFrame, key: str, label: str, predicted: str,
-                                 labels: Sequence) -> DataFrame:
-    """Accuracy and macro F1 per window and, after a majority vote, per recording."""
-    window = metrics.class_metrics(oof, label, predicted, labels=labels).select(
-        F.col("accuracy").alias("accuracy_window"), F.col("macro_f1").alias("macro_f1_window"),
-        F.lit(0).alias("_k"))
-    voted = voting.majority_vote(oof, [key, label], predicted, "voted")
-    record = metrics.class_metrics(voted, label, "voted", labels=labels).select(
-        F.col("accuracy").alias("accuracy_record"), F.col("macro_f1").alias("macro_f1_record"),
-        F.lit(0).alias("_k"))
-    return window.join(record, "_k").drop("_k")
-
-
 def subset_ablation(rows: DataFrame, subsets: Mapping[str, Sequence[str]],
                     models: Mapping[str, Callable[[DataFrame, Sequence[str]], DataFrame]],
                     key: str, label: str, labels: Sequence) -> DataFrame:
     """One row per (feature subset, model).
 
-    A model is a function (rows, features) -> rows with key, label and `predicted`.
+    A model is a function (rows, features) -> rows with key, label and `predicted`.  All
+    predictions are written to one table first, so that no model runs twice.
     """
-    parts = []
-    for subset, features in subsets.items():
-        for name, predict in models.items():
-            scored = score_windows_and_recordings(
-                predict(rows, features), key, label, "predicted", labels)
-            parts.append(scored.select(F.lit(subset).alias("features"), F.lit(name).alias("model"),
-                                       "*"))
-    return reduce(DataFrame.unionByName, parts)
+    def one(case: tuple[str, str]) -> DataFrame:
+        subset, name = case
+        out = models[name](rows, subsets[subset]).select(key, label, "predicted")
+        return staged(out, "ablation").withColumns({"features": F.lit(subset), "model": F.lit(name)})
+
+    cases = [(s, m) for s in subsets for m in models]
+    with ThreadPoolExecutor(max_workers=len(cases)) as pool:
+        every = reduce(DataFrame.unionByName, pool.map(one, cases))
+    by = ["features", "model"]
+    window = metrics.class_metrics(every, label, "predicted", by, labels)
+    voted = voting.majority_vote(every, [*by, key, label], "predicted", "voted")
+    record = metrics.class_metrics(voted, label, "voted", by, labels)
+    return window.select(*by, F.col("accuracy").alias("accuracy_window"),
+                         F.col("macro_f1").alias("macro_f1_window")).join(
+        record.select(*by, F.col("accuracy").alias("accuracy_record"),
+                      F.col("macro_f1").alias("macro_f1_record")), by)
 
 
 def validation_sensitivity(rows: DataFrame, key: str, label: str, n_classes: int, k: int,

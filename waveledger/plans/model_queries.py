@@ -57,7 +57,7 @@ def rf_reg_oof(spark, sf):
 
 @query("rff_svm_oof")
 def rff_svm_oof(spark, sf):
-    oof = models.kernel_svm_oof(_rows(spark, sf), BOTH, range(K), "label", n_out=48, max_iter=5)
+    oof = models.kernel_svm_oof(_rows(spark, sf), BOTH, range(K), "label", n_out=32, max_iter=3)
     voted = voting.majority_vote(oof, ["fold", "group_id", "label"], "prediction", "predicted")
     return voted.select("fold", "group_id", "label", "predicted", "n_segments")
 
@@ -75,7 +75,7 @@ def subset_ablation(spark, sf):
             "predicted", F.col("predicted").cast("double"))
 
     def svm(rows, features):
-        return models.kernel_svm_oof(rows, features, range(K), "label", n_out=16, max_iter=2
+        return models.kernel_svm_oof(rows, features, range(K), "label", n_out=16, max_iter=1
                                      ).withColumn("predicted", F.col("prediction"))
 
     return models.subset_ablation(

@@ -25,7 +25,7 @@ WITH {S.SIG}, steps AS (
          date_diff('microsecond', lag(ts) OVER (PARTITION BY recording_id ORDER BY i), ts) AS step
   FROM sig)
 SELECT recording_id, count(*) AS n_samples, count(DISTINCT ts) AS n_distinct_times,
-       round(date_diff('microsecond', min(ts), max(ts)) / 1e6 / (count(*) - 1), 6) + 0.0 AS true_interval_s,
+       round(date_diff('microsecond', min(ts), max(ts)) / (count(*) - 1), 0) + 0.0 AS true_interval_us,
        median(step) FILTER (WHERE step > 0) AS median_step_us
 FROM steps GROUP BY recording_id""")
 def time_axis(spark, sf):
@@ -36,11 +36,11 @@ def time_axis(spark, sf):
     distinct = steps.groupBy("recording_id", "t_us").agg(F.count(F.lit(1)).alias("c"))
     base = distinct.groupBy("recording_id").agg(
         F.sum("c").alias("n_samples"), F.count(F.lit(1)).alias("n_distinct_times"),
-        ((F.max("t_us") - F.min("t_us")) / F.lit(1e6)).alias("_dur"))
+        (F.max("t_us") - F.min("t_us")).alias("_dur"))
     out = base.join(mid, REC, "left").withColumn(
-        "true_interval_s", F.try_divide(F.col("_dur"), F.col("n_samples") - 1))
-    return _rounded(out, ["recording_id", "n_samples", "n_distinct_times"],
-                    ["true_interval_s", "median_step_us"])
+        "true_interval_us", F.try_divide(F.col("_dur"), F.col("n_samples") - 1))
+    return out.select("recording_id", "n_samples", "n_distinct_times",
+                      rounded("true_interval_us", 0).alias("true_interval_us"), "median_step_us")
 
 
 @query("sliding_windows", f"""
