@@ -139,8 +139,10 @@ def spectrogram_db(windows: DataFrame, keys: Sequence[str], fs: float, segment:
     size = F.size(samples)
     frames = F.when(size >= segment, F.sequence(
         F.lit(0), F.floor((size - segment) / F.lit(hop)).cast("int")))
-    cut = (windows.select(*keys, F.col(samples), F.explode(frames).alias("frame"))
-           .withColumn("_f", F.slice(samples, F.col("frame") * hop + 1, segment)).drop(samples))
+    # Cut inside the array, so that no row carries the whole window along.
+    cut = windows.select(*keys, F.explode(F.transform(frames, lambda f: F.struct(
+        f.alias("frame"), F.slice(samples, f * hop + 1, segment).alias("_f")))).alias("_c")
+    ).select(*keys, F.col("_c.frame").alias("frame"), F.col("_c._f").alias("_f"))
     spec = periodogram(cut, fs, "_f", "_p")
     long = bins_long(spec, [*keys, "frame"], "_p", fs / segment, "power").where(
         F.col("freq") <= max_hz)

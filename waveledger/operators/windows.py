@@ -73,17 +73,21 @@ def windows_from_chunks(chunks: DataFrame, keys: Sequence[str], size: int, hop:
     def span(a: Column, b: Column) -> Column:
         return F.when(b >= a, F.sequence(a, b))
 
-    whole = (chunks.withColumn("segment_index", F.explode(span(whole_first, whole_last)))
-             .withColumn("_s", F.col("segment_index") * hop)
-             .select(*keys, "segment_index", F.col("_s").alias("start_sample"),
-                     F.slice("samples", (F.col("_s") - begin).cast("int") + 1, size).alias("samples")))
-
-    at_edges = F.filter(span(first, last), lambda k: (k < whole_first) | (k > whole_last))
-    cut = chunks.withColumn("segment_index", F.explode(at_edges))
-    a = F.greatest(F.col("segment_index") * hop, begin)
-    b = F.least(F.col("segment_index") * hop + size, begin + length)
-    pieces = cut.select(*keys, "segment_index", a.alias("_a"), F.slice(
-        "samples", (a - begin).cast("int") + 1, (b - a).cast("int")).alias("_x"))
+    def pieces_of(segments: Column) -> DataFrame:
+        """Parts of the given windows in each chunk, cut before rows are multiplied."""
+        def piece(k: Column) -> Column:
+            a = F.greatest(k * hop, begin)
+            b = F.least(k * hop + size, begin + length)
+            part = F.slice("samples", (a - begin).cast("int") + 1, (b - a).cast("int"))
+            return F.struct(k.alias("k"), a.alias("a"), part.alias("x"))
+
+        return chunks.select(*keys, F.explode(F.transform(segments, piece)).alias("_c")).select(
+            *keys, F.col("_c.k").alias("segment_index"), F.col("_c.a").alias("_a"),
+            F.col("_c.x").alias("_x"))
+
+    whole = pieces_of(span(whole_first, whole_last)).select(
+        *keys, "segment_index", F.col("_a").alias("start_sample"), F.col("_x").alias("samples"))
+    pieces = pieces_of(F.filter(span(first, last), lambda k: (k < whole_first) | (k > whole_last)))
     merged = (pieces.groupBy(*keys, "segment_index")
               .agg(F.array_sort(F.collect_list(F.struct("_a", "_x"))).alias("_p"))
               .select(*keys, "segment_index",
