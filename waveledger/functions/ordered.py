@@ -72,30 +72,49 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str,
               probs: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles per key; nulls and NaN are ignored.
 
-    Equal values are counted first, so copies never travel.  Returns one row per key
-    with a column per entry of `probs`.
+    A first pass counts rows per (key, slice), which combines on the map side to almost
+    nothing and tells in which slices the wanted ranks lie.  Only rows of those slices (at
+    most two per quantile) are then counted by value and ranked; nothing else is shuffled.
+    Returns one row per key with a column per entry of `probs`.
     """
-    counts = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-              .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    run = running_sums(counts, keys, ["_v"], value_slice("_v"), {"_cum": "_n"},
-                       totals={"_total": "_cum"})
-    run = run.withColumn("_first", F.col("_cum") - F.col("_n"))
-
-    def at(position: Column) -> Column:
-        hit = (F.col("_first") <= position) & (position < F.col("_cum"))
-        return F.max(F.when(hit, F.col("_v")))
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(
+        *keys, v.alias("_v"), value_slice(v).alias("_slice"))
+    by_key = Window.partitionBy(*[F.col(k) for k in keys]) if keys else \
+        Window.partitionBy(F.lit(0))
+    before = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = rows.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_m")).withColumns({
+        "_before": F.coalesce(F.sum("_m").over(before), F.lit(0)),
+        "_total": F.sum("_m").over(by_key)})
 
-    aggs = []
-    for name, p in probs.items():
+    def ranks(p: float) -> tuple[Column, Column, Column]:
         pos = F.lit(float(p)) * (F.col("_total") - 1)
-        aggs += [at(F.floor(pos)).alias(f"_lo_{name}"), at(F.ceil(pos)).alias(f"_hi_{name}")]
-    out = run.groupBy(*keys).agg(F.max("_total").alias("_total"), *aggs)
+        return pos, F.floor(pos), F.ceil(pos)
+
+    holds = F.lit(False)
+    for p in probs.values():
+        for rank in ranks(p)[1:]:
+            holds = holds | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_m")))
+    wanted = per_slice.where(holds).drop("_m")
+
+    counts = rows.join(wanted, [*keys, "_slice"]).groupBy(
+        *keys, "_slice", "_before", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_cum", F.col("_before") + F.sum("_n").over(inside))
+
+    def at(rank: Column) -> Column:
+        hit = (F.col("_cum") - F.col("_n") <= rank) & (rank < F.col("_cum"))
+        return F.max(F.when(hit, F.col("_v")))
+
+    aggs = [at(rank).alias(f"_{side}_{name}") for name, p in probs.items()
+            for side, rank in zip(("lo", "hi"), ranks(p)[1:])]
+    out = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *aggs)
     cols = []
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
+        pos, low, _ = ranks(p)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+        cols.append((lo + (hi - lo) * (pos - low)).alias(name))
     return out.select(*keys, *cols)
 
 
