@@ -4,29 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waveledger.llm import line_dedup, quality_rules, sharding
+from waveledger.llm import bpe, line_dedup, packing, quality_rules, sharding, simhash
 from waveledger.llm.shared import table, text_or_empty
 
 
+def vocabulary(name: str) -> str:
+    """Place of an installed public vocabulary file; every machine has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def hex_sha256(text) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    decoded = bpe.decode(encoded.select("doc_id", "ids"), path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          hex_sha256(F.array_join("ids", ",")).alias("ids_sha256"),
+                          hex_sha256(F.col("decoded")).alias("decoded_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_rules.rate_documents(table(spark, sf_dir, "documents"))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         "base_failed", "kept")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
-        "doc_id", "n_lines", "n_removed_lines", F.sha2(F.encode(text_or_empty("text"), "UTF-8"), 256).alias("kept_sha256"))
+        "doc_id", "n_lines", "n_removed_lines", hex_sha256(text_or_empty("text")).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_sharding, op8_quality_rules, op10_line_dedup)}
+    f.__name__: f for f in (op3_packing, op5_sharding, op6_bpe, op8_quality_rules, op9_simhash,
+                              op10_line_dedup)}
 
 ORACLES: dict[str, str] = {}

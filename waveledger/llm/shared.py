@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from waveledger.sources.tables import staged
@@ -12,7 +14,31 @@ WORD = r"[^\x20\x09-\x0D]"
 #: Identifier that stands for a missing one; it sorts before all others.
 NO_ID = -(2**63)
 #: Rows that one task ranks.
-RANK_ROWS = 16_384
+RANK_ROWS = 4_096
+
+
+class Recent(dict):
+    """A bounded cache in a Python worker: `self[key]` is `make(key)`, kept while it is used.
+
+    A full generation becomes the old one; what is asked for again moves to the new one.
+    Keys longer than 64 characters or bytes are not kept.
+    """
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+            if len(key) > 64:
+                return got
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
