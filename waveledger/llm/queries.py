@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waveledger.llm import bpe, line_dedup, packing, quality_rules, sharding, simhash
+from waveledger.llm import bpe, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup
 from waveledger.llm.shared import table, text_or_empty
 
 
@@ -21,6 +21,13 @@ def hex_sha256(text) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -56,7 +63,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_packing, op5_sharding, op6_bpe, op8_quality_rules, op9_simhash,
+    f.__name__: f for f in (op1_suffix_dedup, op3_packing, op5_sharding, op6_bpe, op8_quality_rules, op9_simhash,
                               op10_line_dedup)}
 
 ORACLES: dict[str, str] = {}
