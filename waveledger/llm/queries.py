@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waveledger.llm import bpe, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup
+from waveledger.llm import bpe, cover_tree, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup
 from waveledger.llm.shared import table, text_or_empty
 
 
@@ -28,6 +28,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -63,7 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op3_packing, op5_sharding, op6_bpe, op8_quality_rules, op9_simhash,
+    f.__name__: f for f in (op1_suffix_dedup, op2_cover_tree, op3_packing, op5_sharding, op6_bpe, op8_quality_rules, op9_simhash,
                               op10_line_dedup)}
 
 ORACLES: dict[str, str] = {}
