@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waveledger.llm import bpe, cover_tree, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup
+from waveledger.llm import bpe, cover_tree, line_crf, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup
 from waveledger.llm.shared import table, text_or_empty
 
 
@@ -49,6 +49,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           hex_sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_rules.rate_documents(table(spark, sf_dir, "documents"))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -67,7 +71,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_cover_tree, op3_packing, op5_sharding, op6_bpe, op8_quality_rules, op9_simhash,
+    f.__name__: f for f in (op1_suffix_dedup, op2_cover_tree, op3_packing, op5_sharding, op6_bpe, op7_line_crf, op8_quality_rules, op9_simhash,
                               op10_line_dedup)}
 
 ORACLES: dict[str, str] = {}
