@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waveledger.llm import bpe, cover_tree, line_crf, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup
+from waveledger.llm import bpe, cover_tree, html_text, line_crf, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup
 from waveledger.llm.shared import table, text_or_empty
 
 
@@ -36,6 +36,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -71,7 +75,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_cover_tree, op3_packing, op5_sharding, op6_bpe, op7_line_crf, op8_quality_rules, op9_simhash,
+    f.__name__: f for f in (op1_suffix_dedup, op2_cover_tree, op3_packing, op4_html_text, op5_sharding, op6_bpe, op7_line_crf, op8_quality_rules, op9_simhash,
                               op10_line_dedup)}
 
 ORACLES: dict[str, str] = {}
