@@ -134,10 +134,12 @@ def judge(features: DataFrame, cuts: DataFrame) -> DataFrame:
     """
     cuts = cuts.withColumnsRenamed({"lang": "_cut_lang", "source": "_cut_source"})
     joined = features.join(cuts, F.expr("lang <=> _cut_lang and source <=> _cut_source"), "left")
-    bad = F.col("base_failed")
+    # a sum, not a conjunction: a filter on it stays whole and above the join, so the optimiser
+    # does not copy the text expressions into it
+    faults = F.coalesce(F.col("base_failed"), F.lit(True)).cast("int")
     for m, v in metrics().items():
-        bad = bad | F.coalesce(v > F.col(f"cut_{m}"), F.lit(False))
-    return joined.withColumn("kept", ~bad).drop("_cut_lang", "_cut_source", *[f"cut_{m}" for m in METRICS])
+        faults = faults + F.coalesce(v > F.col(f"cut_{m}"), F.lit(False)).cast("int")
+    return joined.withColumn("kept", faults == 0).drop("_cut_lang", "_cut_source", *[f"cut_{m}" for m in METRICS])
 
 
 def _features(docs: DataFrame, lang_col: str, source_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -167,6 +169,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     Counts are computed once for the sketch and again for the verdict: this way no text is
     shuffled, as the cut-offs come to the rows.
     """
-    cuts = staged(cutoffs(sketch(_features(docs, lang_col, source_col, text_col))), "cutoffs")
+    feats = staged(_features(docs, lang_col, source_col, text_col), "features")
+    cuts = staged(cutoffs(sketch(feats)), "cutoffs")
     rows = _features(docs, lang_col, source_col, text_col, F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
     return judge(rows, cuts).filter("kept").select(*with_columns(docs, "_row", {}))

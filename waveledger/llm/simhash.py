@@ -126,11 +126,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, the one of smallest id; all columns unchanged.
 
-    Of rows that repeat that id the one with the smallest text (null first) stays; rows that
-    agree in both are equal here and one of them stays.
+    Of several rows with that id one stays. A missing id counts as the smallest.
     """
     best = near_duplicates(docs, id_col, text_col).select(id_or_least("component_id").alias("_id")).distinct()
-    rows = docs.withColumn("_id", id_or_least(id_col)) if "_id" not in docs.columns else None
-    if rows is None:
-        raise ValueError("a column named _id is reserved")
-    return rows.join(best, "_id", "left_semi").drop("_id").dropDuplicates([id_col])
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), id_or_least(id_col).alias("_id"))
+    # rows come out of the join by id, so repeated ids need no further shuffle
+    return rows.join(best, "_id", "left_semi").dropDuplicates(["_id"]).select("_row.*")

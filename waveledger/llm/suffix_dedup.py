@@ -476,8 +476,8 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _cut_out():
-    """(row, text, found) -> row, n_bytes, removed spans, kept bytes."""
+def _cut_out(as_text: bool):
+    """(row, text, found) -> row, n_bytes, removed spans, kept bytes (or the whole characters among them)."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans, kept = [], [], []
@@ -488,18 +488,21 @@ def _cut_out():
                     flat = found.values.flatten()
                     runs = merged(flat[0].to_numpy(), flat[1].to_numpy())
                 at = [0, *(e for _, e in runs)]
-                kept.append(b"".join([data[a:b] for a, b in zip(at, [*(s for s, _ in runs), len(data)])]))
+                left = b"".join([data[a:b] for a, b in zip(at, [*(s for s, _ in runs), len(data)])])
+                kept.append(left.decode("utf-8", errors="ignore") if as_text else left)
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 sizes.append(len(data))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind),
+                 pa.array(kept, pa.string() if as_text else pa.binary())],
                 ["row", "n_bytes", "removed", "kept"])
 
     return rows
 
 
-def dedup_substrings(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text",
+                     as_text: bool = False) -> DataFrame:
     """All columns of `docs` but the text, and n_bytes, removed (maximal byte runs), kept (bytes).
 
     Texts are UTF-8 bytes; a null text counts as empty. Each byte goes that a string of `length`
@@ -507,7 +510,8 @@ def dedup_substrings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     Strings are compared in the input and never cross documents. A missing id is the smallest.
     Rows that agree in id and text are one document and get the same result; rows of one id and
     different texts are documents whose order is that of the positions in them. Columns named
-    n_bytes, removed or kept are replaced. An empty table gives an empty result.
+    n_bytes, removed or kept are replaced. An empty table gives an empty result. With `as_text`,
+    kept is a string: bytes of characters that were cut apart go as well.
     """
     checked(docs, id_col, text_col)
     text = text_or_empty(text_col)
@@ -518,6 +522,15 @@ def dedup_substrings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
                         F.lit(0).cast("long").alias("seed"), text.alias("text"))
     spans = repeated_spans(texts, length).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     rows = rows.join(spans, ["doc", "tag"], "left").select("row", "text", "found")
-    schema = T.StructType([rows.schema["row"], T.StructField("n_bytes", T.LongType()),
-                           T.StructField("removed", _SPANS), T.StructField("kept", T.BinaryType())])
-    return rows.mapInArrow(_cut_out(), schema).select("row.*", "n_bytes", "removed", "kept")
+    schema = T.StructType([rows.schema["row"], T.StructField("n_bytes", T.LongType()), T.StructField("removed", _SPANS),
+                           T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    return rows.mapInArrow(_cut_out(as_text), schema).select("row.*", "n_bytes", "removed", "kept")
+
+
+def deduped_texts(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of `docs`, the text without its repeated strings; null texts become empty."""
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("_others"),
+                       F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    cut = dedup_substrings(rows, length, "_id", "_text", as_text=True)
+    return cut.select(*[F.col("kept").alias(c) if c == text_col else F.col("_others").getField(c).alias(c)
+                        for c in docs.columns])
