@@ -22,7 +22,7 @@ NODE = 1024
 #: Vectors that one task assigns to upper nodes.
 CHUNK = 4096
 #: Node pairs that are compared at a time.
-FRONTIER = 1 << 16
+FRONTIER = 1 << 20
 #: Room for rounding in bounds; links are decided on the cosine itself.
 SLACK = 1e-9
 
@@ -55,7 +55,7 @@ class CoverTree:
         return np.sqrt(np.maximum(2 - 2 * dots, 0))
 
     def _node(self, centre: int, members: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        far = np.where(members == centre, 0.0, self._distance(centre, members))
+        far = np.zeros(1) if len(members) == 1 else np.where(members == centre, 0.0, self._distance(centre, members))
         self.centre.append(centre)
         self.radius.append(float(far.max()))
         self.child.append(-1)
@@ -66,44 +66,49 @@ class CoverTree:
         """The centre again, then uncovered points in turn, each with what it covers first."""
         if radius < 1e-6:  # equal to rounding: no level can part them
             return [(int(m), np.array([m])) for m in members]
-        parts = []
+        parts = [(centre, members[far <= radius])]
+        members = members[far > radius]
         while len(members):
-            inside = far <= radius
-            parts.append((centre, members[inside]))
-            members = members[~inside]
-            if len(members):
-                centre = int(members[0])
-                far = self._distance(centre, members)
-                far[0] = 0
+            # some candidates at a time against all that is left: one product for many of them
+            ahead = members[:FRONTIER // max(len(members), 1) + 64]
+            near = self.points[ahead] @ self.points[members].T >= 1 - radius * radius / 2
+            near[np.arange(len(ahead)), np.arange(len(ahead))] = True
+            free = np.ones(len(members), bool)
+            for i in range(len(ahead)):
+                if free[i]:
+                    mine = near[i] & free
+                    free &= ~mine
+                    parts.append((int(ahead[i]), members[mine]))
+            members = members[free]
         return parts
 
 
 def near_pairs(a: CoverTree, b: CoverTree, reach: float):
-    """Yields arrays (i, j) of points that may be within `reach`: pairs of leaves left by dual traversal."""
+    """Yields arrays (i, j) of points that may be within `reach`: pairs of leaves left by dual traversal.
+
+    A pair of nodes is opened by comparing all children of one with all of the other. Of a tree
+    with itself, each unordered pair of nodes is opened once.
+    """
     if not len(a.points) or not len(b.points):
         return
-    stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    same = a is b
+    stack = [(0, 0)]
     while stack:
-        na, nb = stack.pop()
-        if len(na) > FRONTIER:
-            stack += [(na[FRONTIER:], nb[FRONTIER:])]
-            na, nb = na[:FRONTIER], nb[:FRONTIER]
-        dots = np.einsum("ij,ij->i", a.points[a.centre[na]], b.points[b.centre[nb]])
-        apart = np.sqrt(np.maximum(2 - 2 * dots, 0))
-        close = apart <= a.radius[na] + b.radius[nb] + reach + SLACK
-        na, nb = na[close], nb[close]
-        done = (a.children[na] == 0) & (b.children[nb] == 0)
-        if done.any():
-            yield a.centre[na[done]], b.centre[nb[done]]
-        na, nb = na[~done], nb[~done]
-        # open the wider node of each pair
-        wide = (b.children[nb] == 0) | ((a.children[na] > 0) & (a.radius[na] >= b.radius[nb]))
-        for tree, mine, other, left in ((a, na[wide], nb[wide], True), (b, nb[~wide], na[~wide], False)):
-            if len(mine):
-                n = tree.children[mine]
-                below = np.repeat(tree.child[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                other = np.repeat(other, n)
-                stack.append((below, other) if left else (other, below))
+        m, n = stack.pop()
+        left = np.arange(a.child[m], a.child[m] + a.children[m]) if a.children[m] else np.array([m])
+        right = np.arange(b.child[n], b.child[n] + b.children[n]) if b.children[n] else np.array([n])
+        for at in range(0, len(left), FRONTIER // len(right) + 1):
+            some = left[at:at + FRONTIER // len(right) + 1]
+            dots = a.points[a.centre[some]] @ b.points[b.centre[right]].T
+            bound = a.radius[some][:, None] + b.radius[right] + (reach + SLACK)
+            i, j = np.nonzero(2 - 2 * dots <= bound * bound)
+            i, j = some[i], right[j]
+            if same and m == n:
+                i, j = i[i <= j], j[i <= j]
+            leaves = (a.children[i] == 0) & (b.children[j] == 0)
+            if leaves.any():
+                yield a.centre[i[leaves]], b.centre[j[leaves]]
+            stack += zip(i[~leaves].tolist(), j[~leaves].tolist())
 
 
 def linked(xa, xb, same: bool, threshold: float):
@@ -114,8 +119,7 @@ def linked(xa, xb, same: bool, threshold: float):
     found = []
     for i, j in near_pairs(a, b, reach):
         if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
+            i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
         cosine = np.einsum("ij,ij->i", xa[0][i], xb[0][j]) / (xa[1][i] * xb[1][j])
         hit = cosine >= threshold
         found.append(np.stack([i[hit], j[hit]]))
