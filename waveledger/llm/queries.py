@@ -78,4 +78,87 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_cover_tree, op3_packing, op4_html_text, op5_sharding, op6_bpe, op7_line_crf, op8_quality_rules, op9_simhash,
                               op10_line_dedup)}
 
-ORACLES: dict[str, str] = {}
+#: Values are spelled out rather than taken from the operators, so that a change there shows.
+ORACLES: dict[str, str] = {
+    "op2_cover_tree": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), usable AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0
+    AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(id, c) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id
+), classes AS (SELECT id, min(c) AS c FROM reach GROUP BY id),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, v.vec_id = c AS kept
+FROM v JOIN classes ON id = v.vec_id LEFT JOIN counts ON a = v.vec_id""",
+    "op8_quality_rules": r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+    [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d
+), starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
+windows AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM starts),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) z(k) GROUP BY doc_id),
+base AS (
+  SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (length(t) - length(regexp_replace(t, '[!"''()+,./:;=?@\[\\\]^_`{}~-]', '', 'g')))::BIGINT AS n_marks,
+    (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_capitals,
+    len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(cover.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cover ON cover.doc_id = w.doc_id
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    1000 * n_symbols // greatest(n_words, 1) AS m1, 1000 * n_marks // greatest(word_chars, 1) AS m2,
+    1000 * n_capitals // greatest(word_chars, 1) AS m3, 1000 * n_repeat_words // greatest(n_words, 1) AS m4,
+    1000 * n_dup_lines // greatest(n_lines, 1) AS m5 FROM base
+), long AS (
+  SELECT doc_id, lang, source, base_failed, z.m, z.least,
+    CASE z.m WHEN 1 THEN m1 WHEN 2 THEN m2 WHEN 3 THEN m3 WHEN 4 THEN m4 ELSE m5 END AS v
+  FROM f, (VALUES (1, 150), (2, 150), (3, 300), (4, 350), (5, 400)) z(m, least)
+), bins AS (
+  SELECT lang, source, m, least, (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) << greatest(length(bin(v)) - 6, 0)::BIGINT AS b
+  FROM long WHERE NOT base_failed
+), g AS (
+  SELECT lang, source, m, least, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3
+  FROM bins GROUP BY ALL
+), l AS (SELECT lang, m, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM bins GROUP BY ALL),
+o AS (SELECT m, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM bins GROUP BY ALL),
+cuts AS (
+  SELECT g.lang, g.source, g.m,
+    CASE WHEN g.n >= 200 THEN g.q3 + greatest(3 * (g.q3 - g.q1), least)
+         WHEN l.n >= 200 THEN l.q3 + greatest(3 * (l.q3 - l.q1), least)
+         ELSE o.q3 + greatest(3 * (o.q3 - o.q1), least) END AS cut
+  FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.m = l.m JOIN o ON g.m = o.m
+), bad AS (
+  SELECT DISTINCT doc_id FROM long JOIN cuts ON long.lang IS NOT DISTINCT FROM cuts.lang
+    AND long.source IS NOT DISTINCT FROM cuts.source AND long.m = cuts.m AND v > cut
+)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND bad.doc_id IS NULL AS kept FROM f LEFT JOIN bad ON bad.doc_id = f.doc_id""",
+    "op10_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+), words AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), windows AS (
+  SELECT doc_id, k, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS g
+  FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY k)
+), later AS (
+  SELECT doc_id, k FROM windows WHERE g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, k) > 1
+), gone AS (SELECT DISTINCT doc_id, k + j AS k FROM later, (VALUES (0), (1), (2)) z(j)),
+marked AS (
+  SELECT lines.doc_id, lines.i, lines.line, words.k IS NOT NULL AS real, gone.k IS NOT NULL AS gone
+  FROM lines LEFT JOIN words ON words.doc_id = lines.doc_id AND words.i = lines.i
+  LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k
+)
+SELECT doc_id, count(*) FILTER (real) AS n_lines, count(*) FILTER (gone) AS n_removed_lines,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+}

@@ -17,10 +17,13 @@ def seeded(seed: int, *parts: Column | str) -> Column:
 def interleave(rows: DataFrame, source: str, shuffle: str, ties: list[str], shards: int) -> DataFrame:
     """Add `shard` (from 0) and `slot` (from 0, gapless in its shard) to staged rows.
 
-    Rows are ranked by `shuffle` within their source; (rank + 1/2) / rows of the source is the
-    row's place in the mixture. All rows in the order of their places are cut into `shards`
-    runs whose lengths differ by one at most, so every shard has each source's share, to one
-    row. Equal places are ordered by source, then `shuffle`, then `ties`. A null source is a
+    Rows are ranked by `shuffle` within their source; (rank + phase) / rows of the source is the
+    row's place in the mixture. The phase, from 0 to 1, is a hash of the source, so that sources
+    of one size do not move in step and sources of a few rows do not meet in one shard. All rows
+    in the order of their places are cut into `shards` runs whose lengths differ by one at most,
+    so every shard has each source's share but for rounding: the cuts are off by half a row for
+    each source at most, whatever the number of rows. Equal places are ordered by source, then
+    `shuffle`, then `ties`. A null source is a
     source of its own. An empty table gives an empty result; with fewer rows than shards some
     shards are empty.
     """
@@ -29,7 +32,8 @@ def interleave(rows: DataFrame, source: str, shuffle: str, ties: list[str], shar
             .withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit(""))))
     keys = ["_missing", "_source"]
     placed = ranked(rows, keys, shuffle, ties, n, "_rank", "_of")
-    placed = placed.withColumn("_place", (F.col("_rank") + 0.5) / F.col("_of"))
+    phase = F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(2**53))
+    placed = placed.withColumn("_place", (F.col("_rank") + phase) / F.col("_of"))
     slices = n // RANK_ROWS + 1
     placed = placed.withColumn("_cut", F.floor(F.col("_place") * slices))
     counts = placed.groupBy("_cut").agg(F.count(F.lit(1)).alias("_rows"))
