@@ -46,8 +46,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    decoded = bpe.decode(encoded.select("doc_id", "ids"), path)
+    decoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded_col="decoded")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           hex_sha256(F.array_join("ids", ",")).alias("ids_sha256"),
                           hex_sha256(F.col("decoded")).alias("decoded_sha256"))

@@ -24,7 +24,7 @@ class Recent(dict):
     Keys longer than 64 characters or bytes are not kept.
     """
 
-    def __init__(self, make: Callable, size: int):
+    def __init__(self, make: Callable | None, size: int):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
@@ -34,11 +34,15 @@ class Recent(dict):
             got = self.make(key)
             if len(key) > 64:
                 return got
+        self.renew()
+        self[key] = got
+        return got
+
+    def renew(self) -> None:
+        """Begin a generation if this one is full."""
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        self[key] = got
-        return got
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
