@@ -303,9 +303,82 @@ def test_dispatch(spark, tmp_path):
     (tmp_path / "b.wav").write_bytes(captures.wav_bytes([[1, 2]]))
     (tmp_path / "c.bin").write_bytes(captures.scope_bytes([1.0, 2.0, 3.0, 4.0]))
     (tmp_path / "d.m4a").write_bytes(b"x")
+    (tmp_path / "e.csv").write_text("CH1(V),Start = 1s,Increment = 2ms\n1\n3\n5\n")
+    (tmp_path / "f").write_bytes(captures.scope_bytes([1.0, 2.0]))
     out = dispatch.read_waveforms(files.listing(spark, str(tmp_path)))
-    got = {r.path.rsplit(".", 1)[1]: (r.error, None if r.samples is None else len(r.samples)) for r in out.collect()}
-    assert got == {"wfm": (None, 3), "wav": (None, 2), "bin": (None, 4), "m4a": ("no reader", None)}
+    got = {r.path.rsplit("/", 1)[1]: (r.error, None if r.samples is None else len(r.samples)) for r in out.collect()}
+    assert got == {"a.wfm": (None, 3), "b.wav": (None, 2), "c.bin": (None, 4), "d.m4a": ("no reader", None),
+                   "e.csv": (None, 3), "f": (None, 2)}
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_no_listed_file_is_lost(spark, tmp_path, offset):
+    good = {"a.wfm": captures.deep_memory_bytes([1, 2, 3]), "b.wav": captures.wav_bytes([[1, 2]]),
+            "c.bin": captures.scope_bytes([1.0, 2.0]), "e.csv": b"Time(s),CH1(V)\n0,1\n1,2\n"}
+    for name, data in good.items():
+        (tmp_path / name).write_bytes(data)
+        (tmp_path / f"short-{name}").write_bytes(data[:20])
+        (tmp_path / f"empty-{name}").write_bytes(b"")
+    (tmp_path / "none.wav").write_bytes(captures.wav_bytes([[]]))
+    (tmp_path / "plain.txt").write_bytes(b"")
+    got = {}
+    for r in dispatch.read_waveforms(files.listing(spark, str(tmp_path)), offset_s=offset).collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append(r)
+    assert set(got) == {p.name for p in tmp_path.iterdir()}
+    for name, rows in got.items():
+        assert all((r.error is None) != (r.samples is None) for r in rows)
+        if offset and not name.endswith("txt"):
+            assert all(r.error for r in rows), name
+    if not offset:
+        assert all(r.error is None for name in good for r in got[name])
+
+
+def test_cut_recordings_keep_their_good_frames(spark, tmp_path):
+    x = np.arange(100)
+    (tmp_path / "cut.wav").write_bytes(captures.wav_bytes([x], rate=10, cut=60))
+    rows = wav.read_chunks(files.listing(spark, str(tmp_path)), chunk=64).collect()
+    kept = sorted((r.start_sample + k, v) for r in rows if r.samples for k, v in enumerate(r.samples))
+    assert kept == [(i, x[i] / 32768) for i in range(len(kept))] and 64 < len(kept) < 100
+    assert [r.error.startswith("payload ends") for r in rows if r.error] == [True]
+
+
+def test_readers_spread_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "TASK_BYTES", 4096)
+    monkeypatch.setattr(files, "TASK_FILES", 1)
+    x = np.arange(20_000, dtype="f4")
+    (tmp_path / "a.bin").write_bytes(captures.scope_bytes(x, step=0.01))
+    (tmp_path / "b.wfm").write_bytes(captures.deep_memory_bytes(np.arange(20_000) % 256))
+    (tmp_path / "c.csv").write_text("CH1(V),Start = 0s,Increment = 1s\n" + "\n".join(map(str, range(5000))))
+    listing = files.listing(spark, str(tmp_path))
+    one = {n: listing.where(F.col("path").endswith(n)) for n in (".bin", ".wfm", ".csv")}
+    for df in (scope_bin.read_chunks(one[".bin"], chunk=500), deep_memory.read_chunks(one[".wfm"], chunk=500),
+               files.checksums(listing)):
+        tasks = df.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 2
+    csv = scope_csv.read_chunks(one[".csv"], block=1000, chunk=100)
+    got = sorted((r.start_sample + k, v) for r in csv.collect() for k, v in enumerate(r.samples))
+    assert got == [(i, float(i)) for i in range(5000)]
+    part = scope_csv.read_chunks(one[".csv"], block=777, offset_s=100.0, duration_s=50.0).collect()
+    assert sorted(v for r in part for v in r.samples) == [float(i) for i in range(100, 150)]
+
+
+def test_capture_time_starts_at_its_origin(spark, tmp_path):
+    data = bytearray(captures.scope_bytes([1.0, 2.0, 3.0], step=0.5))
+    data[fv.SCOPE_FILE_HEADER + 40:fv.SCOPE_FILE_HEADER + 48] = np.array([-2.0], "<f8").tobytes()
+    (tmp_path / "a.bin").write_bytes(bytes(data))
+    listing = files.listing(spark, str(tmp_path))
+    timed = scope_bin.with_time(files.samples_long(scope_bin.read_chunks(listing)), scope_bin.probe(listing))
+    assert sorted(r.t for r in timed.collect()) == [-2.0, -1.5, -1.0]
+
+
+def test_staged_tables_are_removed(spark):
+    from pathlib import Path
+
+    kept = tables.staged(spark.range(3), "gone")
+    folder = Path(tables._stage_dir(spark))
+    assert kept.count() == 3 and any(folder.glob("gone-*"))
+    tables.remove_staged(spark)
+    assert not folder.exists()
 
 
 def test_scope_csv_layouts(spark):

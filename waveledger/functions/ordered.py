@@ -8,6 +8,7 @@ row's own value (or on exact aggregates), so a recomputed task gets the same sli
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,23 +17,33 @@ from waveledger.functions.scalars import col
 
 
 def value_slice(value: Column | str, per_octave: int = 1024) -> Column:
-    """Order-preserving slice number of a double; `per_octave` slices per factor of 2."""
+    """Order-preserving slice number of a double; `per_octave` slices per factor of 2.
+
+    Infinities lie in the slices of the largest finite values of their sign.
+    """
     v = col(value).cast("double")
-    size = F.greatest(F.abs(v), F.lit(1e-300))
+    size = F.least(F.greatest(F.abs(v), F.lit(1e-300)), F.lit(sys.float_info.max))
     level = F.floor((F.log2(size) + F.lit(1000.0)) * F.lit(float(per_octave))) + F.lit(1)
     return F.when(v > 0, level).when(v < 0, -level).otherwise(F.lit(0)).cast("bigint")
 
 
 def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], salt_on: Sequence[Column | str],
-           how: str = "inner", salts: int = 16) -> DataFrame:
+           how: str = "inner", salts: int | None = None, rows_per_task: int = 1_000_000) -> DataFrame:
     """Join one-row-per-key `facts` to `rows`, with each key of `rows` spread over salts.
 
-    A key holding a third of all rows is joined by up to `salts` tasks; the facts are
-    repeated `salts` times, which is little because they are one row per key.  Small
+    The number of salts follows from the rows of the largest key, counted in the same job, so
+    that a key with a third of all rows is joined by as many tasks as it needs at any size; the
+    facts are repeated that often, which is little because they are one row per key.  Small
     facts are broadcast instead when Spark measures them to be small enough.
     """
-    salt = F.pmod(F.xxhash64(*[col(c) for c in salt_on]), F.lit(salts)).cast("int")
-    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if salts is None:
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        n = sizes.agg((F.floor(F.coalesce(F.max("_n"), F.lit(0)) / F.lit(float(rows_per_task))) + 1)
+                      .cast("int").alias("s")).scalar()
+    else:
+        n = F.lit(salts)
+    salt = F.pmod(F.xxhash64(*[col(c) for c in salt_on]), n).cast("int")
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - F.lit(1))))
     return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -114,7 +125,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str,
     for name, p in probs.items():
         pos, low, _ = ranks(p)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        cols.append((lo + (hi - lo) * (pos - low)).alias(name))
+        # equal ends need no step, which infinite ones do not allow
+        cols.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (pos - low)).alias(name))
     return out.select(*keys, *cols)
 
 
@@ -138,21 +150,27 @@ def index_by_time(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: str,
                   target_rows: int = 200_000) -> DataFrame:
     """Add `i`, the 0-based position in time order within `keys`, and `n`, the key's count.
 
-    Time is cut into equal slices; their number follows from the largest key so that
-    even a recording holding a third of all rows is ordered `target_rows` at a time.
+    Each key's own span is cut into equal slices, as many as it has `target_rows`; slices that
+    hold a burst are cut once more the same way. So short, long and bursty recordings are all
+    ordered about `target_rows` at a time; only equal times stay together.
     """
     timed = df.withColumn("_t", epoch_micros(ts))
-    sizes = timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("_t").alias("lo"),
-                                     F.max("_t").alias("hi"))
-    plan = sizes.agg(F.struct(
-        F.min("lo").alias("lo"),
-        (F.max("hi") - F.min("lo") + 1).cast("double").alias("span"),
-        F.ceil(F.max("c") / F.lit(float(target_rows))).cast("double").alias("slices"),
-    ).alias("p")).scalar()
-    slice_of = F.floor((F.col("_t") - plan["lo"]).cast("double") * plan["slices"] / plan["span"])
+    span = [F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.count(F.lit(1)).alias("_c")]
+    parts = F.ceil(F.col("_c") / F.lit(float(target_rows)))
+
+    def cut(t: Column) -> Column:
+        return F.floor((t - F.col("_lo")).cast("double") * parts / (F.col("_hi") - F.col("_lo") + 1).cast("double"))
+
+    # each key's own span first, then the slices that hold a burst, again by their own span
+    keyed = attach(timed, timed.groupBy(*keys).agg(*span), keys, ["_t"]).withColumn("_s1", cut(F.col("_t"))).drop(
+        "_lo", "_hi", "_c")
+    inner = keyed.groupBy(*keys, "_s1").agg(*span)
+    timed = attach(keyed, inner, [*keys, "_s1"], ["_t"]).withColumn(
+        "_s2", cut(F.col("_t"))).drop("_lo", "_hi", "_c")
+    slice_of = F.col("_s1") * F.lit(1 << 32) + F.col("_s2")
     out = running_sums(timed, keys, ["_t", tiebreak], slice_of, {"_pos": F.lit(1).cast("bigint")},
                        totals={"n": "_pos"})
-    return out.withColumn("i", F.col("_pos") - 1).drop("_pos", "_t")
+    return out.withColumn("i", F.col("_pos") - 1).drop("_pos", "_t", "_s1", "_s2")
 
 
 def with_next(df: DataFrame, keys: Sequence[str], index: str, cols: Sequence[str],

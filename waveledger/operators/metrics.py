@@ -122,18 +122,30 @@ def error_anatomy(rows: DataFrame, true: str, predicted: str) -> DataFrame:
         F.count_if(wrong).alias("errors_total"))
 
 
+#: Curve points that one task orders.
+SLICE_POINTS = 20_000
+
 # ROC -----------------------------------------------------------------------------------
 
+def score_counts(scored: DataFrame, keys: Sequence[str], score: str, positive: str) -> DataFrame:
+    """pos and neg rows of each distinct score."""
+    return scored.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+        F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
+
+
+def curve_points(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Score counts with running tp, fp from the highest score down, and n_pos, n_neg."""
+    down = -F.col("score")
+    return ordered.running_sums(counts, keys, [down], ordered.value_slice(down),
+                                {"tp": "pos", "fp": "neg"}, totals={"n_pos": "tp", "n_neg": "fp"})
+
+
 def roc_points(scored: DataFrame, keys: Sequence[str], score: str, positive: str) -> DataFrame:
     """One curve point per distinct score: true and false positives down to that score.
 
     Columns: keys, score, tp, fp (running), pos, neg (of this score), n_pos, n_neg.
     """
-    counts = scored.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
-    down = -F.col("score")
-    return ordered.running_sums(counts, keys, [down], ordered.value_slice(down),
-                                {"tp": "pos", "fp": "neg"}, totals={"n_pos": "tp", "n_neg": "fp"})
+    return curve_points(score_counts(scored, keys, score, positive), keys)
 
 
 def auc(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -158,9 +170,11 @@ def one_vs_rest(rows: DataFrame, label: str, scores: str, classes: Sequence) ->
 def roc_auc_ovr(rows: DataFrame, label: str, scores: str, classes: Sequence) -> DataFrame:
     """AUC per class, pooled (micro) and averaged (macro, weighted): columns curve, auc."""
     long = one_vs_rest(rows, label, scores, classes)
-    per = auc(roc_points(long, ["class"], "score", "positive"), ["class"])
-    pooled = long.withColumn("class", F.lit("micro"))
-    micro = auc(roc_points(pooled, ["class"], "score", "positive"), ["class"])
+    # rows are scanned and counted once; the pooled curve sums the counts of the classes
+    counts = staged(score_counts(long, ["class"], "score", "positive"), "roc-counts")
+    per = staged(auc(curve_points(counts, ["class"]), ["class"]), "roc-areas")
+    pooled = counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    micro = auc(curve_points(pooled.withColumn("class", F.lit("micro")), ["class"]), ["class"])
     present = per.where("n_pos > 0")
     macro = present.agg(F.avg("auc").alias("auc")).select(F.lit("macro").alias("curve"), "auc")
     weighted = present.agg((F.sum(F.col("auc") * F.col("n_pos")) / F.sum("n_pos")).alias("auc"))
@@ -171,12 +185,12 @@ def roc_auc_ovr(rows: DataFrame, label: str, scores: str, classes: Sequence) ->
 
 
 def macro_roc_curve(rows: DataFrame, label: str, scores: str, classes: Sequence,
-                    slices: int = 4096) -> DataFrame:
+                    slices: int | None = None) -> DataFrame:
     """Mean true-positive rate of all classes on the union of their false-positive rates.
 
     Each class is read by linear interpolation; at a vertical step the upper end counts.
     Neighbours are looked up inside slices of the rate axis, with the last and first
-    point of the slices around carried over.  The class curves are written once, because
+    point of the slices around carried over; their number follows from the points.  The class curves are written once, because
     they serve as grid, as known points and as neighbours.
     """
     pts = roc_points(one_vs_rest(rows, label, scores, classes), ["class"], "score", "positive")
@@ -189,6 +203,8 @@ def macro_roc_curve(rows: DataFrame, label: str, scores: str, classes: Sequence,
     curve = staged(steps.groupBy("class", "fpr").agg(
         F.min("tpr").alias("lo"), F.max("tpr").alias("hi")), "roc-curves")
 
+    if slices is None:
+        slices = curve.count() // SLICE_POINTS + 1
     n_classes = curve.agg(F.count_distinct("class").alias("c")).scalar()
     names = curve.agg(F.sort_array(F.collect_set("class")).alias("c")).scalar()
     grid = curve.select("fpr").distinct().withColumn("class", F.explode(names))
@@ -220,8 +236,11 @@ def macro_roc_curve(rows: DataFrame, label: str, scores: str, classes: Sequence,
     return near.groupBy("fpr").agg((F.sum(value) / n_classes).alias("macro_tpr"))
 
 
-def curve_auc(curve: DataFrame, x: str, y: str, slices: int = 4096) -> DataFrame:
-    """Trapezoid area under a curve of distinct x in [0, 1]."""
+def curve_auc(curve: DataFrame, x: str, y: str, slices: int | None = None) -> DataFrame:
+    """Trapezoid area under a curve of distinct x in [0, 1], added up in slices of x."""
+    if slices is None:
+        curve = staged(curve, "curve")
+        slices = curve.count() // SLICE_POINTS + 1
     cut = curve.withColumn("_s", F.floor(F.col(x) * slices))
     inside = Window.partitionBy("_s").orderBy(x)
     steps = cut.withColumns({"_px": F.lag(x).over(inside), "_py": F.lag(y).over(inside)})

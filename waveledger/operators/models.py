@@ -23,6 +23,9 @@ from waveledger.sources.tables import staged
 
 Fit = Callable[[DataFrame], Model]
 
+#: The deepest trees Spark grows; the usual forests have no limit.
+MAX_DEPTH = 30
+
 
 def assemble(rows: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     """Feature vector with missing values as 0."""
@@ -40,14 +43,14 @@ def training_weights(train: DataFrame, key: str, label: str | None = None) -> Da
 
 
 def forest_classifier(label: str, trees: int = 500, seed: int = 42, min_leaf: int = 1,
-                      depth: int = 12) -> RandomForestClassifier:
+                      depth: int = MAX_DEPTH) -> RandomForestClassifier:
     return RandomForestClassifier(
         labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, seed=seed,
         minInstancesPerNode=min_leaf, maxDepth=depth, featureSubsetStrategy="sqrt")
 
 
 def forest_regressor(label: str, trees: int = 500, seed: int = 42,
-                     depth: int = 12) -> RandomForestRegressor:
+                     depth: int = MAX_DEPTH) -> RandomForestRegressor:
     return RandomForestRegressor(
         labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, seed=seed,
         maxDepth=depth, featureSubsetStrategy="all")
@@ -70,7 +73,7 @@ def out_of_fold(rows: DataFrame, folds: Sequence, fit: Callable[[DataFrame, int]
 
 
 def forest_oof(rows: DataFrame, folds: Sequence, key: str, label: str, n_classes: int,
-               trees: int, seed: int = 42, depth: int = 12, min_leaf: int = 1) -> DataFrame:
+               trees: int, seed: int = 42, depth: int = MAX_DEPTH, min_leaf: int = 1) -> DataFrame:
     """Classifier predictions of held-out windows; adds `probabilities` and `prediction`."""
     def fit(train: DataFrame, position: int) -> Model:
         # Declare all classes, also those absent from this training set.
@@ -98,7 +101,7 @@ def _with_classes(df: DataFrame, label: str, n_classes: int) -> DataFrame:
 
 
 def forest_regression_oof(rows: DataFrame, folds: Sequence, key: str, target: str,
-                          trees: int, seed: int = 42, depth: int = 12) -> DataFrame:
+                          trees: int, seed: int = 42, depth: int = MAX_DEPTH) -> DataFrame:
     def fit(train: DataFrame, position: int) -> Model:
         return _fit_kept(forest_regressor(target, trees, seed + position + 1, depth),
                          training_weights(train, key).select("features", target, "weight"))
@@ -180,7 +183,8 @@ def kernel_svm_oof(rows: DataFrame, features: Sequence[str], folds: Sequence, la
         train = staged(mapped(rows.where(F.col("fold") != F.lit(f)), f).select(
             F.col(label).cast("double").alias(label), "features"), "kernel")
         test = mapped(rows.where(F.col("fold") == F.lit(f)), f)
-        svm = LinearSVC(maxIter=max_iter, regParam=1.0 / c / 1000.0, labelCol=label,
+        # C weighs the sum of losses; here their mean is minimised
+        svm = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(train.count(), 1)), labelCol=label,
                         featuresCol="features", standardization=False)
         model = _fit_kept(OneVsRest(classifier=svm, labelCol=label, featuresCol="features",
                                     parallelism=8), train.select("features", label))
@@ -221,7 +225,7 @@ def subset_ablation(rows: DataFrame, subsets: Mapping[str, Sequence[str]],
 
 def validation_sensitivity(rows: DataFrame, key: str, label: str, n_classes: int, k: int,
                            setpoint: str, setpoints: Sequence, trees: int = 10,
-                           depth: int = 6) -> DataFrame:
+                           depth: int = MAX_DEPTH) -> DataFrame:
     """Macro F1 over k folds (mean, population std) against leave-one-setpoint-out."""
     by_fold = recording_predictions(
         forest_oof(rows, list(range(k)), key, label, n_classes, trees, depth=depth),

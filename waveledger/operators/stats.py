@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from waveledger import fixed_values as fv
+from waveledger.sources.tables import staged
 from waveledger.functions import ordered
 from waveledger.functions.scalars import nan_to_null, portable_hash
 
@@ -116,16 +117,16 @@ def compare_modalities(folds: DataFrame, candidate: str, n_iter: int = 5000, see
                        ) -> DataFrame:
     """Per reference: mean deltas with intervals, signed-rank p and the non-inferiority verdict."""
     deltas = paired_deltas(folds, candidate, ["macro_f1", "mae"])
-    out = None
-    for name, col_ in (("f1", "delta_macro_f1"), ("mae", "delta_mae")):
-        ci = bootstrap_interval(deltas, ["reference"], col_, n_iter, seed).select(
-            "reference", F.col("mean").alias(f"delta_{name}_mean"),
-            F.col("ci_low").alias(f"delta_{name}_ci_low"),
-            F.col("ci_high").alias(f"delta_{name}_ci_high"))
-        p = signed_rank(deltas, ["reference"], col_).select(
-            "reference", F.col("p_value").alias(f"delta_{name}_wilcoxon_p"))
-        part = ci.join(p, "reference")
-        out = part if out is None else out.join(part, "reference")
+    # both metrics go through each step together; the fold table is computed once
+    pair = F.explode(F.array(F.struct(F.lit("f1").alias("metric"), F.col("delta_macro_f1").alias("delta")),
+                             F.struct(F.lit("mae").alias("metric"), F.col("delta_mae").alias("delta")))).alias("_d")
+    keys = ["reference", "metric"]
+    long = staged(deltas.select("reference", "fold", pair).select("reference", "fold", "_d.metric", "_d.delta"), "deltas")
+    ci = bootstrap_interval(long, keys, "delta", n_iter, seed)
+    facts = ci.join(signed_rank(long, keys, "delta").select(*keys, F.col("p_value").alias("wilcoxon_p")), keys)
+    out = facts.groupBy("reference").agg(*[
+        F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"delta_{m}_{c}")
+        for m in ("f1", "mae") for c in ("mean", "ci_low", "ci_high", "wilcoxon_p")])
     return noninferiority(out, f1_margin, mae_margin)
 
 

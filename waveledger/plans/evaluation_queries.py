@@ -338,18 +338,18 @@ def train_stats(spark, sf):
                       rounded("std").alias("std"))
 
 
-_RAW_FEATURES = [f"f{i}" for i in range(8)]
+_RAW_FEATURES = [f"f{i}" for i in range(64)]
 
 
 def fold_features(spark, sf):
-    """Windows with their fold and the first eight samples as plain features."""
+    """Windows with their fold and all samples as plain features."""
     w = S.windows(spark, sf).join(_folds(spark, sf).select("group_id", "fold"), "group_id")
     return w.select("vec_id", "group_id", "label", "fold", *[
         F.get(F.col("samples"), F.lit(i)).cast("double").alias(f) for i, f in enumerate(_RAW_FEATURES)])
 
 
 _FOLD_LONG = _FOLDS + """, long AS (
-  SELECT vec_id, w.label, fold AS own, concat('f', CAST(j AS VARCHAR)) AS feature, x FROM win w JOIN folds USING (group_id) WHERE j < 8),
+  SELECT vec_id, w.label, fold AS own, concat('f', CAST(j AS VARCHAR)) AS feature, x FROM win w JOIN folds USING (group_id)),
 stats AS (
   SELECT f AS fold, feature, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std FROM long, range(5) t(f) WHERE f <> own GROUP BY ALL)"""
 
@@ -382,12 +382,16 @@ def knn_oof(spark, sf):
 # Votes and softmax ------------------------------------------------------------------------
 
 def _logits(spark, sf):
-    return S.windows(spark, sf).withColumn(
-        "logits", F.transform(F.slice("samples", 1, 10), lambda x: x.cast("double") * 10))
+    """Ten class scores from the whole window: sums of every tenth sample."""
+    def score(k):
+        mine = F.filter("samples", lambda x, i: i % 10 == k)
+        return F.aggregate(mine, F.lit(0.0), lambda a, x: a + x.cast("double") * 10)
+
+    return S.windows(spark, sf).withColumn("logits", F.transform(F.sequence(F.lit(0), F.lit(9)), score))
 
 
 _LOGITS = S.WIN + """, logits AS (
-  SELECT vec_id, label, group_id, CAST(j AS BIGINT) AS class, x * 10 AS logit FROM win WHERE j < 10),
+  SELECT vec_id, label, group_id, CAST(j % 10 AS BIGINT) AS class, sum(x * 10 ORDER BY j) AS logit FROM win GROUP BY ALL),
 probs AS (SELECT vec_id, label, group_id, class, logit, exp(logit - max(logit) OVER w) / sum(exp(logit - mx)) OVER w AS p
   FROM (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS mx FROM logits) WINDOW w AS (PARTITION BY vec_id))"""
 
@@ -643,7 +647,7 @@ macro AS (
 
 @query("roc_macro_curve", f"WITH {_MACRO} SELECT round(fpr, 9) + 0.0 AS fpr, round(macro_tpr, 6) + 0.0 AS macro_tpr FROM macro")
 def roc_macro_curve(spark, sf):
-    c = metrics.macro_roc_curve(_logits(spark, sf), "label", "logits", CLASSES, slices=64)
+    c = metrics.macro_roc_curve(_logits(spark, sf), "label", "logits", CLASSES)
     return c.select(rounded("fpr", 9).alias("fpr"), rounded("macro_tpr").alias("macro_tpr"))
 
 
@@ -651,8 +655,8 @@ def roc_macro_curve(spark, sf):
 WITH {_MACRO}, s AS (SELECT fpr - lag(fpr) OVER (ORDER BY fpr) AS dx, macro_tpr + lag(macro_tpr) OVER (ORDER BY fpr) AS sy FROM macro)
 SELECT round(sum(dx * sy / 2), 6) + 0.0 AS auc FROM s""")
 def roc_macro_auc(spark, sf):
-    c = metrics.macro_roc_curve(_logits(spark, sf), "label", "logits", CLASSES, slices=64)
-    return _r(metrics.curve_auc(c, "fpr", "macro_tpr", slices=64), [], ["auc"])
+    c = metrics.macro_roc_curve(_logits(spark, sf), "label", "logits", CLASSES)
+    return _r(metrics.curve_auc(c, "fpr", "macro_tpr"), [], ["auc"])
 
 
 # Fold tables and decisions -------------------------------------------------------------------
@@ -711,7 +715,7 @@ def _boot_sql(column: str, name: str) -> str:
     return f"""{name} AS (
   SELECT reference, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (
     SELECT reference, it, avg(v[1 + CAST(concat('0x', substr(md5(concat('42:', it, ':', d)), 1, 8)) AS BIGINT) % len(v)]) AS m
-    FROM (SELECT reference, list({column} ORDER BY fold) AS v FROM delta GROUP BY reference), range(400) a(it), range(5) b(d)
+    FROM (SELECT reference, list({column} ORDER BY fold) AS v FROM delta GROUP BY reference), range(5000) a(it), range(5) b(d)
     GROUP BY reference, it) GROUP BY reference)"""
 
 
@@ -721,7 +725,7 @@ SELECT reference, round(any_value(lo), 6) + 0.0 AS ci_low, round(any_value(hi),
   round(avg(delta_macro_f1), 6) + 0.0 AS mean FROM delta JOIN b USING (reference) GROUP BY reference""")
 def bootstrap_ci(spark, sf):
     d = stats.paired_deltas(_fold_table(spark, sf), "click", ["macro_f1", "mae"])
-    return _r(stats.bootstrap_interval(d, ["reference"], "delta_macro_f1", 400), ["reference"],
+    return _r(stats.bootstrap_interval(d, ["reference"], "delta_macro_f1"), ["reference"],
               ["mean", "ci_low", "ci_high"])
 
 
@@ -774,7 +778,7 @@ j AS (
 SELECT reference, {_rs(_CMP)}, delta_f1_ci_low > -0.05 AS noninferior_f1, delta_mae_ci_high < 0.3 AS noninferior_mae,
   delta_f1_ci_low > -0.05 AND delta_mae_ci_high < 0.3 AS noninferior_overall FROM j""")
 def noninferiority(spark, sf):
-    out = stats.compare_modalities(_fold_table(spark, sf), "click", n_iter=400, mae_margin=0.3)
+    out = stats.compare_modalities(_fold_table(spark, sf), "click", mae_margin=0.3)
     return _r(out, ["reference", "noninferior_f1", "noninferior_mae", "noninferior_overall"], _CMP)
 
 

@@ -34,7 +34,7 @@ def _rows(spark, sf):
 @query("rf_oof")
 def rf_oof(spark, sf):
     rows = models.assemble(_rows(spark, sf), BOTH)
-    oof = models.forest_oof(rows, range(K), "group_id", "label", N_CLASSES, trees=20, depth=6)
+    oof = models.forest_oof(rows, range(K), "group_id", "label", N_CLASSES, trees=500)
     voted = models.recording_predictions(oof, "group_id", "label", N_CLASSES)
     return voted.select("fold", "group_id", "label", "n_segments", "predicted")
 
@@ -42,7 +42,7 @@ def rf_oof(spark, sf):
 @query("rf_fold_metrics")
 def rf_fold_metrics(spark, sf):
     rows = models.assemble(_rows(spark, sf), BOTH)
-    oof = models.forest_oof(rows, range(K), "group_id", "label", N_CLASSES, trees=20, depth=6)
+    oof = models.forest_oof(rows, range(K), "group_id", "label", N_CLASSES, trees=500)
     voted = models.recording_predictions(oof, "group_id", "label", N_CLASSES)
     return models.fold_metrics(voted, "label")
 
@@ -50,14 +50,14 @@ def rf_fold_metrics(spark, sf):
 @query("rf_reg_oof")
 def rf_reg_oof(spark, sf):
     rows = models.assemble(_rows(spark, sf), BOTH)
-    oof = models.forest_regression_oof(rows, range(K), "group_id", "setpoint", trees=20, depth=6)
+    oof = models.forest_regression_oof(rows, range(K), "group_id", "setpoint", trees=500)
     per = voting.median_vote(oof, ["fold", "group_id", "setpoint"], "prediction", "load_pred")
     return metrics.regression_metrics(per, "setpoint", "load_pred", ["fold"])
 
 
 @query("rff_svm_oof")
 def rff_svm_oof(spark, sf):
-    oof = models.kernel_svm_oof(_rows(spark, sf), BOTH, range(K), "label", n_out=32, max_iter=3)
+    oof = models.kernel_svm_oof(_rows(spark, sf), BOTH, range(K), "label")
     voted = voting.majority_vote(oof, ["fold", "group_id", "label"], "prediction", "predicted")
     return voted.select("fold", "group_id", "label", "predicted", "n_segments")
 
@@ -66,7 +66,7 @@ def rff_svm_oof(spark, sf):
 def subset_ablation(spark, sf):
     def forest(rows, features):
         return models.forest_oof(models.assemble(rows, features), range(K), "group_id", "label",
-                                 N_CLASSES, trees=10, depth=5, min_leaf=2
+                                 N_CLASSES, trees=200, min_leaf=2
                                  ).withColumn("predicted", F.col("prediction"))
 
     def nearest(rows, features):
@@ -75,8 +75,7 @@ def subset_ablation(spark, sf):
             "predicted", F.col("predicted").cast("double"))
 
     def svm(rows, features):
-        return models.kernel_svm_oof(rows, features, range(K), "label", n_out=16, max_iter=1
-                                     ).withColumn("predicted", F.col("prediction"))
+        return models.kernel_svm_oof(rows, features, range(K), "label").withColumn("predicted", F.col("prediction"))
 
     return models.subset_ablation(
         _rows(spark, sf), {"time": TIME, "frequency": BANDS, "both": BOTH},
@@ -96,8 +95,7 @@ def validation_sensitivity(spark, sf):
 
     def score(task: str):
         n, data = tasks[task]
-        return models.validation_sensitivity(data, "group_id", "label", n, K, "setpoint", setpoints,
-                                             trees=3, depth=3).withColumn("task", F.lit(task))
+        return models.validation_sensitivity(data, "group_id", "label", n, K, "setpoint", setpoints, trees=10).withColumn("task", F.lit(task))
 
     with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
         return reduce(DataFrame.unionByName, pool.map(score, tasks))
@@ -106,5 +104,5 @@ def validation_sensitivity(spark, sf):
 @query("rf_importance")
 def rf_importance(spark, sf):
     rows = models.assemble(_rows(spark, sf), BOTH).withColumn("weight", F.lit(1.0))
-    model = models.forest_classifier("label", trees=10, depth=6).fit(rows)
+    model = models.forest_classifier("label", trees=500).fit(rows)
     return models.feature_importance(model, spark, BOTH, top=8)

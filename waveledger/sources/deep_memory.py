@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from waveledger import fixed_values as fv
 from waveledger.functions import ordered
-from waveledger.sources.files import frames, open_input
+from waveledger.sources.files import frames, open_input, spread
 
 CHUNK_SCHEMA = ("path string, channel string, start_sample bigint, fs double, lsb double, "
                 "codes array<smallint>, error string")
@@ -44,23 +45,34 @@ def decode(files: DataFrame, rate_hz: float = fv.DEEP_MEMORY_RATE_HZ,
     return files.select("path", "content").mapInPandas(run, CHUNK_SCHEMA)
 
 
-def read_chunks(listing: DataFrame, rate_hz: float = fv.DEEP_MEMORY_RATE_HZ,
-                chunk: int = 65_536) -> DataFrame:
-    """Codes of files on storage; ranges follow from the file length and are read apart."""
+def read_chunks(listing: DataFrame, rate_hz: float = fv.DEEP_MEMORY_RATE_HZ, chunk: int = 65_536,
+                offset_s: float = 0.0, duration_s: float | None = None,
+                partitions: int | None = None) -> DataFrame:
+    """Codes of files on storage for [offset, offset + duration) seconds at the assumed rate.
+
+    Ranges follow from the file length and are read apart. A file without payload, or without
+    codes in the span, gives an error row.
+    """
     size = F.col("length") - fv.DEEP_MEMORY_HEADER
-    ranges = (listing.where(size > 0).select("path", size.alias("_n"))
-              .withColumn("_start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1,
+    first = math.floor(max(0.0, offset_s) * rate_hz)
+    stop = size if duration_s is None else F.least(size, F.lit(first + round(duration_s * rate_hz)))
+    spans = listing.select("path", size.alias("_n"), F.lit(first).cast("bigint").alias("_a"),
+                           stop.cast("bigint").alias("_b"))
+    ranges = (spans.where("_n > 0 AND _b > _a")
+              .withColumn("_start", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1,
                                                          F.lit(chunk).cast("bigint"))))
-              .select("path", "_start"))
+              .select("path", "_start", F.least(F.lit(chunk), F.col("_b") - F.col("_start")).alias("_len")))
+    empty = spans.where("NOT (_n > 0 AND _b > _a) OR _n IS NULL").select("path", F.when(
+        F.col("_n") > 0, "no samples in range").otherwise("no payload").alias("error"))
 
     def rows(batches):
         for batch in batches:
-            for path, start in batch.itertuples(index=False):
+            for path, start, n in batch.itertuples(index=False):
                 try:
                     with open_input(path) as f:
                         lsb = _lsb(f.read(fv.DEEP_MEMORY_HEADER))
                         f.seek(int(fv.DEEP_MEMORY_HEADER + start))
-                        codes = np.frombuffer(f.read(chunk), "u1").astype(np.int16)
+                        codes = np.frombuffer(f.read(int(n)), "u1").astype(np.int16)
                     yield (path, "CH1(V)", start, rate_hz, lsb, codes, None)
                 except OSError as exc:
                     yield (path, None, None, None, None, None, f"cannot read: {exc}")
@@ -68,7 +80,8 @@ def read_chunks(listing: DataFrame, rate_hz: float = fv.DEEP_MEMORY_RATE_HZ,
     def run(batches):
         return frames(rows(batches), _COLUMNS, 5)
 
-    return ranges.repartition("path", "_start").mapInPandas(run, CHUNK_SCHEMA)
+    read = spread(ranges, F.col("_len"), "path", "_start", partitions=partitions).mapInPandas(run, CHUNK_SCHEMA)
+    return read.unionByName(empty, allowMissingColumns=True)
 
 
 def codes_long(chunks: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def open_input(path: str):
@@ -20,6 +21,30 @@ def open_input(path: str):
     return system.open_input_file(inner)
 
 
+#: Bytes that one task reads, and files that one task opens for their headers.
+TASK_BYTES = 32 << 20
+TASK_FILES = 64
+
+
+def spread(work: DataFrame, bytes_to_read: Column, *keys: str, partitions: int | None = None,
+           fewest: int = 1) -> DataFrame:
+    """Deal rows of work (ranges, paths) to tasks by the bytes they stand for.
+
+    The rows themselves are tiny, so adaptive execution would put them into one task; the
+    number of partitions is therefore explicit: the bytes over TASK_BYTES, or `fewest`.
+    """
+    if partitions is None:
+        size = work.agg(F.sum(bytes_to_read.cast("double"))).first()[0] or 0
+        partitions = max(fewest, math.ceil(size / TASK_BYTES))
+    return work.repartition(partitions, *keys)
+
+
+def spread_files(listing: DataFrame) -> DataFrame:
+    """Paths in as many partitions as opening them takes, TASK_FILES to a task."""
+    paths = listing.select("path")
+    return paths.repartition(max(1, math.ceil(paths.count() / TASK_FILES)), "path")
+
+
 def frames(rows, columns: list[str], samples_at: int, budget: int = 4_000_000):
     """Pandas frames of row tuples, each holding about `budget` samples at most."""
     held, size = [], 0
@@ -99,7 +124,7 @@ def checksums(listing: DataFrame, block: int = 1 << 20) -> DataFrame:
                     rows.append((path, None, f"cannot read: {exc}"))
             yield pd.DataFrame(rows, columns=["path", "sha256", "error"])
 
-    return listing.select("path").repartition("path").mapInPandas(
+    return spread(listing.select("path", "length"), F.col("length"), "path").select("path").mapInPandas(
         run, "path string, sha256 string, error string")
 
 

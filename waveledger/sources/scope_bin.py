@@ -21,13 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from waveledger import fixed_values as fv
-from waveledger.sources.files import frames, open_input
+from waveledger.sources.files import frames, open_input, spread, spread_files
+from waveledger.sources.tables import staged
 
 HEADER_SCHEMA = (
     "path string, waveform int, buffer int, channel string, unit string, rate_hz double, "
     "points bigint, width int, payload_offset bigint, available_points bigint, "
     "declared_s double, available_s double, captured string, declared_size bigint, "
-    "file_size bigint, error string")
+    "file_size bigint, error string, origin_s double")
 CHUNK_SCHEMA = ("path string, channel string, start_sample bigint, fs double, "
                 "samples array<float>, error string")
 _CHUNK_COLUMNS = ["path", "channel", "start_sample", "fs", "samples", "error"]
@@ -53,7 +54,7 @@ def _buffers(read: Read, size: int) -> Iterator[dict]:
         if len(h) < 60:
             raise ValueError("waveform header cut off")
         length, _, n_buffers, points = struct.unpack_from("<4i", h)
-        step, = struct.unpack_from("<d", h, 32)
+        step, origin = struct.unpack_from("<2d", h, 32)
         unit, = struct.unpack_from("<i", h, 52)
         if length < 60 or points < 1 or n_buffers < 1 or not step > 0:
             raise ValueError("invalid waveform header")
@@ -75,7 +76,7 @@ def _buffers(read: Read, size: int) -> Iterator[dict]:
                    "channel": name if name.endswith(")") else f"{name}({unit_name})",
                    "rate_hz": 1.0 / step, "points": points, "width": width,
                    "payload_offset": start, "available_points": have,
-                   "declared_s": points * step, "available_s": have * step, "captured": stamp,
+                   "declared_s": points * step, "available_s": have * step, "captured": stamp, "origin_s": origin,
                    "declared_size": declared, "file_size": size, "_header": length,
                    "_bytes": n_bytes, "_end": start + n_bytes}
             at = start + n_bytes
@@ -137,7 +138,17 @@ def probe(listing: DataFrame) -> DataFrame:
                     rows.append({"path": p, "error": f"cannot open: {exc}"})
             yield _frame(rows, _HEADER_COLUMNS)
 
-    return listing.select("path").mapInPandas(run, HEADER_SCHEMA)
+    return spread_files(listing).mapInPandas(run, HEADER_SCHEMA)
+
+
+def with_time(samples: DataFrame, header_rows: DataFrame) -> DataFrame:
+    """Add `t`, seconds on the capture's own axis, to samples (path, channel, i, fs, ...).
+
+    The origin is the header's; the header rows of a file are few and are joined by path.
+    """
+    origins = header_rows.where("error IS NULL").select("path", "channel", "origin_s")
+    return samples.join(origins, ["path", "channel"]).withColumn(
+        "t", F.col("origin_s") + F.col("i") / F.col("fs")).drop("origin_s")
 
 
 def durations(header_rows: DataFrame) -> DataFrame:
@@ -157,8 +168,8 @@ def _problem(rows: list[dict], size: int) -> str | None:
         if r["_bytes"] != r["points"] * r["width"]:
             return "buffer size differs from points"
         if r["_end"] > size:
-            return (f"truncated payload: {r['available_points']} of {r['points']} samples "
-                    f"({r['available_s']:.6f} of {r['declared_s']:.6f} s)")
+            return (f"payload ends after {r['available_points']} samples of {r['points']}, "
+                    f"{r['available_s']:.6f} s of {r['declared_s']:.6f} s")
         if r["declared_size"] != size:
             return f"declared {r['declared_size']} bytes, actual {size}"
     if rows[-1]["_end"] != size:
@@ -209,9 +220,10 @@ def read_chunks(listing: DataFrame, chunk: int = 65_536, offset_s: float = 0.0,
                 duration_s: float | None = None, partitions: int | None = None) -> DataFrame:
     """Samples of files on storage for [offset, offset + duration) seconds.
 
-    The ranges to read are rows, spread over the cluster before anything is read.
+    The ranges to read are rows, spread over the cluster by the bytes they stand for before
+    anything is read. A buffer without samples in the span gives an error row.
     """
-    heads = probe(listing)
+    heads = staged(probe(listing), "scope-heads")
     first = F.floor(F.lit(float(offset_s)) * F.col("rate_hz"))
     stop = F.col("available_points")
     if duration_s is not None:
@@ -222,8 +234,7 @@ def read_chunks(listing: DataFrame, chunk: int = 65_536, offset_s: float = 0.0,
               .withColumn("_start", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1, F.lit(chunk))))
               .select("path", "channel", "rate_hz", "width", "payload_offset", "_start",
                       F.least(F.lit(chunk), F.col("_b") - F.col("_start")).alias("_n")))
-    spread = (ranges.repartition("path", "_start") if partitions is None
-              else ranges.repartition(partitions, "path", "_start"))
+    dealt = spread(ranges, F.col("_n") * F.col("width"), "path", "_start", partitions=partitions)
 
     def rows(batches):
         for batch in batches:
@@ -239,8 +250,7 @@ def read_chunks(listing: DataFrame, chunk: int = 65_536, offset_s: float = 0.0,
     def run(batches):
         return frames(rows(batches), _CHUNK_COLUMNS, 4)
 
-    errors = heads.where("error IS NOT NULL").select(
-        "path", F.lit(None).cast("string").alias("channel"),
-        F.lit(None).cast("bigint").alias("start_sample"), F.lit(None).cast("double").alias("fs"),
-        F.lit(None).cast("array<float>").alias("samples"), "error")
-    return spread.mapInPandas(run, CHUNK_SCHEMA).unionByName(errors)
+    errors = heads.where("error IS NOT NULL").select("path", "error")
+    missed = good.where("NOT _b > _a").select("path", "channel", F.lit("no samples in range").alias("error"))
+    return (dealt.mapInPandas(run, CHUNK_SCHEMA).unionByName(errors, allowMissingColumns=True)
+            .unionByName(missed, allowMissingColumns=True))

@@ -26,9 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _stage_dir(spark: SparkSession) -> str:
+    """One folder for all that this application stages."""
+    return f"{shared_dir(spark).rstrip('/')}/waveledger/{spark.sparkContext.applicationId}"
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete everything this application has staged.
+
+    Tables that were built from staged ones must have been written or read before: call it when
+    the results are out, at the end of a job.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stage_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a result once and continue from the written table (also cuts its lineage)."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/waveledger/{name}-{uuid.uuid4().hex}"
+    path = f"{_stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from waveledger.sources.files import frames, open_input
+from waveledger.sources.files import frames, open_input, spread, spread_files
+from waveledger.sources.tables import staged
 
 INFO_SCHEMA = ("path string, sample_rate_hz double, channels int, bit_depth int, frames bigint, "
                "duration_s double, error string")
@@ -68,7 +69,7 @@ def probe(listing: DataFrame) -> DataFrame:
                     rows.append((p, None, None, None, None, None, f"cannot open: {exc}"))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in INFO_SCHEMA.split(", ")])
 
-    return listing.select("path").mapInPandas(run, INFO_SCHEMA)
+    return spread_files(listing).mapInPandas(run, INFO_SCHEMA)
 
 
 def _channel_chunks(path, handle, start: int, frames: int, chunk: int, mode: str):
@@ -80,16 +81,17 @@ def _channel_chunks(path, handle, start: int, frames: int, chunk: int, mode: str
         while left > 0:
             want = min(chunk, left)
             x = _pcm(w.readframes(want), w.getsampwidth(), w.getnchannels())
-            if len(x) < want:
-                yield (path, None, at, rate, None, f"payload ends at frame {at + len(x)} of {total}")
-                return
             if mode == "mono":
                 x = x.mean(axis=1, keepdims=True)
             elif mode == "first":
                 x = x[:, :1]
             for c in range(x.shape[1]):
                 name = "mono" if mode == "mono" else f"ch{c}"
-                yield (path, name, at, rate, x[:, c].astype(np.float32), None)
+                if len(x):
+                    yield (path, name, at, rate, x[:, c].astype(np.float32), None)
+            if len(x) < want:
+                yield (path, None, at + len(x), rate, None, f"payload ends at frame {at + len(x)} of {total}")
+                return
             at, left = at + want, left - want
 
 
@@ -114,24 +116,30 @@ def decode(files: DataFrame, mode: str = "all", offset_s: float = 0.0,
 
 
 def read_chunks(listing: DataFrame, mode: str = "all", offset_s: float = 0.0,
-                duration_s: float | None = None, chunk: int = 65_536) -> DataFrame:
-    """Samples of files on storage; each range of a file is its own row of work."""
-    heads = probe(listing)
+                duration_s: float | None = None, chunk: int = 65_536,
+                partitions: int | None = None) -> DataFrame:
+    """Samples of files on storage; each range of a file is its own row of work.
+
+    A recording without frames in the span gives an error row; one that is cut off gives the
+    frames it has and an error row.
+    """
+    heads = staged(probe(listing), "wav-heads")
     rate = F.col("sample_rate_hz")
     first = F.floor(F.lit(max(0.0, float(offset_s))) * rate)
     stop = F.col("frames")
     if duration_s is not None:
         stop = F.least(stop, first + F.bround(F.lit(float(duration_s)) * rate))
-    ranges = (heads.where("error IS NULL")
-              .select("path", first.cast("bigint").alias("_a"), stop.cast("bigint").alias("_b"))
-              .where("_b > _a")
+    spans = heads.where("error IS NULL").select(
+        "path", first.cast("bigint").alias("_a"), stop.cast("bigint").alias("_b"),
+        (F.col("channels") * F.col("bit_depth") / 8).alias("_frame_bytes"))
+    ranges = (spans.where("_b > _a")
               .withColumn("_start", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1, F.lit(chunk))))
-              .select("path", "_start",
-                      F.least(F.lit(chunk), F.col("_b") - F.col("_start")).alias("_n")))
+              .select("path", "_start", F.least(F.lit(chunk), F.col("_b") - F.col("_start")).alias("_n"),
+                      "_frame_bytes"))
 
     def rows(batches):
         for batch in batches:
-            for path, start, n in batch.itertuples(index=False):
+            for path, start, n, _ in batch.itertuples(index=False):
                 try:
                     with open_input(path) as f:
                         yield from _channel_chunks(path, f, int(start), int(n), chunk, mode)
@@ -141,11 +149,10 @@ def read_chunks(listing: DataFrame, mode: str = "all", offset_s: float = 0.0,
     def run(batches):
         return frames(rows(batches), _COLUMNS, 4)
 
-    errors = heads.where("error IS NOT NULL").select(
-        "path", F.lit(None).cast("string").alias("channel"),
-        F.lit(None).cast("bigint").alias("start_sample"), F.lit(None).cast("double").alias("fs"),
-        F.lit(None).cast("array<float>").alias("samples"), "error")
-    return ranges.repartition("path", "_start").mapInPandas(run, CHUNK_SCHEMA).unionByName(errors)
+    errors = heads.where("error IS NOT NULL").select("path", "error").unionByName(
+        spans.where("NOT _b > _a").select("path", F.lit("no samples in range").alias("error")))
+    dealt = spread(ranges, F.col("_n") * F.col("_frame_bytes"), "path", "_start", partitions=partitions)
+    return dealt.mapInPandas(run, CHUNK_SCHEMA).unionByName(errors, allowMissingColumns=True)
 
 
 def rails(bit_depth):
