@@ -223,12 +223,25 @@ def subset_ablation(rows: DataFrame, subsets: Mapping[str, Sequence[str]],
                       F.col("macro_f1").alias("macro_f1_record")), by)
 
 
-def validation_sensitivity(rows: DataFrame, key: str, label: str, n_classes: int, k: int,
-                           setpoint: str, setpoints: Sequence, trees: int = 10,
+def task_folds(rows: DataFrame, key: str, label: str, most: int = 5) -> tuple[DataFrame, int]:
+    """(rows with `fold`, k): k is `most` or the groups of the smallest class, if fewer.
+
+    Folds are stratified by the task's own label; a fold the rows already have is replaced.
+    """
+    rows = rows.drop("fold")
+    groups = rows.select(key, label).distinct()
+    k = max(2, splits.min_class_folds(groups, key, label, most).first()["n_folds"] or 0)
+    folds = splits.stratified_group_folds(groups, key, label, k).select(key, "fold")
+    return rows.join(folds, key), k
+
+
+def validation_sensitivity(rows: DataFrame, key: str, label: str, n_classes: int,
+                           setpoint: str, setpoints: Sequence, trees: int = 10, most: int = 5,
                            depth: int = MAX_DEPTH) -> DataFrame:
-    """Macro F1 over k folds (mean, population std) against leave-one-setpoint-out."""
+    """Macro F1 over the task's folds (mean, population std) against leave-one-setpoint-out."""
+    dealt, k = task_folds(rows, key, label, most)
     by_fold = recording_predictions(
-        forest_oof(rows, list(range(k)), key, label, n_classes, trees, depth=depth),
+        forest_oof(staged(dealt, "task-folds"), list(range(k)), key, label, n_classes, trees, depth=depth),
         key, label, n_classes)
     cv = fold_metrics(by_fold, label).agg(
         F.avg("macro_f1").alias("cv_macro_f1_mean"), F.stddev_pop("macro_f1").alias("cv_macro_f1_std"),

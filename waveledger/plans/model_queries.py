@@ -82,20 +82,50 @@ def subset_ablation(spark, sf):
         {"kNN": nearest, "SVM": svm, "Random Forest": forest}, "group_id", "label", CLASSES)
 
 
+def _tasks(rows):
+    """Classes and rows of each task; `label` is the condition on the way in, the target on the way out."""
+    operation = F.floor(F.col("label") / 3).cast("double")
+    return {"condition": (N_CLASSES, rows),
+            "operation": (4, rows.withColumn("label", operation)),
+            "reversal": (2, rows.withColumn("label", F.col("label") % 2)),
+            "binary": (2, rows.withColumn("label", operation).where("label < 2"))}
+
+
+_TASK_LABELS = {"condition": "label", "operation": "label // 3", "reversal": "label % 2", "binary": "label // 3"}
+_TASKS_SQL = S.WIN + ", g AS (" + " UNION ALL ".join(
+    f"SELECT DISTINCT '{t}' AS task, group_id, CAST({e} AS BIGINT) AS label FROM win"
+    + (f" WHERE {e} < 2" if t == "binary" else "") for t, e in _TASK_LABELS.items()) + """),
+sizes AS (SELECT task, label, count(*) AS n FROM g GROUP BY ALL),
+k AS (SELECT task, greatest(2, least(5, min(n))) AS n_folds FROM sizes GROUP BY task),
+f AS (
+  SELECT g.task, g.group_id, g.label, n_folds, (row_number() OVER (PARTITION BY g.task, g.label ORDER BY md5(concat('42:', g.group_id))) - 1
+    + CAST(concat('0x', substr(md5(concat('42:', CAST(g.label AS DOUBLE))), 1, 8)) AS BIGINT) % n_folds) % n_folds AS fold
+  FROM g JOIN k USING (task))"""
+
+
+@query("task_folds", f"""
+WITH {_TASKS_SQL} SELECT task, group_id, CAST(label AS DOUBLE) AS label, n_folds, fold FROM f""")
+def task_folds(spark, sf):
+    """Folds of each task, stratified by its own target and as many as its smallest class allows."""
+    out = None
+    base = S.windows(spark, sf).select("group_id", F.col("label").cast("double").alias("label")).distinct()
+    for task, (_, rows) in _tasks(base).items():
+        dealt, k = models.task_folds(rows.distinct(), "group_id", "label")
+        part = dealt.select(F.lit(task).alias("task"), "group_id", "label", F.lit(k).cast("bigint").alias("n_folds"), "fold")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("validation_sensitivity")
 def validation_sensitivity(spark, sf):
     """Folds against leave-one-setpoint-out for condition, operation, reversal and a pair."""
     rows = models.assemble(_rows(spark, sf), BOTH)
     setpoints = [float(i) for i in range(10)]
-    operation = F.floor(F.col("label") / 3).cast("double")
-    tasks = {"condition": (N_CLASSES, rows),
-             "operation": (4, rows.withColumn("label", operation)),
-             "reversal": (2, rows.withColumn("label", F.col("label") % 2)),
-             "binary": (2, rows.withColumn("label", operation).where("label < 2"))}
+    tasks = _tasks(rows)
 
     def score(task: str):
         n, data = tasks[task]
-        return models.validation_sensitivity(data, "group_id", "label", n, K, "setpoint", setpoints, trees=10).withColumn("task", F.lit(task))
+        return models.validation_sensitivity(data, "group_id", "label", n, "setpoint", setpoints, trees=10).withColumn("task", F.lit(task))
 
     with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
         return reduce(DataFrame.unionByName, pool.map(score, tasks))

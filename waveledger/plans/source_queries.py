@@ -10,7 +10,7 @@ from waveledger.functions.scalars import rounded
 from waveledger.operators import quality
 from waveledger.plans import captures, spectral_queries, standins as S
 from waveledger.plans.registry import query
-from waveledger.sources import deep_memory, files, scope_bin, scope_csv, tables, wav
+from waveledger.sources import deep_memory, dispatch, files, scope_bin, scope_csv, tables, wav
 
 _PARTS = S.SIG + """, parts AS (
   SELECT recording_id, i // 4096 AS part, i - i // 4096 * 4096 AS k, value,
@@ -46,7 +46,7 @@ def bin_durations(spark, sf):
 @query("bin_validate", f"""
 WITH {_PARTS}, f AS (SELECT DISTINCT recording_id, part, points FROM parts)
 SELECT {_path('bin')} AS path, recording_id % 5 = 0 AS ok,
-  CASE recording_id % 5 WHEN 1 THEN printf('truncated payload: %d of %d samples (%.6f of %.6f s)',
+  CASE recording_id % 5 WHEN 1 THEN printf('payload ends after %d samples of %d, %.6f s of %.6f s',
       points - 3, points, (points - 3) * 0.125, points * 0.125)
     WHEN 2 THEN 'not a scope capture'
     WHEN 3 THEN printf('declared %d bytes, actual %d', 171 + 4 * points, 164 + 4 * points)
@@ -123,6 +123,48 @@ def wfm_chunks(spark, sf):
         rounded(F.max("volts") - F.min("volts")).alias("vpp"))
 
 
+_STORED = _PARTS + f""", v AS (
+  SELECT {_path('bin')} AS path, 'CH1(V)' AS channel, recording_id % 5 = 2 AS bad, CAST(CAST(value AS FLOAT) AS DOUBLE) AS x
+  FROM parts WHERE recording_id % 5 <> 1 OR k < points - 3
+  UNION ALL SELECT {_path('wav')}, c.channel, recording_id % 5 IN (2, 3), c.sign * floor(value) / 32768
+  FROM parts, (SELECT 'ch0' AS channel, 1 AS sign UNION ALL SELECT 'ch1', -1) c
+  UNION ALL SELECT {_path('wfm')}, 'CH1(V)', recording_id % 5 IN (2, 3), CAST(CAST(least(floor(value), 255) * 0.02 AS FLOAT) AS DOUBLE)
+  FROM parts
+  UNION ALL SELECT {_path('csv')}, 'CH1(V)', recording_id % 5 IN (2, 3), CAST(CAST(value AS FLOAT) AS DOUBLE) FROM parts)"""
+
+
+@query("stored_captures", f"""
+WITH {_STORED}
+SELECT path, CASE WHEN bad THEN NULL ELSE channel END AS channel, CASE WHEN bad THEN 0 ELSE count(*) END AS n_samples,
+  CASE WHEN bad THEN NULL ELSE round(sum(x), 3) + 0.0 END AS total, bad AS failed
+FROM v GROUP BY path, CASE WHEN bad THEN NULL ELSE channel END, bad""")
+def stored_captures(spark, sf):
+    """Captures of all four formats, some cut, short, empty or broken, written, listed and read back.
+
+    Every listed file shows: with its samples per channel, or as failed.
+    """
+    kinds = [captures.scope_files(spark, sf, faulty=True), captures.wav_files(spark, sf),
+             captures.deep_memory_files(spark, sf), captures.csv_files(spark, sf)]
+    root = f"{tables.shared_dir(spark).rstrip('/')}/waveledger/captures-{uuid.uuid4().hex}"
+    fault = F.substring("path", 4, 6).cast("int") % 5
+    for k, kind in enumerate(kinds):
+        content = F.col("content").cast("binary")
+        if k:
+            content = F.when(fault == 2, F.substring(content, 1, 10)).when(
+                fault == 3, F.substring(content, 1, 0)).otherwise(content)
+        files.write_contents(kind.select("path", content.alias("content")), root)
+    chunks = tables.staged(dispatch.read_waveforms(files.listing(spark, root), chunk=1024), "stored")
+    path = F.substring_index("path", "/", -2).alias("path")
+    good = chunks.where("samples IS NOT NULL").select(
+        path, "channel", F.size("samples").alias("_n"),
+        F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("_t"))
+    read = good.groupBy("path", "channel").agg(F.sum("_n").alias("n_samples"), rounded(F.sum("_t"), 3).alias("total"))
+    lost = chunks.where("samples IS NULL").select(path, F.lit(None).cast("string").alias("channel"),
+                                                 F.lit(0).cast("bigint").alias("n_samples"),
+                                                 F.lit(None).cast("double").alias("total"))
+    return read.withColumn("failed", F.lit(False)).unionByName(lost.withColumn("failed", F.lit(True)))
+
+
 @query("decode_failures", f"""
 WITH {_PARTS}, f AS (SELECT DISTINCT recording_id, part FROM parts)
 SELECT {_path('bin')} AS path, 'not a scope capture' AS error FROM f WHERE recording_id % 5 = 2""")

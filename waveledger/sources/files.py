@@ -103,6 +103,28 @@ def contents(spark, root: str, extension: str | None = None) -> DataFrame:
     return reader.load(root).select("path", "content")
 
 
+def write_contents(contents: DataFrame, root: str) -> int:
+    """Write (path, content) rows as files below `root` from tasks; returns their number.
+
+    A repeated task writes the same bytes to the same place.
+    """
+    def run(batches):
+        from pyarrow import fs
+
+        parsed = urlparse(root)
+        system, inner = ((fs.LocalFileSystem(), unquote(parsed.path)) if parsed.scheme in ("", "file")
+                         else fs.FileSystem.from_uri(root))
+        for batch in batches:
+            for path, data in batch.itertuples(index=False):
+                target = f"{inner.rstrip('/')}/{path}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(bytes(data))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return contents.select("path", "content").mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def checksums(listing: DataFrame, block: int = 1 << 20) -> DataFrame:
     """SHA-256 of files on storage, read block by block: (path, sha256, error).
 
