@@ -53,10 +53,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     checked(docs, id_col, text_col)
     text = text_or_empty(text_col)
     rows = docs.select(F.struct("*").alias("row"), id_or_least(id_col).alias("_id"),
-                       F.xxhash64(text).alias("_h"), F.split(text, "\n").alias("_all"))
+                       F.xxhash64(text).alias("_h"))
     keyed = docs.select(id_or_least(id_col).alias("_id"), F.xxhash64(text).alias("_h"),
                         F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("_lines"))
     out = rows.join(repeated_windows(keyed), ["_id", "_h"], "left")
+    out = out.withColumn("_all", F.split(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")), "\n"))
     out = out.withColumn("_covered", F.array_distinct(F.flatten(F.transform(
         F.coalesce("ks", F.array().cast("array<int>")),
         lambda k: F.array(*[k + j for j in range(LINES)])))))
