@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waveledger.functions import ordered
 from waveledger.functions.scalars import rounded
-from waveledger.operators import quality, timefeat, windows
+from waveledger.operators import filetable, quality, readings, timefeat, windows
 from waveledger.plans import standins as S
 from waveledger.plans.registry import query
 
@@ -393,3 +393,51 @@ def recording_means(spark, sf):
     per = timefeat.channel_stats(S.raw_samples(spark, sf), ["recording_id", "channel"])
     return _rounded(timefeat.recording_means(per, REC, ["rms", "vmax"]),
                     ["recording_id", "n_windows"], ["rms", "vmax"])
+
+
+_TABLE_NUM = ["clip_fraction", "dc_offset", "dc_offset_pct_rms", "leading_quiet_s", "flat_max_s", "silent_max_s",
+              "median_rms", "rms_variation_pct", "spot_cv_pct"]
+
+
+@query("file_table", f"""
+WITH {_BLOCKS_SQL}, {S.READ}, kinds AS (
+  SELECT recording_id, 'flat' AS kind, block FROM marked WHERE flat
+  UNION ALL SELECT recording_id, 'silent', block FROM marked WHERE silent),
+isl AS (SELECT *, block - row_number() OVER (PARTITION BY recording_id, kind ORDER BY block) AS g FROM kinds),
+r AS (SELECT recording_id, kind, count(*) * 2 / 64.0 AS s FROM isl GROUP BY recording_id, kind, g),
+quiet AS (SELECT recording_id, max(s) FILTER (WHERE kind = 'flat') AS flat_max_s, max(s) FILTER (WHERE kind = 'silent') AS silent_max_s
+  FROM r GROUP BY recording_id),
+first AS (SELECT recording_id, min(block) FILTER (WHERE NOT (flat OR silent)) AS f FROM marked GROUP BY 1),
+clip AS (SELECT recording_id, count(*) AS n, sum((value <= -1.0)::INT + (value >= 150.0)::INT)::BIGINT AS clip_count FROM gated GROUP BY 1),
+dc AS (SELECT recording_id, channel, avg(value) AS dc, sqrt(avg(value * value)) AS rms FROM gated GROUP BY ALL),
+worst AS (SELECT recording_id, arg_min(dc, (-abs(dc), channel)) AS dc_offset, count(*) AS channels,
+  max(CASE WHEN rms > 0 THEN 100 * abs(dc) / rms ELSE 0 END) AS dc_offset_pct_rms FROM dc GROUP BY 1),
+w AS (SELECT recording_id, i // 8 AS w, sqrt(avg(value * value)) AS rms FROM gated WHERE i < n // 8 * 8 GROUP BY recording_id, i // 8),
+rv AS (SELECT recording_id, count(*) AS n_windows, median(rms) AS median_rms,
+  CASE WHEN count(*) >= 2 AND median(rms) > 0 THEN (max(rms) - min(rms)) / median(rms) * 100 END AS rms_variation_pct FROM w GROUP BY 1),
+cv AS (SELECT recording_id, max(c) AS spot_cv_pct FROM (
+  SELECT recording_id, quantity, CASE WHEN avg(value) = 0 THEN 0 ELSE stddev_pop(value) / avg(value) * 100 END AS c
+  FROM readings GROUP BY ALL) GROUP BY 1),
+dup AS (SELECT recording_id, count(*) OVER (PARTITION BY n) - 1 AS peers FROM clip),
+t AS (
+  SELECT clip.recording_id, n, clip_count, clip_count / n AS clip_fraction, clip_count > 0 AS clipped,
+    dc_offset, dc_offset_pct_rms, channels,
+    CASE WHEN first.recording_id IS NULL THEN 0.0 WHEN f IS NULL THEN n / 64.0 ELSE f * 2 / 64.0 END AS leading_quiet_s,
+    coalesce(flat_max_s, 0) AS flat_max_s, coalesce(silent_max_s, 0) AS silent_max_s, n_windows, median_rms, rms_variation_pct,
+    spot_cv_pct, CASE WHEN peers > 0 THEN peers END AS n_peers, 5 AS expected_channels
+  FROM clip LEFT JOIN worst USING (recording_id) LEFT JOIN first USING (recording_id) LEFT JOIN quiet USING (recording_id)
+  LEFT JOIN rv USING (recording_id) LEFT JOIN cv USING (recording_id) LEFT JOIN dup USING (recording_id))
+SELECT recording_id, n, clip_count, clipped, channels, n_windows, n_peers, leading_quiet_s >= 0.1 AS quiet_start,
+  channels = expected_channels AS channels_ok, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _TABLE_NUM)} FROM t""")
+def file_table(spark, sf):
+    """All checks of a recording in one row; recordings of one length stand for equal contents."""
+    s = S.gated_samples(spark, sf)
+    digests = s.groupBy("recording_id").agg(F.count(F.lit(1)).cast("string").alias("sha256"))
+    peers = quality.duplicate_peers(digests, path="recording_id").select("recording_id", "n_peers")
+    spread = readings.variation(S.readings(spark, sf), REC).select("recording_id", "spot_cv_pct")
+    expected = digests.select("recording_id", F.lit(5).alias("expected_channels"))
+    out = filetable.file_table(s, REC, "channel", _FS, F.lit(-1.0), F.lit(150.0), block=_BLOCK, variation_samples=8,
+                               facts=[peers, spread, expected],
+                               rules={"channels_ok": ("channels", "expected_channels", 0)})
+    return _rounded(out, ["recording_id", "n", "clip_count", "clipped", "channels", "n_windows", "n_peers", "quiet_start",
+                          "channels_ok"], _TABLE_NUM)
