@@ -89,3 +89,39 @@ def test_importance_and_ablation(rows):
     assert len(table) == 4
     for r in table:
         assert r.accuracy_record == (1.0 if r.model == "truth" else 0.25)
+
+
+def test_composed_comparison(spark):
+    from waveledger.operators import benchmark
+
+    rng = np.random.default_rng(7)
+    windows, spans = [], []
+    for c in range(3):
+        for g in range(5):
+            for m, noise in (("good", 0.3), ("poor", 8.0)):
+                for w in range(4 + (m == "good")):
+                    x = rng.normal(loc=4.0 * c, scale=noise)
+                    windows.append((f"c{c}_{g}", float(c), m, w, float(x), 10.0 * c + g))
+                spans.append((f"c{c}_{g}", m, 4.0 + (m == "good")))
+    spans.append(("lonely", "good", 9.0))
+    made = benchmark.plan(
+        spark.createDataFrame(windows, "group_id string, label double, modality string, segment_index bigint, a double, load double"),
+        spark.createDataFrame(spans, "group_id string, modality string, duration_s double"), ["good", "poor"], 1.0, 0.0, k=2)
+    assert made.manifest.count() == 15 and {r.common_windows for r in made.manifest.collect()} == {4}
+    assert made.rows.count() == 15 * 8 and made.shortages.count() == 0
+    weights = benchmark.training_rows(made)
+    assert weights.where("fold = 0").select("group_id").intersect(
+        made.manifest.where("fold = 0").select("group_id")).count() == 0
+    folds, verdict = benchmark.compare(made, {"good": ["a"], "poor": ["a"]}, "poor", 3, "load", trees=5, n_iter=200)
+    score = {(r.modality, r.fold): r for r in folds.collect()}
+    assert len(score) == 4 and all(score["good", f].macro_f1 > 0.9 > score["poor", f].macro_f1 for f in (0, 1))
+    assert [r.noninferior_overall for r in verdict.collect()] == [False]
+
+
+def test_penalty_follows_the_rows(rows):
+    few = models.kernel_svm_oof(rows, ["a", "b"], [0, 1], "label", n_out=32)
+    twice = rows.union(rows)
+    many = models.kernel_svm_oof(twice, ["a", "b"], [0, 1], "label", n_out=32)
+    a = {r.id: r.prediction for r in few.collect()}
+    b = {r.id: r.prediction for r in many.collect()}
+    assert sum(a[i] == b[i] for i in a) >= 0.9 * len(a)

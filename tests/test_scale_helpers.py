@@ -151,3 +151,49 @@ def test_fixed_labels_keep_zero_classes(spark):
     assert rows[2].f1 == 0.0 and rows[0].precision == 0.5 and rows[1].recall == 0.0
     assert metrics.class_metrics(df, "t", "p", labels=[0, 1, 2]).first().macro_f1 == pytest.approx(
         (2 / 3) / 3)
+
+
+def test_time_slices_follow_each_recording(spark, monkeypatch):
+    """Short recordings in a long campaign, and bursts in one recording: no slice far above its target."""
+    from pyspark.sql import functions as F
+
+    from waveledger.functions import ordered
+
+    rows = spark.range(20_000).select(
+        (F.col("id") % 10).alias("k"), F.col("id").alias("e"),
+        F.timestamp_micros(F.when(F.col("id") % 10 < 9, (F.col("id") % 10) * 10**12 + F.col("id") * 1000)
+                           .otherwise(F.when(F.col("id") < 19_000, F.col("id")).otherwise(10**11 + F.col("id") * 10**6))).alias("ts"))
+    seen = []
+    plain = ordered.running_sums
+
+    def spy(df, keys, order, slice_of, sums, totals=None):
+        seen.append(df.withColumn("_s", slice_of).groupBy(*keys, "_s").count().agg(F.max("count")).first()[0])
+        return plain(df, keys, order, slice_of, sums, totals)
+
+    monkeypatch.setattr(ordered, "running_sums", spy)
+    got = ordered.index_by_time(rows, ["k"], "ts", "e", target_rows=200).collect()
+    assert seen[0] <= 400
+    by_key = {}
+    for r in got:
+        by_key.setdefault(r.k, []).append(r)
+    for mine in by_key.values():
+        assert [r.i for r in sorted(mine, key=lambda r: (r.ts, r.e))] == list(range(len(mine)))
+
+
+def test_infinities_have_slices(spark):
+    from waveledger.functions import ordered
+    from waveledger.operators import metrics, voting
+
+    inf = float("inf")
+    df = spark.createDataFrame([("a", 1.0), ("a", inf), ("a", 2.0), ("b", -inf), ("b", 0.0), ("b", 5.0), ("c", inf)],
+                               "k string, v double")
+    got = {r.k: r.m for r in ordered.quantiles(df, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {"a": 2.0, "b": 0.0, "c": inf}
+    slices = [r.s for r in df.select(ordered.value_slice("v").alias("s"), "v").orderBy("v").collect()]
+    assert slices == sorted(slices)
+    assert {r.k: r.p for r in voting.median_vote(df, ["k"], "v", "p").collect()} == got
+    ranks = {(r.k, r.v): r.avg_rank for r in ordered.average_ranks(df, ["k"], "v").collect()}
+    assert ranks["a", inf] == 3.0 and ranks["b", -inf] == 1.0
+    scored = spark.createDataFrame([(inf, True), (1.0, False), (0.5, True), (-inf, False)], "s double, p boolean")
+    points = metrics.roc_points(scored, [], "s", "p")
+    assert metrics.auc(points, []).first().auc == 0.75

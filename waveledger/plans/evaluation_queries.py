@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waveledger import fixed_values as fv
+from waveledger.functions import ordered
 from waveledger.functions.scalars import match_within, rounded
 from waveledger.operators import (manifest, metrics, quality, readings, scaling, splits, stats,
                                   timefeat, voting)
@@ -807,3 +808,59 @@ def topk_per_group(spark, sf):
         F.col("l_returnflag").alias("modality"), "l_orderkey", "l_linenumber",
         F.col("l_extendedprice").alias("importance"))
     return ranking.top_k(rows, ["modality"], [F.desc("importance"), "l_orderkey", "l_linenumber"], 8)
+
+
+# The composed comparison -----------------------------------------------------------------------
+
+_BENCH = S.WIN + """, base AS (SELECT DISTINCT vec_id, label, group_id, vec_id // 10 % 3 AS m FROM win),
+seg AS (SELECT *, row_number() OVER (PARTITION BY group_id, m ORDER BY vec_id) - 1 AS s FROM base),
+have AS (SELECT group_id, label, m, count(*) AS n FROM seg GROUP BY ALL),
+man AS (SELECT group_id, label, min(n + (label % 4 = 0)::INT) AS common FROM have GROUP BY ALL HAVING count(*) = 3),
+dealt AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', group_id))) - 1
+  + CAST(concat('0x', substr(md5(concat('42:', label)), 1, 8)) AS BIGINT) % 5) % 5 AS fold FROM man),
+kept AS (SELECT seg.*, fold FROM seg JOIN dealt USING (group_id) WHERE s < common),
+tr AS (SELECT kept.*, f AS tf FROM kept, range(5) t(f) WHERE f <> fold),
+gr AS (SELECT tf, m, group_id, count(*) AS g FROM tr GROUP BY ALL),
+cl AS (SELECT tf, m, label, count(*) AS c FROM tr GROUP BY ALL),
+tot AS (SELECT tf, m, sum(g) AS n, count(*) AS groups FROM gr GROUP BY ALL),
+cn AS (SELECT tf, m, count(*) AS classes FROM cl GROUP BY ALL)"""
+
+
+def _bench_plan(spark, sf):
+    """Windows of three sensors; some points promise a window more than they have."""
+    from waveledger.operators import benchmark
+
+    w = S.windows(spark, sf).select("vec_id", "label", "group_id", F.element_at(
+        F.array(*[F.lit(m) for m in fv.MODALITIES]), (F.floor(F.col("vec_id") / 10) % 3 + 1).cast("int")).alias("modality"))
+    w = ordered.running_sums(w, ["group_id", "modality"], ["vec_id"], F.floor(F.col("vec_id") / F.lit(65_536)),
+                             {"_at": F.lit(1).cast("bigint")})
+    w = tables.staged(w.withColumn("segment_index", F.col("_at") - 1).drop("_at"), "bench-windows")
+    spans = w.groupBy("group_id", "modality").agg(
+        (F.lit(0.5) + 0.5 * F.count(F.lit(1)) + 0.5 * (F.min("label") % 4 == 0).cast("int")).alias("duration_s"))
+    return benchmark.plan(w, spans, fv.MODALITIES, window_s=1.0, overlap=0.5)
+
+
+@query("benchmark_manifest", f"""
+WITH {_BENCH} SELECT dealt.group_id, dealt.label, common AS common_windows, fold, count(*) FILTER (WHERE n < common) AS shortages
+FROM dealt JOIN have USING (group_id) GROUP BY ALL""")
+def benchmark_manifest(spark, sf):
+    made = _bench_plan(spark, sf)
+    short = made.shortages.groupBy("group_id").agg(F.count(F.lit(1)).alias("shortages"))
+    return made.manifest.join(short, "group_id", "left").withColumn(
+        "shortages", F.coalesce("shortages", F.lit(0))).select("group_id", "label", "common_windows", "fold", "shortages")
+
+
+_SENSOR = "CASE tr.m " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(fv.MODALITIES)) + " END"
+
+
+@query("benchmark_training", f"""
+WITH {_BENCH} SELECT tr.tf AS fold, {_SENSOR} AS modality, tr.group_id, tr.vec_id, tr.s AS segment_index,
+  round((tot.n / groups / g) * (tot.n / classes / c), 6) + 0.0 AS weight
+FROM tr JOIN gr ON gr.tf = tr.tf AND gr.m = tr.m AND gr.group_id = tr.group_id
+JOIN cl ON cl.tf = tr.tf AND cl.m = tr.m AND cl.label = tr.label JOIN tot ON tot.tf = tr.tf AND tot.m = tr.m
+JOIN cn ON cn.tf = tr.tf AND cn.m = tr.m""")
+def benchmark_training(spark, sf):
+    from waveledger.operators import benchmark
+
+    rows = benchmark.training_rows(_bench_plan(spark, sf))
+    return rows.select("fold", "modality", "group_id", "vec_id", "segment_index", rounded("weight").alias("weight"))
