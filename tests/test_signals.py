@@ -231,3 +231,15 @@ def test_sql_names(spark):
     frame(spark, [3.0] * 100).createOrReplaceTempView("w")
     row = spark.sql("SELECT amplitude_spectrum(samples) AS a, power_spectrum(samples) AS p FROM w").first()
     assert row.a[0] == pytest.approx(3.0) and max(row.p) == pytest.approx(0.0)
+
+
+def test_resampling_a_fast_recording(spark):
+    """1 MHz to 20 kHz, as the default of the original: a slow tone survives, in small blocks."""
+    from waveledger.operators import spectral
+
+    n = 60_000
+    df = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("i"), F.lit(n).cast("bigint").alias("n"),
+                               F.sin(F.col("id") * 2 * np.pi * 500 / 1e6).alias("value"))
+    got = np.array([r.value for r in spectral.resample(df, ["k"], 1_000_000, 20_000, block=20_000).orderBy("i").collect()])
+    want = np.sin(np.arange(len(got)) * 2 * np.pi * 500 / 20_000)
+    assert len(got) == 1200 and np.abs(got - want)[30:-30].max() < 0.01

@@ -196,6 +196,10 @@ def interpolate_grid(values: Column | str, step: float, grid_max: float, points:
     return let(F.slice(col(values), 1, below), on_grid)
 
 
+#: Cells of the matrix of inputs that resampling multiplies at a time.
+RESAMPLE_CELLS = 1 << 20
+
+
 def resampling_filter(up: int, down: int) -> np.ndarray:
     """Kaiser (beta 5) low-pass for up/down conversion, unit gain at DC before scaling."""
     widest = max(up, down)
@@ -216,12 +220,16 @@ def resample_block(samples: Column | str, first_input: Column, first_output: Col
         out = []
         for x, i, m, n in zip(a, i0.to_pylist(), m0.to_pylist(), count.to_pylist()):
             x = np.asarray(x.values, dtype=np.float64)
-            outputs = np.arange(m, m + n)[:, None]
-            inputs = outputs * down // up + np.arange(-reach, reach + 2)[None, :]
-            tap = outputs * down - inputs * up + half
-            used = (tap >= 0) & (tap < len(taps)) & (inputs >= i) & (inputs < i + len(x))
-            y = np.where(used, x[np.clip(inputs - i, 0, len(x) - 1)]
-                         * taps[np.clip(tap, 0, len(taps) - 1)], 0.0).sum(axis=1)
+            y = np.empty(n)
+            # so many outputs at a time that the matrix of their inputs stays small
+            some = max(1, RESAMPLE_CELLS // (2 * reach + 2))
+            for at in range(0, n, some):
+                outputs = np.arange(m + at, m + min(n, at + some))[:, None]
+                inputs = outputs * down // up + np.arange(-reach, reach + 2)[None, :]
+                tap = outputs * down - inputs * up + half
+                used = (tap >= 0) & (tap < len(taps)) & (inputs >= i) & (inputs < i + len(x))
+                y[at:at + some] = np.where(used, x[np.clip(inputs - i, 0, len(x) - 1)]
+                                           * taps[np.clip(tap, 0, len(taps) - 1)], 0.0).sum(axis=1)
             out.append(y)
         return pa.array(out, type=pa.list_(pa.float64()))
 

@@ -187,17 +187,18 @@ def harmonic_amplitudes(df: DataFrame, keys: Sequence[str], amplitude: str, step
 
 
 def resample(samples: DataFrame, keys: Sequence[str], source_hz: int, target_hz: int,
-             block: int = 65_536) -> DataFrame:
+             block: int = 262_144) -> DataFrame:
     """Rational-rate conversion of the long sample table (keys, i, n, value).
 
-    Outputs are made `block` at a time; an input goes to every block whose filter reaches
-    it, so each task holds one block and its margins.
+    `block` counts inputs, whatever the ratio: a task holds that many and the filter's reach on
+    both sides. An input goes to every block whose filter reaches it.
     """
     from math import gcd
 
     g = gcd(int(source_hz), int(target_hz))
     up, down = int(target_hz) // g, int(source_hz) // g
     half = 10 * max(up, down)
+    block = max(1, block * up // down)  # in outputs from here on
     j = F.col("i") * up
     outputs = F.ceil(F.col("n") * F.lit(up) / F.lit(down))
     first = F.greatest(F.ceil((j - half) / F.lit(down)), F.lit(0))
