@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waveledger.functions.scalars import col
+from waveledger.sources import tables
 
 
 def value_slice(value: Column | str, per_octave: int = 1024) -> Column:
@@ -28,7 +29,7 @@ def value_slice(value: Column | str, per_octave: int = 1024) -> Column:
 
 
 def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], salt_on: Sequence[Column | str],
-           how: str = "inner", salts: int | None = None, rows_per_task: int = 1_000_000) -> DataFrame:
+           how: str = "inner", salts: Column | int | None = None, rows_per_task: int = 1_000_000) -> DataFrame:
     """Join one-row-per-key `facts` to `rows`, with each key of `rows` spread over salts.
 
     The number of salts follows from the rows of the largest key, counted in the same job, so
@@ -41,7 +42,7 @@ def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], salt_on: Sequ
         n = sizes.agg((F.floor(F.coalesce(F.max("_n"), F.lit(0)) / F.lit(float(rows_per_task))) + 1)
                       .cast("int").alias("s")).scalar()
     else:
-        n = F.lit(salts)
+        n = salts if isinstance(salts, Column) else F.lit(salts)
     salt = F.pmod(F.xxhash64(*[col(c) for c in salt_on]), n).cast("int")
     copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - F.lit(1))))
     return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
@@ -162,11 +163,19 @@ def index_by_time(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: str,
         return F.floor((t - F.col("_lo")).cast("double") * parts / (F.col("_hi") - F.col("_lo") + 1).cast("double"))
 
     # each key's own span first, then the slices that hold a burst, again by their own span
-    keyed = attach(timed, timed.groupBy(*keys).agg(*span), keys, ["_t"]).withColumn("_s1", cut(F.col("_t"))).drop(
-        "_lo", "_hi", "_c")
-    inner = keyed.groupBy(*keys, "_s1").agg(*span)
-    timed = attach(keyed, inner, [*keys, "_s1"], ["_t"]).withColumn(
-        "_s2", cut(F.col("_t"))).drop("_lo", "_hi", "_c")
+    def salts(facts: DataFrame) -> Column:
+        return facts.agg((F.floor(F.coalesce(F.max("_c"), F.lit(0)) / F.lit(1e6)) + 1).cast("int").alias("s")).scalar()
+
+    outer = tables.staged(timed.groupBy(*keys).agg(*span), "spans")
+    if (outer.agg(F.max("_c")).first()[0] or 0) <= target_rows:
+        # every recording fits one slice
+        timed = timed.withColumns({"_s1": F.lit(0).cast("bigint"), "_s2": F.lit(0).cast("bigint")})
+    else:
+        keyed = attach(timed, outer, keys, ["_t"], salts=salts(outer)).withColumn("_s1", cut(F.col("_t"))).drop(
+            "_lo", "_hi", "_c")
+        inner = keyed.groupBy(*keys, "_s1").agg(*span)
+        timed = attach(keyed, inner, [*keys, "_s1"], ["_t"], salts=salts(inner)).withColumn(
+            "_s2", cut(F.col("_t"))).drop("_lo", "_hi", "_c")
     slice_of = F.col("_s1") * F.lit(1 << 32) + F.col("_s2")
     out = running_sums(timed, keys, ["_t", tiebreak], slice_of, {"_pos": F.lit(1).cast("bigint")},
                        totals={"n": "_pos"})

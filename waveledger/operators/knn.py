@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -11,6 +13,10 @@ from waveledger.operators.ranking import top_k
 from waveledger.sources.tables import staged
 
 
+#: Pivots of a key at most.
+MOST_PIVOTS = 2_048
+
+
 def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distances by direct differences, a few rows at a time."""
     out = np.empty((len(points), len(centres)))
@@ -82,14 +88,18 @@ def _spread(df: DataFrame, cells: DataFrame, keys: list[str], own: str, other: s
 
 
 def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col: str,
-            vector: str, label: str, pivots: int = 64, block_rows: int = 4096) -> DataFrame:
+            vector: str, label: str, pivots: int | None = None, block_rows: int = 4096) -> DataFrame:
     """The k nearest training rows of every test row within `keys` (Euclidean; ties by id).
 
     `keys` must be few (folds).  Training rows belong to the cell of their nearest pivot;
     a test row visits only the cells that can hold one of its k nearest.  Within a cell
     both sides are hashed into blocks of about `block_rows`, one task compares one block
     pair and keeps k rows per test row, so a cell of any size is split.  The driver sees
-    the pivots and one summary row per cell (`pivots` per key), never the data.
+    the pivots and one summary row per cell (`pivots` per key), never the data.  By default
+    there are as many pivots as the square root of the largest key's rows, so that choosing
+    cells and comparing rows cost about the same; at most MOST_PIVOTS, which bounds the driver.
+    The result is exact at any number; in many dimensions few cells are pruned, so this is
+    meant for training sets of a size the caller bounds.
 
     Columns: keys, test_id, train_id, distance2, train_label, rank.
     """
@@ -105,6 +115,9 @@ def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col:
                         F.col(label).cast("string").alias("label"))
     right = test.select(*keys, F.col(id_col).alias("id"), doubles(vector))
 
+    if pivots is None:
+        largest = left.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+        pivots = min(MOST_PIVOTS, math.isqrt(largest) + 1)
     chosen: dict[tuple, list] = {}
     for r in top_k(left.select(*keys, "id", "v"), keys, [portable_hash("id"), "id"], pivots).collect():
         chosen.setdefault(tuple(r[c] for c in keys), []).append(r.v)

@@ -131,13 +131,13 @@ def feature_importance(model: Model, spark, features: Sequence[str], top: int =
 # Nearest neighbours and the kernel machine -------------------------------------------
 
 def knn_oof(rows: DataFrame, features: Sequence[str], k_folds: int, id_col: str, label: str,
-            k: int = 5, pivots: int = 64, block_rows: int = 4096) -> DataFrame:
+            k: int = 5, pivots: int | None = None, block_rows: int = 4096) -> DataFrame:
     """k-nearest-neighbour label of every row, from the rows outside its fold.
 
     Features are standardised per fold with training statistics.  `rows` should be a
     staged table: it is read for the pivots, the cells and the comparison.
     """
-    stats = scaling.fold_scaler(rows, features, k_folds)
+    stats = staged(scaling.fold_scaler(rows, features, k_folds), "scaler")
     test = scaling.scaled_vectors(rows, stats, features)
     others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(k_folds - 1).cast("bigint")),
                       lambda f: f != F.col("_own"))

@@ -54,12 +54,10 @@ def scaled_vectors(rows: DataFrame, stats: DataFrame, features: Sequence[str],
     A constant feature is only centred.  The statistics are one row per fold, a number
     fixed by the caller, so they are broadcast.
     """
-    by_feature = stats.groupBy("fold").agg(F.map_from_entries(F.collect_list(
-        F.struct("feature", F.struct("mean", "std")))).alias("_s"))
-    spread = rows.join(F.broadcast(by_feature.withColumnRenamed("fold", fold)), fold)
-
-    def z(f: str):
-        s = F.col("_s")[F.lit(f)]
-        return (F.col(f) - s["mean"]) / F.when(s["std"] > 0, s["std"]).otherwise(1.0)
-
-    return spread.withColumn("scaled", F.array(*[z(f) for f in features])).drop("_s")
+    names = F.array(*[F.lit(f) for f in features])
+    by_fold = stats.where(F.col("feature").isin(*features)).groupBy("fold").agg(F.array_sort(F.collect_list(
+        F.struct(F.array_position(names, F.col("feature")).alias("at"), "mean", "std"))).alias("_s"))
+    spread = rows.join(F.broadcast(by_fold.withColumnRenamed("fold", fold)), fold)
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    return spread.withColumn("scaled", F.zip_with(values, "_s", lambda x, s: (x - s["mean"]) / F.when(
+        s["std"] > 0, s["std"]).otherwise(1.0))).drop("_s")

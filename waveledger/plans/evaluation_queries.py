@@ -377,7 +377,7 @@ def knn_oof(spark, sf):
     from waveledger.operators import models
 
     rows = tables.staged(fold_features(spark, sf), "knn-rows")
-    return models.knn_oof(rows, _RAW_FEATURES, 5, "vec_id", "label", pivots=16, block_rows=2000)
+    return models.knn_oof(rows, _RAW_FEATURES, 5, "vec_id", "label")
 
 
 # Votes and softmax ------------------------------------------------------------------------
