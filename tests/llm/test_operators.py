@@ -145,6 +145,19 @@ def test_vectors_over_many_nodes(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain.vectors(rows)
 
 
+def test_vectors_copied_across_labels(spark, monkeypatch):
+    """Copies under several labels are upper nodes of each; labels stay apart."""
+    monkeypatch.setattr(cover_tree, "NODE", 8)
+    monkeypatch.setattr(cover_tree, "CHUNK", 50)
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(30, 6))
+    copied = [(centre[k % 30] + 0.1 * rng.normal(size=6)).tolist() for k in range(150)]
+    rows = [(1000 * label + k, label, v) for label in range(3) for k, v in enumerate(copied)]
+    rows += [(9000 + k, 1, (centre[k % 30] + 0.1 * rng.normal(size=6)).tolist()) for k in range(60)]
+    got = cover_tree.near_vectors(frame(spark, rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain.vectors(rows)
+
+
 def test_cover_tree_covers():
     x = np.random.default_rng(6).normal(size=(300, 5))
     x /= np.linalg.norm(x, axis=1)[:, None]

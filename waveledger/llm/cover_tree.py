@@ -234,14 +234,15 @@ def _links(reps: DataFrame, threshold: float) -> DataFrame:
                    .withColumn("blocks", F.expr(f"(n + {2 * NODE - 1}) div {2 * NODE}")), "nodes")
     centres = reps.select(*group, F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.col("v").alias("centre"))
     nodes = nodes.join(centres, node).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    nodes = nodes.withColumn("name", F.xxhash64("n1", "n2", "block"))
+    # a vector can be an upper node of several labels: names hold within a label and length only
+    nodes = nodes.withColumn("name", F.xxhash64(*group, "n1", "n2", "block"))
     # which pairs of nodes can hold a link: each chunk of nodes against all nodes of the label
     per = nodes.groupBy(*group).agg(F.expr(f"(count(1) + {CHUNK - 1}) div {CHUNK}").alias("chunks"))
     nodes = staged(nodes.select(*node, "name", "radius", "centre", "blocks", "block").join(per, group), "nodes")
     mine = nodes.withColumn("chunk", F.pmod("name", F.col("chunks"))).select(*group, "chunk", "name", "radius", "centre")
     others = nodes.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(
         *group, "chunk", "name", "radius", "centre")
-    pair_schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
+    pair_schema = T.StructType([*(reps.schema[c] for c in group), *(T.StructField(n, T.LongType()) for n in ("a", "b"))])
 
     def prune(left: pa.Table, right: pa.Table) -> pa.Table:
         x, y = _sides(_matrix(left["centre"]))[2], _sides(_matrix(right["centre"]))[2]
@@ -249,18 +250,18 @@ def _links(reps: DataFrame, threshold: float) -> DataFrame:
         apart = np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
         near = apart <= left["radius"].to_numpy()[:, None] + right["radius"].to_numpy()[None] + reach + 1e-6
         i, j = np.nonzero(near & (a[:, None] <= b[None]))
-        return pa.table({"a": pa.array(a[i]), "b": pa.array(b[j])})
+        return left.select(group).take(pa.array(i)).append_column("a", pa.array(a[i])).append_column("b", pa.array(b[j]))
 
     pairs = staged(mine.groupBy(*keys).cogroup(others.toDF(*others.columns).groupBy(*keys)).applyInArrow(
         lambda left, right: prune(left, right) if left.num_rows and right.num_rows else _nothing(pair_schema),
         pair_schema), "node-pairs")
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("name"))
+    sides = pairs.select(*group, "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("name"))
     blocks = nodes.select(*node, "name", "blocks", "block")
     members = (assigned.join(nodes.select(*node, "blocks").distinct(), node)
                .withColumn("block", F.pmod(F.xxhash64("h2", "h1"), F.col("blocks")))
                .join(blocks.drop("blocks"), [*node, "block"])
                .select("name", *group, "h1", "h2", "rep", "copies", "v"))
-    out_schema = T.StructType([reps.schema["label"], reps.schema["dim"]] + [
+    out_schema = T.StructType([reps.schema[c] for c in group] + [
         T.StructField(n, T.LongType()) for n in ("h1", "h2", "rep", "links", "root")])
 
     def compare(table: pa.Table) -> pa.Table:
@@ -285,7 +286,7 @@ def _links(reps: DataFrame, threshold: float) -> DataFrame:
         got = table.select(["label", "dim", "h1", "h2", "rep"]).take(pa.array(hit))
         return got.append_column("links", pa.array(links[hit])).append_column("root", pa.array(root[hit]))
 
-    found = sides.join(members, "name").groupBy("a", "b").applyInArrow(compare, out_schema)
+    found = sides.join(members, [*group, "name"]).groupBy(*group, "a", "b").applyInArrow(compare, out_schema)
     return staged(found, "links")
 
 
