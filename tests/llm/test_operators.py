@@ -365,6 +365,20 @@ def test_simhash(spark, awkward):
         "doc_id", "text", "lang", "source"]
 
 
+def test_missing_and_repeated_ids_link_nothing(spark):
+    rng = random.Random(13)
+    texts = [passage(rng, 60) for _ in range(6)]
+    prints = [plain.simhash(t) for t in texts]
+    assert min((a ^ b).bit_count() for k, a in enumerate(prints) for b in prints[:k]) > simhash.DISTANCE
+    ids = [(None, 0), (12, 0), (None, 1), (77, 1), (None, 2), (None, 2), (5, 3), (5, 4), (90, 4), (None, 5)]
+    rows = [(i, texts[t], None, None) for i, t in ids]
+    got = {(r.doc_id, r.fp % (1 << 64)): r.component_id for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    want = {0: 12, 1: 77, 2: None, 3: 5, 4: 5, 5: None}
+    assert got == {(i, prints[t]): want[t] for i, t in ids}
+    kept = simhash.keep_one(frame(spark, rows)).collect()
+    assert len(kept) == 6 and {(r.doc_id, r.text) for r in kept} == {(want[t], texts[t]) for t in want}
+
+
 def test_covering_anchors_lose_no_link(spark):
     rng = random.Random(12)
     prints = set()

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waveledger.llm.shared import checked, components, id_or_least, long_type, real_id, text_or_empty
+from waveledger.llm.shared import NO_ID, checked, components, id_or_least, long_type, real_id, text_or_empty
 from waveledger.sources.tables import staged
 
 #: Fixed values of the fingerprint.
@@ -46,15 +46,22 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of every whole text, as a signed long; 0 for texts without words."""
+    """(id, h1, h2, fp): name and fingerprint of every whole text, as signed longs; fp 0 for texts without words."""
     checked(docs, id_col, text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
+            prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(3)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints.view(np.int64))], ["id", "h1", "h2", "fp"])
 
-    return docs.select(id_or_least(id_col), text_or_empty(text_col)).mapInArrow(rows, long_type("id", "fp"))
+    return docs.select(*_named(id_col, text_col), text_or_empty(text_col)).mapInArrow(
+        rows, long_type("id", "h1", "h2", "fp"))
+
+
+def _named(id_col: str, text_col: str) -> list[Column]:
+    """What rows of one document agree in: id, and 128 bits that name the text."""
+    text = text_or_empty(text_col)
+    return [id_or_least(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
 def _syndrome(block: Column) -> Column:
@@ -106,29 +113,44 @@ def links(prints: DataFrame) -> DataFrame:
                       & (F.col("na") > F.col("nb"))).select(F.col("na").alias("a"), F.col("nb").alias("b"))
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """(fp, best): for each fingerprint the first document (missing, id, h1, h2) of its class.
+
+    Nodes are fingerprints, so documents that share an id, or have none, link nothing.
+    """
+    first = F.struct((F.col("id") == NO_ID).alias("missing"), "id", "h1", "h2")
+    nodes = staged(prints.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    roots = components(links(nodes.select("fp", F.col("fp").alias("node"))), "a", "b").withColumnRenamed("node", "fp")
+    # both written, so that large classes and common fingerprints can be split where they are joined
+    firsts = staged(roots.join(nodes, "fp").groupBy("root").agg(F.min("first").alias("best")), "firsts")
+    linked = roots.join(firsts, "root").select("fp", "best")
+    return staged(nodes.join(linked, "fp", "left").select("fp", F.coalesce("best", "first").alias("best")), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): one row per document, class ids are smallest document ids.
 
-    Documents of one fingerprint are one node, named by their smallest id, so copies never
-    make pairs. A missing id counts as the smallest and stays null in the result (as a class
-    id too). Equal rows give equal rows; an empty table an empty result. Texts without words
-    share the fingerprint zero and are linked like any other.
+    Documents of one fingerprint are one node, so copies never make pairs; equal or missing ids
+    link nothing. A missing id stays null and names a class only if all its ids are missing;
+    classes that have the same smallest id, because rows repeat it, have the same class id.
+    Equal rows give equal rows; an empty table an empty result. Texts without words share the
+    fingerprint zero and are linked like any other.
     """
     prints = staged(fingerprints(docs, id_col, text_col), "prints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    roots = components(links(nodes), "a", "b")
-    named = nodes.join(roots, "node", "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("root", "node").alias("root"))
+    named = _classes(prints).select(F.col("fp").alias("_fp"), F.col("best.id").alias("root"))
     return prints.join(named, F.col("fp") == F.col("_fp")).select(
         real_id(F.col("id")).alias("doc_id"), "fp", real_id(F.col("root")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, the one of smallest id; all columns unchanged.
+    """One document of each class, the one of smallest id, then of least text hash; all columns unchanged.
 
-    Of several rows with that id one stays. A missing id counts as the smallest.
+    Missing ids come after all others. Rows that agree in id and text are one document, and one
+    of them stays; rows that share an id, or have none, and are not near copies all stay.
     """
-    best = near_duplicates(docs, id_col, text_col).select(id_or_least("component_id").alias("_id")).distinct()
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), id_or_least(id_col).alias("_id"))
-    # rows come out of the join by id, so repeated ids need no further shuffle
-    return rows.join(best, "_id", "left_semi").dropDuplicates(["_id"]).select("_row.*")
+    best = _classes(staged(fingerprints(docs, id_col, text_col), "prints")).select("best.id", "best.h1", "best.h2").distinct()
+    best = best.toDF("_id", "_h1", "_h2")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"),
+                       *[c.alias(n) for c, n in zip(_named(id_col, text_col), best.columns)])
+    # rows come out of the join by id and text, so repeated ones need no further shuffle
+    return rows.join(best, best.columns, "left_semi").dropDuplicates(best.columns).select("_row.*")
