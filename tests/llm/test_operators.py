@@ -3,9 +3,11 @@
 import random
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -94,6 +96,43 @@ def test_substrings_split_crowded_anchors(spark, monkeypatch):
     check_substrings(spark, rows)
 
 
+@pytest.mark.parametrize("together", [False, True])
+def test_crowded_strings_are_reduced_before_they_travel(together):
+    """A passage in different surroundings: a key has one row of each batch (with `shared`, two)."""
+    rng = random.Random(14)
+    middle = passage(rng, 60).encode()[:104].decode(errors="ignore")
+    texts = [passage(rng, 12) + middle + passage(rng, 12) for _ in range(60)]
+    parts = [pa.RecordBatch.from_pydict({"doc": [*ids], "tag": [0] * 20, "text": [texts[k] for k in ids], "wanted": [[
+        {"key": key, "place": place, "crowded": True} for key, _, doc, place in rows if doc == k] for k in ids]})
+        for ids in (range(40, 60), range(20), range(20, 40)) for rows in [records(texts, ids)]]
+    make = suffix_dedup._slices(100, together)[0]
+    slices = [pa.Table.from_batches(make(iter([p]))) for p in parts]
+    assert all(max(Counter(t["key"].to_pylist()).values()) <= 1 + together for t in slices)
+    merged = pa.concat_tables(slices).sort_by([(c, "ascending") for c in ("key", "far", "doc", "anchor", "tag")])
+    spans = {}
+    for batch in suffix_dedup._sorted_repeats(100, together)[0](merged.to_batches(max_chunksize=7)):
+        for r in batch.to_pylist():
+            spans.setdefault(r["doc"], set()).update(range(r["start"], r["end"]))
+    want = {}
+    seen = Counter(s for t in texts for s in {t.encode()[a:a + 100] for a in range(len(t.encode()) - 99)})
+    first = set()
+    for k, t in enumerate(texts):
+        data = t.encode()
+        for a in range(len(data) - 99):
+            s = data[a:a + 100]
+            if seen[s] > 1 and together or s in first:
+                want.setdefault(k, set()).update(range(a, a + 100))
+            first.add(s)
+    assert spans == want and len(want) == 59 + together
+
+
+def records(texts, ids):
+    """All pieces of the texts, as (key, piece, doc, place)."""
+    batch = pa.RecordBatch.from_pydict({"doc": [*ids], "tag": [0] * len(ids), "seed": [0] * len(ids),
+                                        "text": [texts[k] for k in ids]})
+    return [tuple(r.values()) for b in suffix_dedup._records(100, True)[0](iter([batch])) for r in b.to_pylist()]
+
+
 def test_repeated_rows_are_one_document(spark):
     text = "abcdefghij" * 5 + "".join(map(chr, range(200, 290)))
     rows = frame(spark, [(5, text), (5, text), (9, text)], "doc_id long, text string")

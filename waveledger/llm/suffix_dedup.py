@@ -12,6 +12,8 @@ end there) have to be sorted:
    where groups with long common prefixes remain that blind tries put in order.
 3. From the two orders and their common prefix lengths follows, for each distance to the anchor,
    which strings are equal. All but the first are removed.
+4. Of anchors with very many different pieces the strings are named by hashes instead; a task
+   reduces equal ones before they travel, and they are compared as a stream.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ GRAM = 24
 BLOCK = 1 << 18
 #: Bytes that the multikey sort looks at; beyond them groups go to blind tries.
 SHALLOW = 16
-#: Anchors with more different pieces than this are split by the bytes their strings share.
+#: Anchors with more different pieces than this are split into their strings, named by hashes.
 CROWD = 2_000
-#: Distances to the anchor that one split key serves.
-SPLIT = 8
+#: Strings that are reduced together.
+STRINGS = 1 << 18
 #: Rows that are sorted together (whole anchors).
 SORT_ROWS = 20_000
 #: Bits of `place`: start of the piece, strings in it, anchor's distance from the start, text tag.
@@ -220,12 +222,53 @@ def _settle(shared: bool):
     return rows, T.StructType([T.StructField(n, T.LongType()) for n in names])
 
 
-def _slices(length: int):
-    """(doc, tag, text, wanted pieces) -> one row per piece or, of crowded anchors, per split key."""
+#: In the column `near`: a string of a crowded anchor, and a span already known to be repeated.
+STRING, SPAN = -1, -2
+
+
+def _compared(rows: np.ndarray, shared: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted strings (name, name, doc, start, tag): which are repeated, which stand for the others of a name.
+
+    The first of a name stands for all; with `shared` the first two of different texts do, or all of its only text.
+    """
+    n = rows.shape[1]
+    head = np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(0)])[:n]
+    at = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    other = (rows[[2, 4]] != rows[[2, 4]][:, at]).any(0)
+    if not shared:
+        return other | (rows[3] != rows[3, at]), head
+    run = np.cumsum(head) - 1
+    before = np.cumsum(other) - other
+    repeated = (np.bincount(run, other) > 0)[run]
+    return repeated, ~repeated | head | (other & (before == before[at]))
+
+
+def _strings(rows: np.ndarray, length: int, shared: bool) -> list[tuple]:
+    """Rows of slices for strings (name, name, doc, start, tag): one of each name, and spans of the others."""
+    rows = rows[:, np.lexsort((rows[4], rows[3], rows[2], rows[1], rows[0]))]
+    repeated, needed = _compared(rows, shared)
+    out = [(h1, doc, tag, start, STRING, h2, b"") for h1, h2, doc, start, tag in rows[:, needed].T.tolist()]
+    doc, start, tag = rows[2:, repeated]
+    if not len(doc):
+        return out
+    order = np.lexsort((start, tag, doc))
+    doc, start, tag = doc[order], start[order], tag[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] - start[:-1] > length)])
+    heads = np.flatnonzero(new)
+    ends = start[np.concatenate([heads[1:], [len(start)]]) - 1] + length
+    doc, start, tag = doc[heads], start[heads], tag[heads]
+    spread = _scramble((doc * 1_000_003).view(np.uint64) ^ start.view(np.uint64)).view(np.int64)
+    return out + [(*x, SPAN, end, b"") for *x, end in zip(*(c.tolist() for c in (spread, doc, tag, start, ends)))]
+
+
+def _slices(length: int, shared: bool):
+    """(doc, tag, text, wanted pieces) -> one row per piece or, of crowded anchors, per string."""
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "doc", "tag", "anchor", "near", "far")]
                           + [T.StructField("data", T.BinaryType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowd: list[np.ndarray] = []
+        held = 0
         for batch in batches:
             out: list[tuple] = []
             docs, tags, texts, wanted = (batch.column(k) for k in range(4))
@@ -237,23 +280,25 @@ def _slices(length: int):
                     anchor, near = start + far, far - strings + 1
                     if not w["crowded"]:
                         out.append((w["key"], doc, tag, anchor, near, far, data[start:anchor - near + length]))
-                        continue
-                    for b in range(near // SPLIT, far // SPLIT + 1):
-                        # bytes that all strings with these distances have in common
-                        a = anchor - b * SPLIT
-                        core = data[a:a + length - SPLIT + 1]
-                        lo, hi = max(near, b * SPLIT), min(far, b * SPLIT + SPLIT - 1)
-                        mixed = np.frombuffer(xxhash.xxh64_digest(core + b.to_bytes(2, "big") + w["key"].to_bytes(8, "big", signed=True)),
-                                              ">i8")[0]
-                        out.append((int(mixed), doc, tag, anchor, lo, hi, data[anchor - hi:anchor - lo + length]))
+                    else:
+                        # equal strings have the same anchor, so its key keeps the names of seeds apart
+                        seed, starts = w["key"] % (1 << 64), range(start, start + strings)
+                        names = b"".join([xxhash.xxh3_128_digest(data[a:a + length], seed) for a in starts])
+                        part = np.empty((5, strings), np.int64)
+                        part[:2] = np.frombuffer(names, np.int64).reshape(-1, 2).T
+                        part[2], part[3], part[4] = doc, starts, tag
+                        crowd.append(part)
+                        held += strings
+                    if held > STRINGS:
+                        out += _strings(np.concatenate(crowd, 1), length, shared)
+                        crowd, held = [], 0
                     if len(out) > SORT_ROWS:
                         yield _batch(out, schema)
                         out = []
-                if len(out) > SORT_ROWS:
-                    yield _batch(out, schema)
-                    out = []
             if out:
                 yield _batch(out, schema)
+        if crowd:
+            yield _batch(_strings(np.concatenate(crowd, 1), length, shared), schema)
 
     return rows, schema
 
@@ -392,7 +437,10 @@ def repeats(group, doc, tag, anchor, near, far, data: list[bytes], length: int,
 
 
 def _sorted_repeats(length: int, shared: bool):
-    """Streams slices sorted by key: the spans of repeated strings, as (doc, tag, start, end)."""
+    """Streams slices sorted by key, far, doc, anchor and tag: the spans of repeated strings, as (doc, tag, start, end).
+
+    No anchor has more than CROWD rows here. Of strings, those that stand for a name are kept between batches.
+    """
     names = ["doc", "tag", "start", "end"]
 
     def work(rows: pa.Table) -> pa.RecordBatch:
@@ -405,7 +453,20 @@ def _sorted_repeats(length: int, shared: bool):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
+        last = np.zeros((5, 0), np.int64)  # what stands for the current name
         for batch in batches:
+            kind = batch.column(4).to_numpy()
+            if (kind < 0).any():
+                h1, doc, tag, start, _, far = (batch.column(k).to_numpy() for k in range(6))
+                span, string = kind == SPAN, kind == STRING
+                yield pa.RecordBatch.from_arrays([pa.array(x[span]) for x in (doc, tag, start, far)], names)
+                if string.any():
+                    found = np.concatenate([last, np.stack([h1, far, doc, start, tag])[:, string]], 1)
+                    repeated, needed = _compared(found, shared)
+                    last = found[:, needed & (found[:2] == found[:2, -1:]).all(0)]
+                    doc, start, tag = found[2:, repeated]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, tag, start, start + length)], names)
+                batch = batch.filter(pa.array(kind >= 0))
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
@@ -437,8 +498,8 @@ def repeated_spans(texts: DataFrame, length: int, shared: bool = False) -> DataF
 
     Shuffled are four numbers for each anchor (one in about 38 bytes), then the texts once, and
     the bytes around contested anchors. A piece that many documents share is reduced to one row
-    for each batch that has it; an anchor with many different pieces is split by the bytes that
-    its strings have in common.
+    for each batch that has it; an anchor with many different pieces is split into its strings,
+    of which a task passes on one row each (with `shared`, two).
     """
     if not 64 <= length <= 108:
         raise ValueError("length must be 64 to 108")
@@ -459,7 +520,8 @@ def repeated_spans(texts: DataFrame, length: int, shared: bool = False) -> DataF
         "key", "doc", "tag", "place", F.col("_key").isNotNull().alias("crowded"))
     wanted = contested.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "place", "crowded")).alias("wanted"))
     fetched = texts.select("doc", "tag", "text").join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "wanted")
-    slices = fetched.mapInArrow(*_slices(length)).repartition("key").sortWithinPartitions("key")
+    slices = fetched.mapInArrow(*_slices(length, shared)).repartition("key").sortWithinPartitions(
+        "key", "far", "doc", "anchor", "tag")
     return settled.union(slices.mapInArrow(*_sorted_repeats(length, shared)))
 
 
