@@ -103,3 +103,18 @@ def counts(text):
 
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def runs(words, copies=4, least=6):
+    """(start, length, period) of the runs, in order: every period is tried at every place."""
+    found, n = {}, len(words)
+    for q in range(1, n // copies + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(least, copies * q):
+                found.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted((x, y - x, q) for (x, y), q in found.items())

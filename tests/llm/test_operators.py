@@ -14,7 +14,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import plain  # noqa: E402
 from waveledger.llm import (  # noqa: E402
-    bpe, cover_tree, html_text, line_crf, line_dedup, packing, quality_rules, sharding, shared, simhash, suffix_dedup)
+    bpe, cover_tree, exact_dedup, html_text, line_crf, line_dedup, packing, periodic_runs, quality_rules, sharding, shared,
+    simhash, suffix_dedup)
 from waveledger.llm.queries import QUERIES, vocabulary  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -455,7 +456,8 @@ OPERATORS = {
     "crf": lambda d: line_crf.classify(d, d.selectExpr("doc_id", "cast(null as int) AS quality")),
     "rules": lambda d: quality_rules.rate_documents(d), "keep good": lambda d: quality_rules.keep_good(d),
     "near": lambda d: simhash.near_duplicates(d), "keep one": lambda d: simhash.keep_one(d),
-    "lines": lambda d: line_dedup.dedup_lines(d),
+    "lines": lambda d: line_dedup.dedup_lines(d), "runs": lambda d: periodic_runs.periodic_runs(d),
+    "copies": lambda d: exact_dedup.mark_copies(d), "keep first": lambda d: exact_dedup.keep_first(d),
 }
 CLASHING = ("row", "_row", "_id", "_h", "doc", "tag", "kept", "n_lines", "ids", "label", "score", "_text", "key")
 
@@ -467,7 +469,7 @@ def test_empty_null_and_clashing(spark, name):
     assert OPERATORS[name](none).count() == 0
     nulls = frame(spark, [(None,) * (4 + len(CLASHING))] * 2 + [(1, "a b c", "en", "s") + ("x",) * len(CLASHING)] * 2, schema)
     got = OPERATORS[name](nulls).collect()
-    assert len(got) == {"keep good": 0, "keep one": 2}.get(name, 4)
+    assert len(got) == {"keep good": 0, "keep one": 2, "keep first": 2}.get(name, 4)
 
 
 def test_vectors_empty_and_null(spark):

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waveledger.llm import bpe, cover_tree, html_text, line_crf, line_dedup, packing, quality_rules, sharding, simhash, suffix_dedup
-from waveledger.llm.shared import table, text_or_empty
+from waveledger.llm import (
+    bpe, cover_tree, exact_dedup, hard_negatives, html_text, line_crf, line_dedup, packing, periodic_runs, quality_rules,
+    sharding, simhash, suffix_dedup)
+from waveledger.llm.shared import BLANK, table, text_or_empty
 
 
 def vocabulary(name: str) -> str:
@@ -73,9 +75,46 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed_lines", hex_sha256(text_or_empty("text")).alias("kept_sha256"))
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in one document of ten (by the checksum of its id) the words repeat from some place on."""
+    words = F.array_remove(F.split(text_or_empty("text"), BLANK + "+"), "")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    rows = rows.withColumn("words", F.when(F.expr("h % 10 = 0"), words))
+    rows = rows.withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.expr("(h div 10) % n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    again = F.transform("words", lambda x, i: F.when(i < F.col("a"), x).otherwise(
+        F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_repeats(table(spark, sf_dir, "documents")), copies=4, least=6)
+    first = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda best, r: F.when(
+        best.isNull() | (r["length"] > best["length"]), r).otherwise(best))  # runs are ordered: the first of equals stays
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    return found.withColumn("best", first).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        hex_sha256(lines).alias("runs_sha256"), hex_sha256(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.expr("vec_id % 7 = 0"), (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(vectors, F.expr("vec_id % 100 = 0"), scale=256, positives=5, negatives=5,
+                                         low_percent=80, high_percent=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_cover_tree, op3_packing, op4_html_text, op5_sharding, op6_bpe, op7_line_crf, op8_quality_rules, op9_simhash,
-                              op10_line_dedup)}
+                              op10_line_dedup, op11_periodic_runs, op12_exact_dedup, op13_hard_negatives)}
 
 #: Values are spelled out rather than taken from the operators, so that a change there shows.
 ORACLES: dict[str, str] = {
@@ -160,4 +199,60 @@ marked AS (
 SELECT doc_id, count(*) FILTER (real) AS n_lines, count(*) FILTER (gone) AS n_removed_lines,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    # the checksum bit by bit; runs as islands of equal words a period apart
+    "op11_periodic_runs": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    xor(list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')],
+      lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS h
+  FROM documents
+), p AS (SELECT *, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a, h % 10 = 0 AND len(ws) > 0 AS planted FROM d),
+q AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS step FROM p),
+w AS (
+  SELECT doc_id, n, CASE WHEN planted THEN [ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % step END] FOR i IN range(n)] ELSE ws END AS ws
+  FROM q
+), places AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(n)) AS i FROM w),
+equal AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM places x JOIN places y
+  ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4
+), islands AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM equal
+), stretches AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e FROM islands GROUP BY doc_id, q, g
+  HAVING max(i) + 1 + q - min(i) >= greatest(6, 4 * q)
+), runs AS (SELECT doc_id, s, e, min(q) AS q FROM stretches GROUP BY doc_id, s, e),
+facts AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    arg_min({'s': s, 'l': e - s, 'q': q}, {'l': s - e, 's': s, 'q': q}) AS best
+  FROM runs GROUP BY doc_id
+), gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM runs),
+kept AS (
+  SELECT places.doc_id, string_agg(word, ' ' ORDER BY places.i) AS text
+  FROM places ANTI JOIN gone ON gone.doc_id = places.doc_id AND gone.i = places.i GROUP BY places.doc_id
+)
+SELECT w.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length,
+  best.q::BIGINT AS period, (1000 * best.l // best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM w LEFT JOIN facts ON facts.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op12_exact_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM d WINDOW same AS (PARTITION BY t)""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id, list_inner_product(a.e, v.e)::BIGINT AS score
+  FROM v a JOIN v ON v.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER r)::INTEGER AS rank, vec_id AS negative_id, positive_score,
+  score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW r AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER r <= 5""",
 }
