@@ -104,7 +104,7 @@ def test_crowded_strings_are_reduced_before_they_travel(together):
     middle = passage(rng, 60).encode()[:104].decode(errors="ignore")
     texts = [passage(rng, 12) + middle + passage(rng, 12) for _ in range(60)]
     parts = [pa.RecordBatch.from_pydict({"doc": [*ids], "tag": [0] * 20, "text": [texts[k] for k in ids], "wanted": [[
-        {"key": key, "place": place, "crowded": True} for key, _, doc, place in rows if doc == k] for k in ids]})
+        {"key": key, "place": place, "crowded": True} for key, _, doc, _, place in rows if doc == k] for k in ids]})
         for ids in (range(40, 60), range(20), range(20, 40)) for rows in [records(texts, ids)]]
     make = suffix_dedup._slices(100, together)[0]
     slices = [pa.Table.from_batches(make(iter([p]))) for p in parts]

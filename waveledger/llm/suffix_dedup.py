@@ -8,7 +8,7 @@ end there) have to be sorted:
 1. Each document is cut into pieces, one for each anchor: the strings that anchor serves, as one
    run of bytes. Pieces that occur earlier as a whole are settled by their hash.
 2. Anchors with different pieces are contested. The text of one occurrence of each such piece is
-   fetched, and the suffixes at the anchors are sorted: by a multikey sort to a shallow depth,
+   fetched, and the suffixes at the anchors are sorted: by multikey quicksort to a shallow depth,
    where groups with long common prefixes remain that blind tries put in order.
 3. From the two orders and their common prefix lengths follows, for each distance to the anchor,
    which strings are equal. All but the first are removed.
@@ -32,7 +32,7 @@ from waveledger.sources.tables import staged
 GRAM = 24
 #: Bytes a task hashes at a time; longer documents are cut, with overlap.
 BLOCK = 1 << 18
-#: Bytes that the multikey sort looks at; beyond them groups go to blind tries.
+#: Bytes that multikey quicksort looks at; beyond them groups go to blind tries.
 SHALLOW = 16
 #: Anchors with more different pieces than this are split into their strings, named by hashes.
 CROWD = 2_000
@@ -40,8 +40,8 @@ CROWD = 2_000
 STRINGS = 1 << 18
 #: Rows that are sorted together (whole anchors).
 SORT_ROWS = 20_000
-#: Bits of `place`: start of the piece, strings in it, anchor's distance from the start, text tag.
-_TAG = 18
+#: Bits of `place` below the start of the piece: strings in it, the anchor's distance from the start.
+_BITS = 7
 _U = np.uint64
 
 
@@ -59,6 +59,30 @@ def _scramble(h: np.ndarray) -> np.ndarray:
 _BYTE = _scramble(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
+def least_grams(texts: list[bytes], k: int = 2) -> list[list[int]]:
+    """The `k` least hashes of the grams of each text; all texts are at least a gram long."""
+    if not texts:
+        return []
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    level = _BYTE[buf]
+    for j in range(3):
+        level = _level_up(level, 1 << j)
+    n = len(buf) - GRAM + 1
+    gram = _scramble(_level_up(level, 8)[:n] * _U(pow(0xBF58476D1CE4E5B9, 8, 1 << 64)) + level[16:16 + n])
+    gram = np.concatenate([gram, np.zeros(GRAM - 1, np.uint64)])
+    ends = np.cumsum(sizes)
+    most = _U(2**64 - 1)
+    for d in range(1, GRAM):  # grams that run over the end of a text
+        gram[ends - d] = most
+    found = []
+    for _ in range(k):
+        least = np.minimum.reduceat(gram, ends - sizes)
+        found.append(least)
+        gram = np.where(gram == np.repeat(least, sizes), most, gram)
+    return [[x for x in row if x != -1] for row in np.stack(found, 1).view(np.int64).tolist()]
+
+
 def pieces(buf: np.ndarray, ends: np.ndarray, seeds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Pieces of texts that lie end to end in `buf`: (text, start, strings, anchor, gram, piece hash).
 
@@ -103,13 +127,13 @@ def pieces(buf: np.ndarray, ends: np.ndarray, seeds: np.ndarray, length: int) ->
     return text, start, strings, at, own, _scramble(whole)
 
 
-def _place(start, strings, distance, tag):
-    return (start << 32) | (strings << 25) | (distance << _TAG) | tag
+def _place(start, strings, distance):
+    return (start << 2 * _BITS) | (strings << _BITS) | distance
 
 
 def _records(length: int, shared: bool):
-    """Arrow batches of (doc, tag, seed, text) -> (key, piece, doc, place), copies inside a batch settled."""
-    names = ["key", "piece", "doc", "place"]
+    """Arrow batches of (doc, tag, seed, text) -> (key, piece, doc, tag, place), copies inside a batch settled."""
+    names = ["key", "piece", "doc", "tag", "place"]
 
     def block(todo: list[tuple[int, int, int, int, bytes]]) -> list[np.ndarray]:
         buf = np.frombuffer(b"".join([t[4] for t in todo]), np.uint8)
@@ -117,7 +141,7 @@ def _records(length: int, shared: bool):
         doc, tag, seed, offset = (np.array([t[k] for t in todo], np.int64) for k in range(4))
         text, start, strings, at, own, whole = pieces(buf, ends, seed.view(np.uint64), length)
         local = start - (np.concatenate([[0], ends[:-1]]))[text] + offset[text]
-        return [own.view(np.int64), whole.view(np.int64), doc[text], _place(local, strings, at - start, tag[text])]
+        return [own.view(np.int64), whole.view(np.int64), doc[text], tag[text], _place(local, strings, at - start)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,17 +158,17 @@ def _records(length: int, shared: bool):
                 parts.append(block(todo))
             if not parts:
                 continue
-            key, piece, doc, place = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            key, piece, doc, tag, place = (np.concatenate([p[k] for p in parts]) for k in range(5))
             if not shared:
                 # later copies of a piece in this batch are settled; they spread by place
-                order = np.lexsort((place, doc, piece))
-                key, piece, doc, place = key[order], piece[order], doc[order], place[order]
+                order = np.lexsort((tag, place, doc, piece))
+                key, piece, doc, tag, place = (x[order] for x in (key, piece, doc, tag, place))
                 head = np.concatenate([[True], piece[1:] != piece[:-1]])[:len(piece)]
                 first = np.maximum.accumulate(np.where(head, np.arange(len(piece)), 0))
-                later = (doc != doc[first]) | (place != place[first])
-                mixed = _scramble((doc * 1_000_003).view(np.uint64) ^ place.view(np.uint64)).view(np.int64)
+                later = (doc != doc[first]) | (place != place[first]) | (tag != tag[first])
+                mixed = _scramble((doc * 1_000_003 + tag).view(np.uint64) ^ place.view(np.uint64)).view(np.int64)
                 key, piece = np.where(later, mixed, key), np.where(later, 0, piece)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, piece, doc, place)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, piece, doc, tag, place)], names)
 
     return rows, T.StructType([T.StructField(n, T.LongType()) for n in names])
 
@@ -153,71 +177,72 @@ SETTLED, CONTESTED = 0, 1
 
 
 def _settle(shared: bool):
-    """Streams sorted (key, piece, doc, place): rows that are repeats, and one row of each contested piece.
+    """Streams sorted (key, piece, doc, place, tag): rows that are repeats, and rows of each contested piece.
 
-    What is kept between batches is one row for each role, however many rows a key has.
-    With `shared`, a piece counts as repeated when two documents have it, and then everywhere.
+    A key with several pieces is contested. One row stands for a piece there; with `shared`, all
+    rows of a piece that a single text has, as it may share strings with other pieces wherever
+    it is. With `shared`, a piece counts as repeated when two texts have it, and then everywhere.
+    Between batches only rows that still matter are kept: one of a piece, or those of one text.
     """
-    names = ["kind", "key", "doc", "place"]
+    names = ["kind", "key", "doc", "tag", "place"]
 
-    def out(kind, key, doc, place) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(key), kind, np.int64)), *(pa.array(x) for x in (key, doc, place))], names)
+    def out(kind: int, rows: np.ndarray) -> pa.RecordBatch:
+        key = rows[0] if kind == CONTESTED else rows[0] * 0
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(key), kind, np.int64), key, *rows[2:])], names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = None     # (key, piece, doc, place): first row of the current piece
-        waiting = None   # (key, doc, place): only piece of its key so far
-        crowded = None   # key that is known to be contested
-        held = []        # with `shared`: rows of the first document of the current piece
+        none = np.zeros((5, 0), np.int64)
+        held, spread = none, False      # rows of the current piece; whether several texts have it
+        waiting, crowded = none, None   # rows of the only piece so far of the current key; a key known to be contested
+
+        def contested(stand: np.ndarray) -> np.ndarray:
+            """Of rows that stand for whole pieces, in order: those of keys with several pieces."""
+            nonlocal waiting, crowded
+            stand = np.concatenate([waiting, stand], 1)
+            if not stand.shape[1]:
+                return stand
+            key, piece = stand[:2]
+            edge = np.concatenate([[True], key[1:] != key[:-1]])
+            starts = edge | np.concatenate([[True], piece[1:] != piece[:-1]])
+            group = np.cumsum(edge) - 1
+            many = (np.bincount(group, starts) > 1)[group]
+            if crowded is not None:
+                many |= key == crowded
+            last = group == group[-1]
+            waiting, crowded = (none, key[-1]) if many[-1] else (stand[:, last], None)
+            return stand[:, many]
+
         for batch in batches:
-            key, piece, doc, place = (batch.column(k).to_numpy() for k in range(4))
-            if not len(key):
-                continue
-            settled = piece == 0
+            data = np.stack([batch.column(k).to_numpy() for k in range(5)]) if batch.num_rows else none
+            settled = data[1] == 0
             if settled.any():
-                yield out(SETTLED, key[settled] * 0, doc[settled], place[settled])
-                key, piece, doc, place = (x[~settled] for x in (key, piece, doc, place))
-                if not len(key):
-                    continue
-            carried = first is not None
-            if carried:
-                key, piece, doc, place = (np.concatenate([[f], x]) for f, x in zip(first, (key, piece, doc, place)))
+                yield out(SETTLED, data[:, settled])
+                data = data[:, ~settled]
+            if not data.shape[1]:
+                continue
+            told = 1 if spread else 0  # the held row of a piece in several texts has been passed on
+            data = np.concatenate([held, data], 1)
+            key, piece, doc, tag, place = data
             head = np.concatenate([[True], (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])])
             at = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
+            run = np.cumsum(head) - 1
+            other = (doc != doc[at]) | (tag != tag[at])
             if shared:
-                run = np.cumsum(head) - 1
-                last = np.concatenate([np.flatnonzero(head)[1:], [len(key)]]) - 1
-                several = (doc[last] != doc[np.flatnonzero(head)])[run]
-                yield out(SETTLED, key[several] * 0, doc[several], place[several])
-                if held:
-                    back = [h for h in held if several[0]]
-                    if back:
-                        yield out(SETTLED, np.zeros(len(back), np.int64), *(np.array([h[k] for h in back], np.int64)
-                                                                           for k in (0, 1)))
-                tail = run == run[-1]
-                again = (run[-1] == 0 and carried)
-                if several[-1]:
-                    held = []
-                else:
-                    held = (held if again else []) + list(zip(doc[tail].tolist(), place[tail].tolist()))
+                several = np.bincount(run, other) > 0
+                several[0] |= spread
+                several = several[run]
+                repeat = several.copy()
+                repeat[:told] = False
+                stand = head | ~several
+                spread = bool(several[-1])
             else:
-                later = (doc != doc[at]) | (place != place[at])
-                yield out(SETTLED, key[later] * 0, doc[later], place[later])
-            heads = np.flatnonzero(head)
-            if carried:
-                heads = heads[1:]  # the carried row has been dealt with
-            k, d, p = key[heads], doc[heads], place[heads]
-            if waiting is not None:
-                k, d, p = (np.concatenate([[w], x]) for w, x in zip(waiting, (k, d, p)))
-            if len(k):
-                edge = np.concatenate([[True], k[1:] != k[:-1]])
-                group = np.cumsum(edge) - 1
-                many = (np.bincount(group) > 1)[group] | (k == crowded if crowded is not None else False)
-                yield out(CONTESTED, k[many], d[many], p[many])
-                waiting = None if many[-1] else (k[-1], d[-1], p[-1])
-                crowded = k[-1] if many[-1] else None
-            end = at[-1]
-            first = (key[end], piece[end], doc[end], place[end])
+                repeat = other | (place != place[at])
+                stand = head
+            yield out(SETTLED, data[:, repeat])
+            unfinished = run == run[-1]
+            yield out(CONTESTED, contested(data[:, stand & ~unfinished]))
+            held = data[:, stand & unfinished]
+        yield out(CONTESTED, contested(held))
 
     return rows, T.StructType([T.StructField(n, T.LongType()) for n in names])
 
@@ -276,7 +301,7 @@ def _slices(length: int, shared: bool):
                 data = text.as_py().encode()
                 for w in want.as_py():
                     place = w["place"]
-                    start, strings, far = place >> 32, place >> 25 & 127, place >> _TAG & 127
+                    start, strings, far = place >> 2 * _BITS, place >> _BITS & 127, place & 127
                     anchor, near = start + far, far - strings + 1
                     if not w["crowded"]:
                         out.append((w["key"], doc, tag, anchor, near, far, data[start:anchor - near + length]))
@@ -369,6 +394,35 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
+def multikey_quicksort(group: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, head): rows sorted by group and then keys; where a segment of equal rows begins.
+
+    Three-way partition of all segments at once: what is less than the segment's pivot, equal
+    to it (which goes on with the next key) or greater. Rows that agree in all keys stay a segment.
+    """
+    n, table = len(group), np.stack(keys)
+    order = np.argsort(group, kind="stable")
+    head = np.concatenate([[True], group[order][1:] != group[order][:-1]])[:n]
+    depth = np.zeros(n, np.int64)
+    while True:
+        begin = np.flatnonzero(head)
+        size = np.diff(np.concatenate([begin, [n]]))
+        live = (size > 1) & (depth[begin] < len(keys))
+        if not live.any():
+            return order, head
+        begin, size = begin[live], size[live]
+        segment, ahead = np.repeat(np.arange(len(begin)), size), np.cumsum(size) - size
+        place = np.arange(len(segment)) + np.repeat(begin - ahead, size)
+        row, level = order[place], depth[place]
+        value = table[level, row]
+        pivot = value[ahead + size // 2][segment]
+        side = segment * 3 + (value >= pivot) + (value > pivot)
+        dealt = np.argsort(side, kind="stable")
+        order[place], depth[place] = row[dealt], (level + (value == pivot))[dealt]
+        side = side[dealt]
+        head[place] = np.concatenate([[True], side[1:] != side[:-1]])
+
+
 def sort_suffixes(group: np.ndarray, strings: list[bytes], known: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, common): strings sorted inside their groups; common prefix with the one before.
 
@@ -381,12 +435,9 @@ def sort_suffixes(group: np.ndarray, strings: list[bytes], known: int) -> tuple[
     # shallow: all groups at once, eight bytes to a key
     keys = [np.ascontiguousarray(table[:, d:d + 8]).view(">u8").ravel().astype(np.uint64)
             for d in range(known, known + SHALLOW, 8)]
-    order = np.lexsort((*reversed(keys), group))
-    differ = np.zeros(max(n - 1, 0), bool)
-    for key in (group, *keys):
-        differ |= key[order[1:]] != key[order[:-1]]
+    order, head = multikey_quicksort(group, keys)
     # deep: runs that agree so far
-    cuts = np.flatnonzero(np.concatenate([[True], differ, [True]]))
+    cuts = np.concatenate([np.flatnonzero(head), [n]])
     for a, b in zip(cuts[:-1][np.diff(cuts) > 1].tolist(), cuts[1:][np.diff(cuts) > 1].tolist()):
         members = order[a:b]
         order[a:b] = members[BlindTrie([strings[i] for i in members.tolist()]).order()]
@@ -483,9 +534,14 @@ def _sorted_repeats(length: int, shared: bool):
     return rows, T.StructType([T.StructField(n, T.LongType()) for n in names])
 
 
-def text_tag(text: Column) -> Column:
-    """A few bits that tell rows of one id and different texts apart."""
-    return F.xxhash64(text).bitwiseAND(F.lit((1 << _TAG) - 1))
+def text_tags(docs: DataFrame, id_col: str, text: Column) -> Column:
+    """What tells rows of one id and different texts apart: a hash of the text, or 0 where every id is unique.
+
+    The rows are counted by id first. Most tables have unique ids; a column of zeros costs
+    nothing when it is shuffled.
+    """
+    ids = docs.select(id_or_least(id_col).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return F.lit(0).cast("long") if ids.filter("n > 1").isEmpty() else F.xxhash64(text)
 
 
 def repeated_spans(texts: DataFrame, length: int, shared: bool = False) -> DataFrame:
@@ -496,7 +552,7 @@ def repeated_spans(texts: DataFrame, length: int, shared: bool = False) -> DataF
     an equal one starts earlier: in a text of smaller doc, or earlier in the same; with
     `shared`, wherever it is, if two texts have it.
 
-    Shuffled are four numbers for each anchor (one in about 38 bytes), then the texts once, and
+    Shuffled are five numbers for each anchor (one in about 38 bytes), then the texts once, and
     the bytes around contested anchors. A piece that many documents share is reduced to one row
     for each batch that has it; an anchor with many different pieces is split into its strings,
     of which a task passes on one row each (with `shared`, two).
@@ -505,15 +561,14 @@ def repeated_spans(texts: DataFrame, length: int, shared: bool = False) -> DataF
         raise ValueError("length must be 64 to 108")
     texts = texts.select("doc", "tag", "seed", "text")
     found = texts.mapInArrow(*_records(length, shared))
-    found = found.repartition("key").sortWithinPartitions("key", "piece", "doc", "place")
+    found = found.repartition("key").sortWithinPartitions("key", "piece", "doc", "place", "tag")
     found = staged(found.mapInArrow(*_settle(shared)), "anchors")
     place = F.col("place")
-    start = F.shiftright(place, 32)
-    tag = place.bitwiseAND(F.lit((1 << _TAG) - 1))
-    strings = F.shiftright(place, 25).bitwiseAND(F.lit(127))
+    start = F.shiftright(place, 2 * _BITS)
+    strings = F.shiftright(place, _BITS).bitwiseAND(F.lit(127))
     settled = found.filter(F.col("kind") == SETTLED).select(
-        "doc", tag.alias("tag"), start.alias("start"), (start + strings - 1 + length).alias("end"))
-    contested = found.filter(F.col("kind") == CONTESTED).select("key", "doc", tag.alias("tag"), "place")
+        "doc", "tag", start.alias("start"), (start + strings - 1 + length).alias("end"))
+    contested = found.filter(F.col("kind") == CONTESTED).select("key", "doc", "tag", "place")
     crowds = staged(contested.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
                     .select(F.col("key").alias("_key")), "crowds")
     contested = contested.join(crowds, F.col("key") == F.col("_key"), "left").select(
@@ -578,9 +633,10 @@ def dedup_substrings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     checked(docs, id_col, text_col)
     text = text_or_empty(text_col)
     others = [c for c in docs.columns if c not in (text_col, "n_bytes", "removed", "kept")]
+    tag = text_tags(docs, id_col, text)
     rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), id_or_least(id_col).alias("doc"),
-                       text_tag(text).alias("tag"), text.alias("text"))
-    texts = docs.select(id_or_least(id_col).alias("doc"), text_tag(text).alias("tag"),
+                       tag.alias("tag"), text.alias("text"))
+    texts = docs.select(id_or_least(id_col).alias("doc"), tag.alias("tag"),
                         F.lit(0).cast("long").alias("seed"), text.alias("text"))
     spans = repeated_spans(texts, length).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     rows = rows.join(spans, ["doc", "tag"], "left").select("row", "text", "found")
