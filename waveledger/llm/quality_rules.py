@@ -1,4 +1,8 @@
-"""Quality rules whose cut-offs follow each language and source, from mergeable quantile sketches."""
+"""Quality rules whose cut-offs follow each language and source, from mergeable quantile sketches.
+
+No cut-off is a constant: quartiles tell where the bulk of a group ends, and the sketch's empty
+bins where something else begins.
+"""
 
 from __future__ import annotations
 
@@ -12,20 +16,25 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = r"[#*$%&|<>]"
 
-#: Metric (in thousandths) -> the least distance of its cut-off from the third quartile.
+#: Metric -> what is counted, out of what, and how many of these count besides as without any, so
+#: that one event in a short text is no high rate.
 METRICS = {
-    "symbol_rate": 150,     # symbols for each word
-    "mark_rate": 150,       # other ASCII punctuation marks than symbols, for each character in words
-    "capital_rate": 300,    # A-Z for each character in words
-    "repeat_rate": 350,     # words in repeated three-word windows, of all words
-    "dup_line_rate": 400,   # lines equal to an earlier line, of all lines with a word
+    "symbol_rate": ("n_symbols", "n_words", 50),
+    "mark_rate": ("n_marks", "word_chars", 250),         # other ASCII punctuation marks than symbols
+    "capital_rate": ("n_capitals", "word_chars", 250),   # A-Z
+    "repeat_rate": ("n_repeat_words", "n_words", 50),    # words in repeated three-word windows
+    "dup_line_rate": ("n_dup_lines", "n_lines", 10),     # lines equal to an earlier line
 }
-#: A cut-off is the third quartile and so many times the distance between the quartiles.
+#: The bulk of a group ends at the third quartile and so many times the distance between the quartiles.
 SPREAD = 3
+#: Beyond the bulk a gap of this factor parts a second mode from it.
+GAP = 4
+#: A bin with one row of so many or fewer counts as empty.
+THIN = 1000
 #: Groups with fewer rows use the merged sketch of their language, then that of all rows.
 MIN_GROUP = 200
-#: Significant bits of a sketch bin; a quantile is off by 1/32 of its value at most.
-BITS = 6
+#: Significant bits of a sketch bin: four bins to a factor of two.
+BITS = 3
 
 
 def _removed(text: Column, pattern: str) -> Column:
@@ -68,13 +77,9 @@ def base_features(df: DataFrame, text: Column) -> DataFrame:
 
 
 def metrics() -> dict[str, Column]:
-    """Each metric as a long, in thousandths."""
-    def rate(part: str, whole: str) -> Column:
-        return F.expr(f"1000 * {part} div greatest({whole}, 1)")
-
-    return {"symbol_rate": rate("n_symbols", "n_words"), "mark_rate": rate("n_marks", "word_chars"),
-            "capital_rate": rate("n_capitals", "word_chars"), "repeat_rate": rate("n_repeat_words", "n_words"),
-            "dup_line_rate": rate("n_dup_lines", "n_lines")}
+    """Each metric as a long above zero: its rate in thousandths, and that of one event in no text."""
+    return {m: F.expr(f"1000 * {part} div ({whole} + {prior}) + {1000 // prior}")
+            for m, (part, whole, prior) in METRICS.items()}
 
 
 def _bin(value: Column) -> Column:
@@ -95,33 +100,48 @@ def sketch(features: DataFrame) -> DataFrame:
             .groupBy("lang", "source", "p.metric", "p.bin").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _quartiles(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows and quartiles of each sketch: the first bin that holds the wanted rank."""
+def _shape(merged: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, quartiles and occupied bins (in order) of each sketch; a quartile is the first bin that holds its rank."""
     one = Window.partitionBy(*keys, "metric")
     upto = one.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     seen = merged.withColumns({"upto": F.sum("n").over(upto), "rows": F.sum("n").over(one)})
     return seen.groupBy(*keys, "metric").agg(
         F.first("rows").alias("rows"),
         F.min(F.when(4 * F.col("upto") >= F.col("rows"), F.col("bin"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("rows"), F.col("bin"))).alias("q3"))
+        F.min(F.when(4 * F.col("upto") >= 3 * F.col("rows"), F.col("bin"))).alias("q3"),
+        F.sort_array(F.collect_list(F.when(THIN * F.col("n") > F.col("rows"), F.col("bin")))).alias("bins"))
 
 
 def cutoffs(sketched: DataFrame) -> DataFrame:
-    """One row for each language and source that has rows left: a cut-off for each metric."""
-    groups = _quartiles(sketched, ["lang", "source"])
-    by_lang = _quartiles(sketched.groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n")), ["lang"])
-    overall = _quartiles(sketched.groupBy("metric", "bin").agg(F.sum("n").alias("n")), [])
-    wide = {}
-    for name, df, keys in (("g", groups, ["lang", "source"]), ("l", by_lang, ["lang"]), ("o", overall, [])):
-        wide[name] = df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("metric").alias(f"{name}_metric"),
-                               F.struct("rows", "q1", "q3").alias(name))
+    """One row for each language and source that has rows left: a cut-off for each metric, null if it has none.
+
+    The bulk ends at a fence from the quartiles of the group's sketch, or from those of a sketch
+    in which every source of the language weighs alike, whichever is lower: so a source that is
+    junk for a good part does not hide it, and a hot source does not speak for the others. The
+    cut-off lies in the first gap at or beyond the fence that parts a second mode from the bulk;
+    where values only thin out, nothing is cut off.
+    """
+    merged = ["lang", "metric", "bin"]
+    alike = sketched.withColumn("n", F.expr("1000000 * n div sum(n) over (partition by lang, source, metric)"))
+    shapes = {
+        "g": (_shape(sketched, ["lang", "source"]), ["lang", "source"]),
+        "l": (_shape(sketched.groupBy(*merged).agg(F.sum("n").alias("n")), ["lang"]), ["lang"]),
+        "o": (_shape(sketched.groupBy("metric", "bin").agg(F.sum("n").alias("n")), []), []),
+        "e": (_shape(alike.groupBy(*merged).agg(F.sum("n").alias("n")), ["lang"]), ["lang"]),
+    }
+    wide = {name: df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("metric").alias(f"{name}_metric"),
+                            F.struct("rows", "q1", "q3", "bins").alias(name)) for name, (df, keys) in shapes.items()}
     joined = (wide["g"].join(wide["l"], F.expr("g_lang <=> l_lang and g_metric = l_metric"))
+              .join(wide["e"], F.expr("g_lang <=> e_lang and g_metric = e_metric"))
               .join(wide["o"], F.expr("g_metric = o_metric")))
     pick = F.when(F.col("g.rows") >= MIN_GROUP, F.col("g")).when(F.col("l.rows") >= MIN_GROUP, F.col("l")).otherwise(
         F.col("o"))
-    least = F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv])
-    joined = joined.withColumn("p", pick)
-    cut = F.col("p.q3") + F.greatest(SPREAD * (F.col("p.q3") - F.col("p.q1")), least[F.col("g_metric")])
+    joined = joined.withColumn("p", pick).withColumn("fence", F.least(*[
+        F.col(f"{x}.q3") + SPREAD * (F.col(f"{x}.q3") - F.col(f"{x}.q1")) for x in "pe"]))
+    edges = F.transform("p.bins", lambda x, i: F.struct(F.greatest(x, F.col("fence")).alias("lo"),
+                                                        F.get("p.bins", i + 1).alias("hi")))
+    gaps = F.filter(edges, lambda x: F.coalesce(x["hi"] >= GAP * x["lo"], F.lit(False)))
+    cut = F.get(F.transform(gaps, lambda x: 2 * x["lo"]), F.lit(0))
     return (joined.withColumn("cut", cut).groupBy(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"))
             .agg(*[F.max(F.when(F.col("g_metric") == m, F.col("cut"))).alias(f"cut_{m}") for m in METRICS]))
 

@@ -152,27 +152,38 @@ base AS (
     coalesce(cover.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cover ON cover.doc_id = w.doc_id
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    1000 * n_symbols // greatest(n_words, 1) AS m1, 1000 * n_marks // greatest(word_chars, 1) AS m2,
-    1000 * n_capitals // greatest(word_chars, 1) AS m3, 1000 * n_repeat_words // greatest(n_words, 1) AS m4,
-    1000 * n_dup_lines // greatest(n_lines, 1) AS m5 FROM base
+    1000 * n_symbols // (n_words + 50) + 20 AS m1, 1000 * n_marks // (word_chars + 250) + 4 AS m2,
+    1000 * n_capitals // (word_chars + 250) + 4 AS m3, 1000 * n_repeat_words // (n_words + 50) + 20 AS m4,
+    1000 * n_dup_lines // (n_lines + 10) + 100 AS m5 FROM base
 ), long AS (
-  SELECT doc_id, lang, source, base_failed, z.m, z.least,
+  SELECT doc_id, lang, source, base_failed, z.m,
     CASE z.m WHEN 1 THEN m1 WHEN 2 THEN m2 WHEN 3 THEN m3 WHEN 4 THEN m4 ELSE m5 END AS v
-  FROM f, (VALUES (1, 150), (2, 150), (3, 300), (4, 350), (5, 400)) z(m, least)
+  FROM f, (VALUES (1), (2), (3), (4), (5)) z(m)
 ), bins AS (
-  SELECT lang, source, m, least, (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) << greatest(length(bin(v)) - 6, 0)::BIGINT AS b
-  FROM long WHERE NOT base_failed
-), g AS (
-  SELECT lang, source, m, least, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3
-  FROM bins GROUP BY ALL
-), l AS (SELECT lang, m, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM bins GROUP BY ALL),
-o AS (SELECT m, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM bins GROUP BY ALL),
-cuts AS (
-  SELECT g.lang, g.source, g.m,
-    CASE WHEN g.n >= 200 THEN g.q3 + greatest(3 * (g.q3 - g.q1), least)
-         WHEN l.n >= 200 THEN l.q3 + greatest(3 * (l.q3 - l.q1), least)
-         ELSE o.q3 + greatest(3 * (o.q3 - o.q1), least) END AS cut
-  FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.m = l.m JOIN o ON g.m = o.m
+  SELECT lang, source, m, (v >> greatest(length(bin(v)) - 3, 0)::BIGINT) << greatest(length(bin(v)) - 3, 0)::BIGINT AS b,
+    count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL
+), scopes AS (
+  SELECT 'g' AS scope, lang, source, m, b, n FROM bins
+  UNION ALL SELECT 'l', lang, NULL, m, b, sum(n) FROM bins GROUP BY lang, m, b
+  UNION ALL SELECT 'o', NULL, NULL, m, b, sum(n) FROM bins GROUP BY m, b
+  UNION ALL SELECT 'e', lang, NULL, m, b, sum(1000000 * n // rows)
+    FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, m) AS rows FROM bins) GROUP BY lang, m, b
+), seen AS (
+  SELECT *, sum(n) OVER (PARTITION BY scope, lang, source, m) AS rows, sum(n) OVER (PARTITION BY scope, lang, source, m ORDER BY b) AS upto
+  FROM scopes
+), shapes AS (
+  SELECT scope, lang, source, m, first(rows) AS rows, min(b) FILTER (4 * upto >= rows) AS q1, min(b) FILTER (4 * upto >= 3 * rows) AS q3,
+    list(b ORDER BY b) FILTER (1000 * n > rows) AS occupied FROM seen GROUP BY scope, lang, source, m
+), picked AS (
+  SELECT g.lang, g.source, g.m, CASE WHEN g.rows >= 200 THEN g.occupied WHEN l.rows >= 200 THEN l.occupied ELSE o.occupied END AS occupied,
+    least(4 * e.q3 - 3 * e.q1, CASE WHEN g.rows >= 200 THEN 4 * g.q3 - 3 * g.q1 WHEN l.rows >= 200 THEN 4 * l.q3 - 3 * l.q1
+      ELSE 4 * o.q3 - 3 * o.q1 END) AS fence
+  FROM shapes g JOIN shapes l ON l.scope = 'l' AND g.lang IS NOT DISTINCT FROM l.lang AND g.m = l.m
+  JOIN shapes e ON e.scope = 'e' AND g.lang IS NOT DISTINCT FROM e.lang AND g.m = e.m
+  JOIN shapes o ON o.scope = 'o' AND g.m = o.m WHERE g.scope = 'g'
+), cuts AS (
+  SELECT lang, source, m, [2 * greatest(occupied[i], fence) FOR i IN range(1, len(occupied))
+    IF occupied[i + 1] >= 4 * greatest(occupied[i], fence)][1] AS cut FROM picked
 ), bad AS (
   SELECT DISTINCT doc_id FROM long JOIN cuts ON long.lang IS NOT DISTINCT FROM cuts.lang
     AND long.source IS NOT DISTINCT FROM cuts.source AND long.m = cuts.m AND v > cut
