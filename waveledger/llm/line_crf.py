@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ from waveledger.llm.shared import checked, text_or_empty
 SAMPLE = 4_000
 #: Lines of one sampled document that enter the fit at most (all lines are scored).
 SAMPLE_LINES = 200
+#: Runs of lines that stand for a longer document.
+SAMPLE_RUNS = 8
 #: Steps of the fit, weight decay.
 STEPS = 150
 DECAY = 1e-3
@@ -218,34 +221,51 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
+def sampled_runs(n: int, most: int, seed: int) -> list[tuple[int, int]]:
+    """Lines to learn from, as runs: all, or one run inside each of SAMPLE_RUNS equal parts."""
+    if n <= most:
+        return [(0, n)]
+    parts = min(SAMPLE_RUNS, most)
+    size = most // parts
+    edges = [n * k // parts for k in range(parts + 1)]
+    starts = [a + zlib.crc32(f"{seed}:{k}".encode()) % max(b - a - size + 1, 1) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    return [(a, min(a + size, n)) for a in starts]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> LineField:
     """Fit on at most `sample` labelled documents that are not held out, those of least id hash.
 
-    The driver receives the features of these documents only, at most `sample_lines` lines each.
-    Labels other than 0 and 1 are left out; of several labels of one id the least is used.
-    Without labelled rows every line counts as good.
+    The driver receives the features of these documents only, at most `sample_lines` lines each:
+    of longer ones SAMPLE_RUNS runs of consecutive lines from all parts of the document, each at
+    a place that the text's hash chooses, and each a chain of its own. Of the rows that repeat a
+    sampled id the least text stands for all. Labels other than 0 and 1 are left out; of several
+    labels of one id the least is used. Without labelled rows every line counts as good.
     """
     checked(docs, id_col, text_col)
     checked(labels, id_col, label_col)
     chosen = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
               .groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
               .orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    # the sample is bounded by its parameter
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text")).join(
-        F.broadcast(chosen), "_id")
+    # the sample is bounded by its parameter; one row of each id goes on
+    rows = (docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
+            .join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+            .withColumn("_at", F.xxhash64("_id", "_text")))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("y", T.LongType()),
                            T.StructField("x", T.BinaryType())])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ys, xs = batch.column(0), batch.column(1).cast(pa.int64()), []
-            for t in batch.column(2).to_pylist():
-                x, _, _ = line_features([t])
-                xs.append(x[:sample_lines].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([ids, ys, pa.array(xs, pa.binary())], ["id", "y", "x"])
-
-    got = rows.select("_id", "_y", "_text").mapInArrow(features, schema).toArrow().sort_by([("id", "ascending")])
+            out: tuple[list, list, list] = ([], [], [])
+            for i, y, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, _, _ = line_features([text])
+                for a, b in sampled_runs(len(x), sample_lines, at):
+                    for column, value in zip(out, (i, y, x[a:b].astype(np.float32).tobytes()), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                                             ["id", "y", "x"])
+
+    got = rows.select("_id", "_y", "_text", "_at").mapInArrow(features, schema).toArrow().sort_by([("id", "ascending")])
     xs = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got["x"].to_pylist()]
     if not xs:
         return fit(np.zeros((0, N_FEATURES)), np.zeros(1, np.int64), np.zeros(0, bool))
