@@ -124,22 +124,27 @@ def combinations(classes: list[int], window: int, slack: int, depth: int) -> lis
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int) -> np.ndarray:
-    """x >= 0 with the least |a x - b|, by active sets; at most `rounds` changes of the set."""
-    gram, right = a.T @ a, a.T @ b
+    """x >= 0 with the least |a x - b|, by active sets; more than `rounds` changes of the set are an error.
+
+    Products are formed for active columns only, so memory follows the rows of `a`.
+    """
+    right = a.T @ b
     x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    enough = 1e-7 * max(1.0, float(np.abs(right).max(initial=0)))
     for _ in range(rounds):
-        gradient = right - gram @ x
+        gradient = a.T @ (b - a @ x)
         gradient[active] = 0
         best = int(gradient.argmax())
-        if gradient[best] <= 1e-7 * max(1.0, float(np.abs(right).max())):
-            break
+        if gradient[best] <= enough:
+            return x
         active[best] = True
         while True:
             at = np.flatnonzero(active)
+            own = a[:, at]
             try:
-                s = np.linalg.solve(gram[np.ix_(at, at)] + 1e-9 * np.eye(len(at)), right[at])
+                s = np.linalg.solve(own.T @ own + 1e-9 * np.eye(len(at)), right[at])
             except np.linalg.LinAlgError:
-                s = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+                s = np.linalg.lstsq(own, b, rcond=None)[0]
             if (s > 0).all():
                 x[:] = 0
                 x[at] = s
@@ -151,7 +156,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int) -> np.ndarray:
             x[~active] = 0
             if not active.any():
                 break
-    return x
+    raise RuntimeError(f"non-negative least squares has not settled after {rounds} rounds")
 
 
 def plan(histogram: dict[int, int], window: int = WINDOW, slack: int = STEP,
@@ -182,7 +187,7 @@ def plan(histogram: dict[int, int], window: int = WINDOW, slack: int = STEP,
         counts = np.array([left[c] for c in classes], float)
         # relative errors count, so rare sizes are fitted as well
         weight = 1 / np.sqrt(counts)
-        x = nnls(a * weight[:, None], counts * weight, 3 * len(classes))
+        x = nnls(a * weight[:, None], counts * weight, 30 * len(classes) + 100)
         for j in np.argsort(-x, kind="stable"):
             sizes = combos[j]
             use(sizes, min([int(x[j] + 1e-6), *(left[c] // sizes.count(c) for c in set(sizes))]))
