@@ -215,12 +215,23 @@ def runs(df: DataFrame, keys: Sequence[str], index: str, flag: Column,
                           | (F.col("end") % slice_len == 0))
               .drop("_g"))
     inner = pieces.where(~F.col("_edge")).select(*keys, "start", "end")
-    ordered = Window.partitionBy(*keys).orderBy("start")
-    joined = (pieces.where("_edge")
-              .withColumn("_new", F.when(F.lag("end").over(ordered) == F.col("start"), 0)
-                          .otherwise(1))
-              .withColumn("_g", F.sum("_new").over(
-                  ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-              .groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-              .drop("_g"))
-    return inner.unionByName(joined)
+    return inner.unionByName(join_touching(pieces.where("_edge").select(*keys, "start", "end"), keys))
+
+
+def join_touching(pieces: DataFrame, keys: Sequence[str], slice_len: int = 1 << 26) -> DataFrame:
+    """Pieces of runs (keys, start, end) that touch, as one: first inside slices of indexes, then across.
+
+    Merging is associative, so a key with very many pieces is not ordered by one task: after the
+    first round only the first and the last of each slice can touch a piece of another slice.
+    """
+    def joined(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("start")
+        upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return (df.withColumn("_new", F.when(F.lag("end").over(order) == F.col("start"), 0).otherwise(1))
+                .withColumn("_g", F.sum("_new").over(upto))
+                .groupBy(*by, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g"))
+
+    first = joined(pieces.withColumn("_s", F.floor(F.col("start") / F.lit(slice_len))), [*keys, "_s"])
+    inside = Window.partitionBy(*keys, "_s").orderBy("start")
+    first = first.withColumn("_edge", F.lag("start").over(inside).isNull() | F.lead("start").over(inside).isNull()).drop("_s")
+    return first.where(~F.col("_edge")).drop("_edge").unionByName(joined(first.where("_edge").drop("_edge"), keys))

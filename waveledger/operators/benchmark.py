@@ -32,17 +32,18 @@ def plan(windows: DataFrame, durations: DataFrame, modalities: Sequence[str], wi
     """Cut all sensors to the windows they share and deal points to folds.
 
     `windows`: key, label, modality, segment_index and features. `durations`: key, modality,
-    duration_s. Points that a sensor lacks, or whose shared span holds no window, are left out.
+    duration_s. Points that a sensor lacks, or whose shared span holds no window, are left out. A
+    point whose windows have several labels has none in the manifest; its windows keep theirs.
     """
     spans = durations.groupBy(key).pivot("modality", list(modalities)).agg(F.max("duration_s"))
     spans = spans.dropna(subset=list(modalities))
     count = W.common_window_count(F.least(*[F.col(m) for m in modalities]) if len(modalities) > 1
                                   else F.col(modalities[0]), window_s, overlap)
-    labels = windows.groupBy(key).agg(F.min(label).alias(label))
+    labels = windows.groupBy(key).agg(F.when(F.min(label).eqNullSafe(F.max(label)), F.min(label)).alias(label))
     shared = staged(spans.select(key, count.alias("common_windows")).where("common_windows > 0").join(labels, key),
                     "manifest")
-    folds = splits.stratified_group_folds(shared, key, label, k)
-    manifest = staged(shared.join(folds.select(key, "fold"), key), "manifest")
+    dealt = windows.select(key, label).join(shared.select(key), key, "left_semi")
+    manifest = staged(shared.join(splits.group_folds(dealt, key, label, k), key), "manifest")
     kept = W.keep_common_windows(windows.where(F.col("modality").isin(*modalities)), manifest, key)
     kept = kept.drop("common_windows").join(manifest.select(key, "fold"), key)
     short = [W.window_shortages(windows.where(F.col("modality") == m), manifest, key).withColumn("modality", F.lit(m))

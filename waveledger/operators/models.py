@@ -226,13 +226,13 @@ def subset_ablation(rows: DataFrame, subsets: Mapping[str, Sequence[str]],
 def task_folds(rows: DataFrame, key: str, label: str, most: int = 5) -> tuple[DataFrame, int]:
     """(rows with `fold`, k): k is `most` or the groups of the smallest class, if fewer.
 
-    Folds are stratified by the task's own label; a fold the rows already have is replaced.
+    Folds are stratified by the task's own label; a fold the rows already have is replaced. A
+    group with rows of several classes is one group all the same.
     """
     rows = rows.drop("fold")
     groups = rows.select(key, label).distinct()
     k = max(2, splits.min_class_folds(groups, key, label, most).first()["n_folds"] or 0)
-    folds = splits.stratified_group_folds(groups, key, label, k).select(key, "fold")
-    return rows.join(folds, key), k
+    return rows.join(splits.group_folds(rows, key, label, k), key), k
 
 
 def validation_sensitivity(rows: DataFrame, key: str, label: str, n_classes: int,

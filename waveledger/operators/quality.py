@@ -56,8 +56,12 @@ def quiet_blocks(samples: DataFrame, keys: Sequence[str], block: int,
     complete = samples.where(F.col("i") < F.floor(F.col("n") / F.lit(block)) * block)
     blocks = (complete.groupBy(*keys, F.floor(F.col("i") / F.lit(block)).alias("block"))
               .agg(F.sqrt(F.avg(v * v)).alias("rms"), (F.max(v) == F.min(v)).alias("flat")))
+    return mark_quiet(blocks, samples.groupBy(*keys).agg(F.max(F.abs(v)).alias("_peak")), keys)
+
+
+def mark_quiet(blocks: DataFrame, peaks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add `silent` to blocks (keys, block, rms), given the recordings' peaks."""
     typical = ordered.quantiles(blocks, keys, "rms", {"_median": 0.5})
-    peaks = samples.groupBy(*keys).agg(F.max(F.abs(v)).alias("_peak"))
     limits = typical.join(peaks, list(keys)).select(*keys, F.greatest(
         F.col("_median") * fv.QC_SILENT_SHARE,
         F.col("_peak") * fv.QC_SILENT_PEAK_SHARE).alias("_limit"))
@@ -95,10 +99,14 @@ def leading_quiet(samples: DataFrame, blocks: DataFrame, keys: Sequence[str], bl
 
     The whole length when no block is active; 0 when there is no complete block.
     """
+    return leading_seconds(samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), blocks, keys, block, fs)
+
+
+def leading_seconds(sizes: DataFrame, blocks: DataFrame, keys: Sequence[str], block: int, fs: float) -> DataFrame:
+    """The same from the recordings' lengths (keys, n)."""
     active = ~(F.col("flat") | F.col("silent"))
     first = blocks.groupBy(*keys).agg(F.min(F.when(active, F.col("block"))).alias("_first"),
                                       F.lit(True).alias("_has"))
-    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     lead = (F.when(F.col("_has").isNull(), 0.0)
             .when(F.col("_first").isNull(), F.col("n") / F.lit(float(fs)))
             .otherwise(F.col("_first") * F.lit(block / fs)))
@@ -112,16 +120,24 @@ def zero_baseline(codes: DataFrame, keys: Sequence[str], value: str = "value") -
     all other codes is at least 4.
     """
     zero = F.col(value) == 0
-    size = F.col("end") - F.col("start")
-    longest = (ordered.runs(codes, keys, "i", zero).groupBy(*keys).agg(
-        F.max_by(F.struct("start", "end"), F.struct(size, -F.col("start"))).alias("_r"))
-        .select(*keys, F.col("_r.start").alias("base_start"), F.col("_r.end").alias("base_end")))
+    longest = longest_run(ordered.runs(codes, keys, "i", zero), keys)
     counts = codes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                       F.count_if(zero).alias("clip_low"))
     rest = ordered.attach(codes.select(*keys, "i", value), longest, keys, ["i"], "left").where(
         F.col("base_start").isNull() | (F.col("i") < F.col("base_start"))
         | (F.col("i") >= F.col("base_end")))
-    room = ordered.quantiles(rest, keys, value, {"_p1": 0.01})
+    return baseline_verdict(counts, longest, ordered.quantiles(rest, keys, value, {"_p1": 0.01}), keys)
+
+
+def longest_run(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """base_start and base_end of the longest run of a key; of equal ones the first."""
+    size = F.col("end") - F.col("start")
+    return (runs.groupBy(*keys).agg(F.max_by(F.struct("start", "end"), F.struct(size, -F.col("start"))).alias("_r"))
+            .select(*keys, F.col("_r.start").alias("base_start"), F.col("_r.end").alias("base_end")))
+
+
+def baseline_verdict(counts: DataFrame, longest: DataFrame, room: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The verdict from counts (n, clip_low), the longest run of zeros and the 1st percentile of other codes."""
     out = counts.join(longest, list(keys), "left").join(room, list(keys), "left")
     share = F.coalesce(F.try_divide(F.col("base_end") - F.col("base_start"), F.col("clip_low")),
                        F.lit(0.0))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from waveledger.functions import ordered
 from waveledger.functions.scalars import portable_hash
+from waveledger.sources import tables
 
 
 def _shuffled(groups: DataFrame, key: str, seed: int) -> DataFrame:
@@ -30,7 +31,7 @@ def stratified_group_folds(groups: DataFrame, key: str, label: str, k: int,
                            seed: int = 42) -> DataFrame:
     """One fold (0..k-1) per group; each class is dealt out evenly over the folds.
 
-    `groups` has one row per group.  Classes start dealing at different folds, so small
+    `groups` has one row per group (`mixed_group_folds` takes groups of several classes).  Classes start dealing at different folds, so small
     classes do not pile up in fold 0.
     """
     ranked = ordered.running_sums(
@@ -40,6 +41,82 @@ def stratified_group_folds(groups: DataFrame, key: str, label: str, k: int,
     return ranked.select(key, label, ((F.col("_rank") - 1 + start) % k).alias("fold"))
 
 
+def _leading_bits(x: Column, bits: int) -> Column:
+    """A count with all but its leading bits cleared."""
+    drop = F.greatest(F.length(F.bin(x)) - bits, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", x, drop), drop)
+
+
+def deal_counts(vectors: Sequence[tuple[Sequence[int], int]], totals: Sequence[int], k: int) -> list[list[int]]:
+    """For each (class counts, groups that have them) the folds of the groups left after full rounds.
+
+    Vectors are dealt in the given order, one group at a time, to the fold where the squared
+    class shares grow least; of equal ones to that with the fewest rows, then to the first. A full
+    round gives all folds the same and changes no comparison.
+    """
+    have = [[0] * len(totals) for _ in range(k)]
+    out = []
+    for counts, n in vectors:
+        folds = []
+        for _ in range(n % k):
+            def growth(f: int) -> tuple[float, int, int]:
+                cost = 0.0
+                for x, v, t in zip(have[f], counts, totals):
+                    cost += (x * v) / (t * t)
+                return cost, sum(have[f]), f
+
+            best = min(range(k), key=growth)
+            have[best] = [x + v for x, v in zip(have[best], counts)]
+            folds.append(best)
+        out.append(folds)
+    return out
+
+
+def mixed_group_folds(rows: DataFrame, key: str, label: str, k: int, seed: int = 42, bits: int = 4,
+                      most: int = 1_000_000) -> DataFrame:
+    """(key, fold): one fold (0..k-1) per group, also where a group has rows of several classes.
+
+    A group is the vector of its rows per class. Groups of equal vectors are dealt round by
+    round, in a random but repeatable order; what a full round leaves goes greedily to where the
+    class shares spread least, heaviest vectors first. The driver sees each different vector
+    once, never a group: counts keep their `bits` leading bits for the dealing, so there are few
+    (at most `most`, or an error says so). A null label is a class of its own.
+    """
+    counts = rows.groupBy(key, label).agg(F.count(F.lit(1)).alias("_n"))
+    classes = counts.groupBy(label).agg(F.sum("_n").alias("n")).orderBy(F.col(label).asc_nulls_first()).collect()
+    named = [(r[label], i) for i, r in enumerate(classes) if r[label] is not None]
+    index = F.create_map(*[F.lit(x) for pair in named for x in pair])[F.col(label)] if named else F.lit(None).cast("int")
+    entry = F.struct(F.coalesce(index, F.lit(0)).alias("c"), "_n")
+    held = F.map_from_entries(F.collect_list(entry))
+    size = len(classes)
+    vector = F.transform(F.sequence(F.lit(0), F.lit(max(size - 1, 0))), lambda c: _leading_bits(
+        F.coalesce(F.element_at("_held", c), F.lit(0).cast("bigint")), bits))
+    groups = counts.groupBy(key).agg(held.alias("_held")).select(key, vector.alias("_v"))
+    groups = tables.staged(groups, "class-counts")
+    found = groups.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} different class counts: take fewer `bits`")
+    order = sorted(((list(r["_v"]), r["n"]) for r in found), key=lambda r: (sum(r[0]), r[0]), reverse=True)
+    rest = deal_counts(order, [r["n"] for r in classes], k)
+    table = rows.sparkSession.createDataFrame(
+        [(place, v, n // k * k, folds) for place, ((v, n), folds) in enumerate(zip(order, rest))],
+        "_place bigint, _v array<bigint>, _full bigint, _rest array<int>")
+    ranked = ordered.running_sums(_shuffled(groups.join(table, "_v"), key, seed), ["_place"], ["_digest"], _digest_slice(),
+                                  {"_rank": F.lit(1).cast("bigint")})
+    rank = F.col("_rank") - 1
+    fold = F.when(rank < F.col("_full"), rank % k).otherwise(F.get("_rest", (rank - F.col("_full")).cast("int")))
+    return ranked.select(key, fold.cast("bigint").alias("fold"))
+
+
+def group_folds(rows: DataFrame, key: str, label: str, k: int, seed: int = 42) -> DataFrame:
+    """(key, fold) of every group of `rows`: dealt per class, or as class counts if a group has several classes."""
+    groups = rows.select(key, label).distinct()
+    mixed = groups.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    if mixed.isEmpty():
+        return stratified_group_folds(groups, key, label, k, seed).select(key, "fold")
+    return mixed_group_folds(rows, key, label, k, seed)
+
+
 def group_shuffle_split(groups: DataFrame, key: str, test_size: float, val_size: float,
                         seed: int = 1337) -> DataFrame:
     """`test` for ceil(test_size) of the groups, `val` for ceil(val_size) of the rest, else `train`."""

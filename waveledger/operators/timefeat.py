@@ -120,16 +120,22 @@ def dc_offsets(samples: DataFrame, keys: Sequence[str], channel: str,
                value: str = "value") -> DataFrame:
     """Per channel: mean and |mean| as percent of RMS."""
     v = F.col(value)
-    out = samples.groupBy(*keys, channel).agg(F.avg(v).alias("dc"),
-                                              F.sqrt(F.avg(v * v)).alias("_rms"))
-    return out.withColumn("dc_pct_rms", F.when(
+    return offset_percent(samples.groupBy(*keys, channel).agg(
+        F.avg(v).alias("dc"), F.sqrt(F.avg(v * v)).alias("_rms")))
+
+
+def offset_percent(offsets: DataFrame) -> DataFrame:
+    return offsets.withColumn("dc_pct_rms", F.when(
         F.col("_rms") > 0, F.lit(100.0) * F.abs("dc") / F.col("_rms")).otherwise(0.0)).drop("_rms")
 
 
 def worst_dc_offset(samples: DataFrame, keys: Sequence[str], channel: str,
                     value: str = "value") -> DataFrame:
     """The offset largest in size over channels (ties: first channel) and the worst percent."""
-    per = dc_offsets(samples, keys, channel, value)
+    return worst_of_offsets(dc_offsets(samples, keys, channel, value), keys, channel)
+
+
+def worst_of_offsets(per: DataFrame, keys: Sequence[str], channel: str) -> DataFrame:
     first_worst = F.min_by("dc", F.struct(-F.abs("dc"), F.col(channel)))
     return per.groupBy(*keys).agg(first_worst.alias("dc_offset"),
                                   F.max("dc_pct_rms").alias("dc_offset_pct_rms"),
@@ -146,8 +152,11 @@ def clipping(samples: DataFrame, keys: Sequence[str], low: Column | None, high:
             F.lit(None).cast("double").alias("clip_fraction"), F.lit(False).alias("clipped"),
             F.lit("unverifiable").alias("clipping_status"))
     hits = (v <= low).cast("bigint") + (v >= high).cast("bigint")
-    out = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(hits).alias("clip_count"))
-    return (out.withColumn("clip_fraction", F.col("clip_count") / F.col("n"))
+    return clip_verdict(samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(hits).alias("clip_count")))
+
+
+def clip_verdict(counts: DataFrame) -> DataFrame:
+    return (counts.withColumn("clip_fraction", F.col("clip_count") / F.col("n"))
             .withColumn("clipped", F.col("clip_count") > 0)
             .withColumn("clipping_status", F.when(F.col("clipped"), "limit samples detected")
                         .otherwise("not detected")))
@@ -162,10 +171,15 @@ def rms_variation(samples: DataFrame, keys: Sequence[str], size: int,
     v = F.col(value)
     complete = samples.where(F.col("i") < F.floor(F.col("n") / F.lit(size)) * size)
     per = (complete.groupBy(*keys, F.floor(F.col("i") / F.lit(size)).alias("_w"))
-           .agg(F.sqrt(F.avg(v * v)).alias("_rms")))
+           .agg(F.sqrt(F.avg(v * v)).alias("rms")))
+    return variation_of(per, keys)
+
+
+def variation_of(per: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The variation of windows whose RMS is known (keys, rms)."""
     spread = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"),
-                                    F.max("_rms").alias("_hi"), F.min("_rms").alias("_lo"))
-    mid = ordered.quantiles(per, keys, "_rms", {"median_rms": 0.5})
+                                    F.max("rms").alias("_hi"), F.min("rms").alias("_lo"))
+    mid = ordered.quantiles(per, keys, "rms", {"median_rms": 0.5})
     pct = F.when((F.col("n_windows") >= 2) & (F.col("median_rms") > 0),
                  (F.col("_hi") - F.col("_lo")) / F.col("median_rms") * 100.0)
     return (spread.join(mid, list(keys)).withColumn("rms_variation_pct", pct)

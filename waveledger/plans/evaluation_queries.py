@@ -239,6 +239,60 @@ def group_kfold(spark, sf):
     return _folds(spark, sf)
 
 
+_MIXED = """rows AS (SELECT vec_id, vec_id % 37 AS group_id, CAST(label AS BIGINT) AS label FROM embeddings),
+classes AS (SELECT label, row_number() OVER (ORDER BY label) AS c, count(*) AS total FROM rows GROUP BY label),
+totals AS (SELECT list(total ORDER BY c) AS t FROM classes),
+counts AS (SELECT group_id, label, count(*) AS n FROM rows GROUP BY ALL),
+vectors AS (
+  SELECT g.group_id, list((coalesce(n, 0) >> greatest(length(bin(coalesce(n, 0))) - 4, 0)) << greatest(length(bin(coalesce(n, 0))) - 4, 0)
+    ORDER BY c) AS v
+  FROM (SELECT DISTINCT group_id FROM rows) g CROSS JOIN classes LEFT JOIN counts ON counts.group_id = g.group_id AND counts.label = classes.label
+  GROUP BY g.group_id),
+kinds AS (SELECT v, count(*) AS n, row_number() OVER (ORDER BY list_sum(v) DESC, v DESC) AS place FROM vectors GROUP BY v),
+steps AS (SELECT row_number() OVER (ORDER BY place, r) AS step, place, r, v FROM (SELECT place, v, unnest(range(n % 5)) AS r FROM kinds)),
+deal AS (
+  SELECT 0::BIGINT AS step, [[0::BIGINT FOR x IN t] FOR f IN range(5)] AS have, NULL::BIGINT AS fold FROM totals
+  UNION ALL
+  SELECT step, [CASE WHEN f - 1 = fold THEN [have[f][c] + v[c] FOR c IN range(1, len(v) + 1)] ELSE have[f] END FOR f IN range(1, 6)], fold
+  FROM (
+    SELECT s.step, s.v, d.have, list_sort([{'cost': list_reduce([0.0::DOUBLE] || [(d.have[f][c] * s.v[c])::DOUBLE / (t[c] * t[c])::DOUBLE
+        FOR c IN range(1, len(t) + 1)], lambda a, x: a + x), 'size': list_sum(d.have[f]), 'f': f - 1} FOR f IN range(1, 6)])[1].f AS fold
+    FROM deal d JOIN steps s ON s.step = d.step + 1, totals)),
+ranked AS (
+  SELECT group_id, place, n, row_number() OVER (PARTITION BY place ORDER BY md5(concat('42:', CAST(group_id AS VARCHAR)))) - 1 AS rank
+  FROM vectors JOIN kinds USING (v)),
+folds AS (
+  SELECT group_id, CASE WHEN rank < n // 5 * 5 THEN rank % 5 ELSE fold END AS fold
+  FROM ranked LEFT JOIN (SELECT place, r, fold FROM steps JOIN deal USING (step)) s ON s.place = ranked.place AND s.r = rank - n // 5 * 5)"""
+
+
+def _mixed(spark, sf):
+    rows = S.table(spark, sf, "embeddings").select(
+        "vec_id", (F.col("vec_id") % 37).alias("group_id"), F.col("label").cast("bigint").alias("label"))
+    return rows, splits.mixed_group_folds(rows, "group_id", "label", 5)
+
+
+@query("mixed_group_kfold", f"""
+WITH RECURSIVE {_MIXED}
+SELECT rows.group_id, label, fold, count(*) AS n_rows FROM rows JOIN folds USING (group_id) GROUP BY ALL""")
+def mixed_group_kfold(spark, sf):
+    """Folds of groups that have rows of several classes; every row stays in its group's one fold."""
+    rows, folds = _mixed(spark, sf)
+    return rows.join(folds, "group_id").groupBy("group_id", "label", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("mixed_fold_coverage", f"""
+WITH RECURSIVE {_MIXED},
+m AS (SELECT group_id, f AS fold, f = fold AS test, count(*) AS n FROM rows JOIN folds USING (group_id), range(5) t(f) GROUP BY ALL)
+SELECT fold, CAST(sum(n) FILTER (WHERE NOT test) AS BIGINT) AS train_rows, CAST(sum(n) FILTER (WHERE test) AS BIGINT) AS test_rows,
+  count(DISTINCT group_id) FILTER (WHERE NOT test) AS train_groups, count(DISTINCT group_id) FILTER (WHERE test) AS test_groups,
+  count(*) - count(DISTINCT group_id) AS leaked_groups
+FROM m GROUP BY fold""")
+def mixed_fold_coverage(spark, sf):
+    rows, folds = _mixed(spark, sf)
+    return splits.fold_coverage(splits.fold_membership(rows, folds, "group_id", 5), "group_id")
+
+
 @query("group_shuffle_split", f"""
 WITH {_GROUPS}, a AS (
   SELECT group_id, row_number() OVER (ORDER BY md5(concat('1337:', group_id))) <= ceil((SELECT count(*) FROM groups) * 0.25) AS test

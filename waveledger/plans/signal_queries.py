@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waveledger.functions import ordered
+from waveledger.functions import arrays as A, ordered
 from waveledger.functions.scalars import rounded
-from waveledger.operators import filetable, quality, readings, timefeat, windows
+from waveledger.operators import chunked, filetable, quality, readings, timefeat, windows
 from waveledger.plans import standins as S
-from waveledger.plans.registry import query
+from waveledger.plans.registry import ORACLES, query
 
 REC = ["recording_id"]
 
@@ -441,3 +441,99 @@ def file_table(spark, sf):
                                rules={"channels_ok": ("channels", "expected_channels", 0)})
     return _rounded(out, ["recording_id", "n", "clip_count", "clipped", "channels", "n_windows", "n_peers", "quiet_start",
                           "channels_ok"], _TABLE_NUM)
+
+
+# The same checks from stored chunks, against the same SQL ---------------------------
+
+def _chunked(name: str, long_form: str):
+    """Register a chunk form of a query: its rows are those of the long form."""
+    return query(name, ORACLES[long_form])
+
+
+@_chunked("chunk_channel_stats", "channel_stats")
+def chunk_channel_stats(spark, sf):
+    out = chunked.channel_stats(S.chunks(S.samples(spark, sf), ["recording_id", "channel"]), ["recording_id", "channel"])
+    return _rounded(out, ["recording_id", "channel", "n"], ["vmin", "vmax", "vpp", "mean", "rms", "std"])
+
+
+@_chunked("chunk_clipping", "clipping")
+def chunk_clipping(spark, sf):
+    out = chunked.clipping(S.chunks(S.samples(spark, sf), REC), REC, F.lit(1.0), F.lit(200.0))
+    return out.withColumn("clip_fraction", rounded("clip_fraction"))
+
+
+@_chunked("chunk_dc_offset", "dc_offset")
+def chunk_dc_offset(spark, sf):
+    shifted = S.samples(spark, sf).withColumn("value", F.col("value") - 45)
+    out = chunked.worst_dc_offset(S.chunks(shifted, ["recording_id", "channel"]), REC, "channel")
+    return _rounded(out, ["recording_id", "channels"], ["dc_offset", "dc_offset_pct_rms"])
+
+
+@_chunked("chunk_rms_variation", "rms_variation")
+def chunk_rms_variation(spark, sf):
+    """Windows of 8 from chunks of 13, so that most windows lie in two chunks."""
+    out = chunked.rms_variation(S.chunks(S.samples(spark, sf), REC, 13), REC, size=8)
+    return _rounded(out, ["recording_id", "n_windows"], ["median_rms", "rms_variation_pct"])
+
+
+@_chunked("chunk_quiet_runs", "quiet_runs")
+def chunk_quiet_runs(spark, sf):
+    blocks = chunked.quiet_blocks(S.chunks(S.gated_samples(spark, sf), REC, 7), REC, _BLOCK)
+    out = quality.long_quiet_runs(quality.quiet_runs(blocks, REC, _BLOCK, _FS), _BLOCK, _FS, min_run_s=0.0625)
+    return _rounded(out, ["recording_id", "kind", "blocks"], ["start_s", "end_s"])
+
+
+@_chunked("chunk_leading_quiet", "leading_quiet")
+def chunk_leading_quiet(spark, sf):
+    c = S.chunks(S.gated_samples(spark, sf), REC, 7)
+    return _rounded(chunked.leading_quiet(c, chunked.quiet_blocks(c, REC, _BLOCK), REC, _BLOCK, _FS), REC, ["leading_quiet_s"])
+
+
+@_chunked("chunk_zero_baseline", "zero_baseline")
+def chunk_zero_baseline(spark, sf):
+    out = chunked.zero_baseline(S.chunks(S.gated_samples(spark, sf), REC, 5), REC)
+    return out.withColumn("run_share", rounded("run_share"))
+
+
+@query("chunk_zero_runs", f"""
+WITH {S.GATED}, z AS (
+  SELECT recording_id, i, i - row_number() OVER (PARTITION BY recording_id ORDER BY i) AS g FROM gated WHERE value = 0)
+SELECT recording_id, min(i) AS start, max(i) + 1 AS "end" FROM z GROUP BY recording_id, g""")
+def chunk_zero_runs(spark, sf):
+    """Every run of zero samples, encoded inside chunks and joined at their edges."""
+    return chunked.runs(S.chunks(S.gated_samples(spark, sf), REC, 5), REC, lambda v: v == 0)
+
+
+@_chunked("chunk_envelope", "envelope")
+def chunk_envelope(spark, sf):
+    out = chunked.envelope(S.chunks(S.samples(spark, sf), REC, 11), REC, fs=8.0, bins=16)
+    return _rounded(out, ["recording_id", "bin", "n_samples"], ["low", "high", "center_s"])
+
+
+@query("tumbling_arrays", f"""
+WITH {S.SIG}
+SELECT recording_id, (i - 5) // 10 AS segment_index, min(i) - 5 AS start_sample, count(*) AS n_samples,
+  round(sqrt(avg(value * value)), 6) + 0.0 AS rms, round(arg_min(value, i), 6) + 0.0 AS first_value
+FROM sig WHERE i >= 5 AND i - 5 < (n - 5) // 10 * 10 GROUP BY recording_id, (i - 5) // 10""")
+def tumbling_arrays(spark, sf):
+    """Back-to-back windows of 10 samples after the first 5, as arrays from chunks."""
+    w = chunked.tumbling_windows(S.chunks(S.samples(spark, sf), REC), REC, size=10, skip=5)
+    return w.select("recording_id", "segment_index", "start_sample", F.size("samples").cast("bigint").alias("n_samples"),
+                    rounded(F.sqrt(A.total("samples", lambda x: x * x) / F.size("samples"))).alias("rms"),
+                    rounded(F.get(F.col("samples"), F.lit(0))).alias("first_value"))
+
+
+@_chunked("chunk_file_table", "file_table")
+def chunk_file_table(spark, sf):
+    """All checks of a recording in one row, without a row per sample."""
+    s = S.gated_samples(spark, sf)
+    c = S.chunks(s, REC, 12)
+    digests = chunked.lengths(c, REC).select("recording_id", F.col("n").cast("string").alias("sha256"))
+    peers = quality.duplicate_peers(digests, path="recording_id").select("recording_id", "n_peers")
+    spread = readings.variation(S.readings(spark, sf), REC).select("recording_id", "spot_cv_pct")
+    expected = digests.select("recording_id", F.lit(5).alias("expected_channels"))
+    out = chunked.file_table(c, REC, "channel", _FS, F.lit(-1.0), F.lit(150.0), block=_BLOCK, variation_samples=8,
+                             facts=[peers, spread, expected], rules={"channels_ok": ("channels", "expected_channels", 0)},
+                             by_channel=S.chunks(s, ["recording_id", "channel"]), alone=True)
+    return _rounded(out, ["recording_id", "n", "clip_count", "clipped", "channels", "n_windows", "n_peers", "quiet_start",
+                          "channels_ok"], _TABLE_NUM)

@@ -42,6 +42,14 @@ def gated_samples(spark: SparkSession, sf: str) -> DataFrame:
     return staged_samples(spark, sf).withColumn("value", F.when(live, F.col("value")).otherwise(0.0))
 
 
+def chunks(indexed: DataFrame, keys: list[str], size: int = 16) -> DataFrame:
+    """Indexed samples as stored chunks: keys, n, start_sample, samples. A written table, as files would be."""
+    pairs = F.array_sort(F.collect_list(F.struct("i", "value")))
+    made = (indexed.groupBy(*keys, "n", F.floor(F.col("i") / size).alias("c")).agg(pairs.alias("_p"))
+            .select(*keys, "n", (F.col("c") * size).alias("start_sample"), F.transform("_p", lambda p: p["value"]).alias("samples")))
+    return tables.staged(made, "chunks")
+
+
 def windows(spark: SparkSession, sf: str) -> DataFrame:
     """embeddings as 64-sample windows with a class and a recording key."""
     return table(spark, sf, "embeddings").select(
