@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from waveledger.functions.register import register
 from waveledger.functions.scalars import rounded
 from waveledger.operators import quality
 from waveledger.plans import captures, spectral_queries, standins as S
-from waveledger.plans.registry import query
-from waveledger.sources import deep_memory, dispatch, files, scope_bin, scope_csv, tables, wav
+from waveledger.plans.registry import ORACLES, query
+from waveledger.sources import capture, deep_memory, dispatch, files, scope_bin, scope_csv, tables, wav
 
 _PARTS = S.SIG + """, parts AS (
   SELECT recording_id, i // 4096 AS part, i - i // 4096 * 4096 AS k, value,
@@ -133,16 +134,8 @@ _STORED = _PARTS + f""", v AS (
   UNION ALL SELECT {_path('csv')}, 'CH1(V)', recording_id % 5 IN (2, 3), CAST(CAST(value AS FLOAT) AS DOUBLE) FROM parts)"""
 
 
-@query("stored_captures", f"""
-WITH {_STORED}
-SELECT path, CASE WHEN bad THEN NULL ELSE channel END AS channel, CASE WHEN bad THEN 0 ELSE count(*) END AS n_samples,
-  CASE WHEN bad THEN NULL ELSE round(sum(x), 3) + 0.0 END AS total, bad AS failed
-FROM v GROUP BY path, CASE WHEN bad THEN NULL ELSE channel END, bad""")
-def stored_captures(spark, sf):
-    """Captures of all four formats, some cut, short, empty or broken, written, listed and read back.
-
-    Every listed file shows: with its samples per channel, or as failed.
-    """
+def _written_captures(spark, sf) -> str:
+    """Folder with captures of all four formats, some cut, short, empty or broken."""
     kinds = [captures.scope_files(spark, sf, faulty=True), captures.wav_files(spark, sf),
              captures.deep_memory_files(spark, sf), captures.csv_files(spark, sf)]
     root = f"{tables.shared_dir(spark).rstrip('/')}/waveledger/captures-{uuid.uuid4().hex}"
@@ -153,6 +146,20 @@ def stored_captures(spark, sf):
             content = F.when(fault == 2, F.substring(content, 1, 10)).when(
                 fault == 3, F.substring(content, 1, 0)).otherwise(content)
         files.write_contents(kind.select("path", content.alias("content")), root)
+    return root
+
+
+@query("stored_captures", f"""
+WITH {_STORED}
+SELECT path, CASE WHEN bad THEN NULL ELSE channel END AS channel, CASE WHEN bad THEN 0 ELSE count(*) END AS n_samples,
+  CASE WHEN bad THEN NULL ELSE round(sum(x), 3) + 0.0 END AS total, bad AS failed
+FROM v GROUP BY path, CASE WHEN bad THEN NULL ELSE channel END, bad""")
+def stored_captures(spark, sf):
+    """Captures of all four formats, some cut, short, empty or broken, written, listed and read back.
+
+    Every listed file shows: with its samples per channel, or as failed.
+    """
+    root = _written_captures(spark, sf)
     chunks = tables.staged(dispatch.read_waveforms(files.listing(spark, root), chunk=1024), "stored")
     path = F.substring_index("path", "/", -2).alias("path")
     good = chunks.where("samples IS NOT NULL").select(
@@ -165,6 +172,62 @@ def stored_captures(spark, sf):
     return read.withColumn("failed", F.lit(False)).unionByName(lost.withColumn("failed", F.lit(True)))
 
 
+@query("capture_source", ORACLES["stored_captures"])
+def capture_source(spark, sf):
+    """The same files through the data source, in SQL alone."""
+    capture.register(spark)
+    view = f"captures_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TEMPORARY VIEW {view} USING capture OPTIONS (path '{_written_captures(spark, sf)}', chunk '1024')")
+    return spark.sql(f"""
+SELECT substring_index(path, '/', -2) AS path, channel, CAST(coalesce(sum(size(samples)), 0) AS BIGINT) AS n_samples,
+  round(sum(aggregate(samples, 0D, (a, x) -> a + x)), 3) + 0D AS total, samples IS NULL AS failed
+FROM {view} GROUP BY path, channel, samples IS NULL""")
+
+
+@query("capture_span", f"""
+WITH {_STORED}, w AS (
+  SELECT {_path('wav')} AS path, k, -floor(value) / 32768 AS x FROM parts WHERE recording_id % 5 NOT IN (2, 3))
+SELECT path, min(k) AS first_sample, count(*) AS n_samples, round(sum(x), 6) + 0.0 AS total
+FROM w WHERE k >= 16 AND k < 40 GROUP BY path""")
+def capture_span(spark, sf):
+    """Seconds 2 to 5 of one channel of the audio files: path, channel and span reach the reader."""
+    capture.register(spark)
+    df = spark.read.format("capture").options(offset_s=2, duration_s=3, chunk=5).load(_written_captures(spark, sf))
+    kept = df.where("path LIKE '%.wav' AND channel = 'ch1' AND samples IS NOT NULL")
+    return kept.groupBy(F.substring_index("path", "/", -2).alias("path")).agg(
+        F.min("start_sample").alias("first_sample"), F.sum(F.size("samples")).alias("n_samples"),
+        rounded(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double")))).alias("total"))
+
+
+@query("lateral_features", f"""
+WITH {S.WIN}, placed AS (
+  SELECT vec_id, j, x, unnest(range(CASE WHEN j < 16 THEN 0 ELSE (j - 16) // 8 + 1 END, j // 8 + 1)) AS segment_index FROM win),
+ac AS (SELECT vec_id, segment_index, x, x - avg(x) OVER (PARTITION BY vec_id, segment_index) AS d
+  FROM placed WHERE segment_index * 8 + 16 <= 64),
+f AS (SELECT vec_id, segment_index, avg(x) AS mean, avg(d * d) AS m2, avg(d * d * d * d) AS m4, max(d) AS hi, min(d) AS lo
+  FROM ac GROUP BY ALL),
+v AS (SELECT vec_id, segment_index, CASE WHEN sqrt(m2) > 0.12 THEN 1.0 ELSE 0.0 END AS vote FROM f),
+m AS (SELECT vec_id, vote, count(*) AS n FROM v GROUP BY ALL),
+best AS (SELECT vec_id, vote FROM m QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, vote) = 1)
+SELECT f.vec_id, segment_index, segment_index * 8 AS start_sample, round(mean, 6) + 0.0 AS mean, round(sqrt(m2), 6) + 0.0 AS rms,
+  round(hi - lo, 6) + 0.0 AS peak_to_peak, round(greatest(hi, -lo) / sqrt(m2), 6) + 0.0 AS crest,
+  round(m4 / (m2 * m2), 6) + 0.0 AS kurtosis, CAST(vote AS DOUBLE) AS loud
+FROM f JOIN best ON best.vec_id = f.vec_id""")
+def lateral_features(spark, sf):
+    """Windows of an array, features of a window and a vote over them, in SQL alone."""
+    register(spark)
+    view = f"windows_{uuid.uuid4().hex}"
+    S.table(spark, sf, "embeddings").createOrReplaceTempView(view)
+    return spark.sql(f"""
+WITH found AS (
+  SELECT vec_id, segment_index, start_sample, f.* FROM {view},
+    LATERAL windows_of(CAST(embedding AS ARRAY<DOUBLE>), 16, 8) w, LATERAL window_features(w.segment) f),
+loud AS (SELECT vec_id, majority(collect_list(CASE WHEN rms > 0.12 THEN 1D ELSE 0D END)) AS loud FROM found GROUP BY vec_id)
+SELECT found.vec_id, segment_index, start_sample, round(mean, 6) + 0D AS mean, round(rms, 6) + 0D AS rms,
+  round(peak_to_peak, 6) + 0D AS peak_to_peak, round(crest, 6) + 0D AS crest, round(kurtosis, 6) + 0D AS kurtosis, loud
+FROM found JOIN loud ON loud.vec_id = found.vec_id""")
+
+
 @query("decode_failures", f"""
 WITH {_PARTS}, f AS (SELECT DISTINCT recording_id, part FROM parts)
 SELECT {_path('bin')} AS path, 'not a scope capture' AS error FROM f WHERE recording_id % 5 = 2""")
