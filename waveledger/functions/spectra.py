@@ -234,3 +234,45 @@ def resample_block(samples: Column | str, first_input: Column, first_output: Col
         return pa.array(out, type=pa.list_(pa.float64()))
 
     return _opaque(kernel)(col(samples), first_input, first_output, n_output)
+
+
+#: Inputs that are transformed together when a chunk is resampled.
+RESAMPLE_INPUTS = 1 << 16
+
+
+def resample_chunk(samples: Column | str, first_input: Column, first_output: Column, n_output: Column, up: int,
+                   down: int) -> Column:
+    """The share of one chunk in outputs [first_output, first_output + n_output), by Fourier convolution.
+
+    An output is at one of `up` phases, and each phase has taps of its own for the inputs, so
+    inputs are convolved once per phase and no zeros are put between them.
+    """
+
+    @arrow_udf(DOUBLES)
+    def kernel(a: pa.Array, i0: pa.Array, m0: pa.Array, count: pa.Array) -> pa.Array:
+        taps = resampling_filter(up, down)
+        half = len(taps) // 2
+        # taps of a phase, from the farthest input behind to the farthest ahead
+        branches = {p: taps[(p + half) % up::up] for p in range(up)}
+        out = []
+        for x, i, m, n in zip(a, i0.to_pylist(), m0.to_pylist(), count.to_pylist()):
+            x = np.asarray(x.values, dtype=np.float64)
+            y = np.zeros(n)
+            outputs = np.arange(m, m + n)
+            phase = outputs * down % up
+            for p in np.unique(phase):
+                which = np.flatnonzero(phase == p)
+                h = branches[int(p)]
+                # output = sum of taps[out * down - in * up + half] * x[in]; `at` is the input under the last tap of the branch
+                at = (outputs[which] * down + half - (int(p) + half) % up) // up
+                for lo in range(0, len(x), RESAMPLE_INPUTS):
+                    some = x[lo:lo + RESAMPLE_INPUTS]
+                    size = 1 << (len(some) + len(h) - 2).bit_length()
+                    full = np.fft.irfft(np.fft.rfft(some, size) * np.fft.rfft(h, size), size)[:len(some) + len(h) - 1]
+                    k = at - (i + lo)
+                    inside = (k >= 0) & (k < len(full))
+                    y[which[inside]] += full[k[inside]]
+            out.append(y)
+        return pa.array(out, type=pa.list_(pa.float64()))
+
+    return _opaque(kernel)(col(samples), first_input, first_output, n_output)

@@ -9,12 +9,13 @@ follows the number of chunks, not of samples.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waveledger import fixed_values as fv
-from waveledger.functions import arrays as A, ordered
+from waveledger.functions import arrays as A, ordered, spectra
 from waveledger.functions.scalars import is_finite
 from waveledger.operators import quality, timefeat, windows
 from waveledger.sources.tables import staged
@@ -157,6 +158,53 @@ def tumbling_windows(chunks: DataFrame, keys: Sequence[str], size: int, skip: in
     return windows.windows_from_chunks(rest, keys, size, size)
 
 
+def spaced_windows(chunks: DataFrame, keys: Sequence[str], fs: float, window_s: float, n_windows: int, usable_s: float,
+                   skip_s: float = 0.0) -> DataFrame:
+    """The windows of `windows.spaced_windows`: each chunk gives the part of a window that it holds."""
+    slots, size, least = windows.window_slots(fs, window_s, n_windows, usable_s, skip_s)
+    begin, end = F.col("start_sample"), F.col("start_sample") + F.size("samples")
+    cut = F.filter(F.transform(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
+                                         for k, a, b in slots]),
+                               lambda s: F.struct(s["k"].alias("k"), F.greatest(s["a"], begin).alias("a"), F.least(s["b"], end).alias("b"))),
+                   lambda s: s["b"] > s["a"])
+    parts = _present(chunks).select(*keys, F.explode(F.transform(cut, lambda s: F.struct(
+        s["k"].alias("segment_index"), s["a"].alias("_a"),
+        F.slice("samples", (s["a"] - begin).cast("int") + 1, (s["b"] - s["a"]).cast("int")).alias("_x")))).alias("_p")).select(*keys, "_p.*")
+    found = parts.groupBy(*keys, "segment_index").agg(F.array_sort(F.collect_list(F.struct("_a", "_x"))).alias("_p")).select(
+        *keys, "segment_index", F.get("_p", F.lit(0))["_a"].alias("start_sample"),
+        F.flatten(F.transform("_p", lambda p: p["_x"])).alias("samples"))
+    return (found.where(F.size("samples") >= max(least, 1)).withColumn("n_present", F.size("samples"))
+            .withColumn("samples", A.fit_length("samples", size)))
+
+
+def resample(chunks: DataFrame, keys: Sequence[str], source_hz: int, target_hz: int) -> DataFrame:
+    """Rational-rate conversion of chunks: keys, start_sample, samples of the new rate.
+
+    `chunks` carries the recording's length `n`. A chunk is convolved alone, by Fourier blocks.
+    Outputs whose filter lies inside it are done; the few around its edges are partial sums, of
+    which those of neighbouring chunks add up to the output.
+    """
+    g = math.gcd(int(source_hz), int(target_hz))
+    up, down = int(target_hz) // g, int(source_hz) // g
+    half = 10 * max(up, down)
+    begin, end = F.col("start_sample"), F.col("start_sample") + F.size("samples")
+    outputs = F.ceil(F.col("n") * F.lit(up) / F.lit(down))
+    first = F.greatest(F.ceil((begin * up - half) / F.lit(down)), F.lit(0))
+    last = F.least(F.floor(((end - 1) * up + half) / F.lit(down)), outputs - 1)
+    # the first and last output that needs no sample beyond the chunk
+    inner = F.when(begin == 0, F.lit(0)).otherwise(F.floor(((begin - 1) * up + half) / F.lit(down)) + 1)
+    outer = F.when(end == F.col("n"), outputs - 1).otherwise(F.ceil((end * up - half) / F.lit(down)) - 1)
+    made = _present(chunks).select(*keys, first.alias("_m"), F.greatest(first, inner).alias("_a"), F.least(last, outer).alias("_b"),
+                                   spectra.resample_chunk("samples", begin, first, last - first + 1, up, down).alias("_y"))
+    whole = made.where("_b >= _a").select(*keys, F.col("_a").alias("start_sample"), F.slice(
+        "_y", (F.col("_a") - F.col("_m")).cast("int") + 1, (F.col("_b") - F.col("_a") + 1).cast("int")).alias("samples"))
+    at = F.col("_m") + F.col("_k")
+    edges = made.select(*keys, "_m", "_a", "_b", F.posexplode("_y").alias("_k", "_v")).where(
+        (F.col("_b") < F.col("_a")) | (at < F.col("_a")) | (at > F.col("_b")))
+    summed = edges.groupBy(*keys, at.alias("m")).agg(F.sum("_v").alias("v"))
+    return whole.unionByName(summed.select(*keys, F.col("m").alias("start_sample"), F.array("v").alias("samples")))
+
+
 # Runs ------------------------------------------------------------------------------
 
 def runs(chunks: DataFrame, keys: Sequence[str], flag: Callable[[Column], Column]) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from waveledger import fixed_values as fv
 from waveledger.sources.tables import staged
@@ -51,6 +53,7 @@ def bootstrap_interval(folds: DataFrame, keys: Sequence[str], value: str, n_iter
     Draw `d` of iteration `i` takes the value at position md5(seed:i:d) mod n in fold
     order, so results are the same everywhere.  The input has one row per fold: its
     groups are the k folds of a comparison, and k x n_iter draws are made per group.
+    Groups of many rows are for `bootstrap_interval_sliced`.
     """
     pairs = F.array_sort(F.collect_list(F.struct("fold", F.col(value).alias("v"))))
     grouped = folds.groupBy(*keys).agg(pairs.alias("_p"), F.avg(value).alias("mean"))
@@ -65,6 +68,64 @@ def bootstrap_interval(folds: DataFrame, keys: Sequence[str], value: str, n_iter
         F.percentile("_m", F.lit(0.975)).alias("ci_high"))
 
 
+def bootstrap_interval_sliced(rows: DataFrame, keys: Sequence[str], order: str, value: str, n_iter: int = 5000,
+                              seed: int = 42, slice_rows: int = 65_536) -> DataFrame:
+    """Mean and percentile interval of the mean of draws with replacement, for groups of any size.
+
+    No task holds a group. Its rows are dealt to slices by the hash of `order`, which should tell
+    them apart. The n draws of an iteration go down a binary tree whose leaves are the slices: at
+    each node a binomial number goes left, by the rows on either side, from a generator named by
+    (seed, node), so all tasks below a node agree on it. A slice draws its share among its own
+    rows, and the sums of the slices add up. Together the draws are multinomial, as if they had
+    been made from the whole group. Null values are left out.
+    """
+    if not keys:
+        one = rows.withColumn("_all", F.lit(0))
+        return bootstrap_interval_sliced(one, ["_all"], order, value, n_iter, seed, slice_rows).drop("_all")
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(order).alias("_o"), F.col(value).cast("double").alias("_x"))
+    counts = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("mean")), "bootstrap-groups")
+    largest = counts.agg(F.max("_n")).first()[0] or 0
+    depth = max(0, math.ceil(math.log2(max(largest, 1) / slice_rows)))
+    leaf = F.pmod(F.xxhash64("_o"), F.lit(1 << depth)).alias("_leaf")
+    leaves = rows.groupBy(*keys, leaf).agg(F.count(F.lit(1)).alias("_m"))
+    # of each node on the way to a leaf: rows below its left and its right side
+    steps = []
+    for level in range(depth):
+        side = F.shiftright("_leaf", level).bitwiseAND(F.lit(1))
+        node = Window.partitionBy(*keys, F.shiftright("_leaf", level + 1))
+        steps.append(F.struct(F.shiftright("_leaf", level + 1).alias("node"), side.alias("side"),
+                              F.sum(F.when(side == 0, F.col("_m")).otherwise(0)).over(node).alias("left"),
+                              F.sum(F.when(side == 1, F.col("_m")).otherwise(0)).over(node).alias("right")))
+    way = F.array(*reversed(steps)) if steps else F.expr("cast(array() as array<struct<node:bigint,side:bigint,left:bigint,right:bigint>>)")
+    name = F.xxhash64(*[F.col(k).cast("string") for k in keys])
+    known = leaves.withColumn("_way", way).join(counts, list(keys)).select(*keys, "_leaf", "_way", "_n", name.alias("_name"))
+    part = [*keys, "_leaf"]
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+
+    def draw(here: pa.Table, facts: pa.Table) -> pa.Table:
+        out = {k: [] for k in keys} | {"_sums": []}
+        if here.num_rows and facts.num_rows:
+            f = facts.to_pylist()[0]
+            order = np.lexsort((here["_x"].to_numpy(), np.array([str(o) for o in here["_o"].to_pylist()])))
+            x = here["_x"].to_numpy()[order]
+            draws = np.full(n_iter, f["_n"], np.int64)
+            for depth_here, step in enumerate(f["_way"]):
+                entropy = [seed, f["_name"] & (2**64 - 1), depth_here, step["node"]]
+                left = np.random.default_rng(entropy).binomial(draws, step["left"] / (step["left"] + step["right"]))
+                draws = left if step["side"] == 0 else draws - left
+            rng = np.random.default_rng([seed, f["_name"] & (2**64 - 1), 1 << 32, f["_leaf"]])
+            sums = [float(x[rng.integers(0, len(x), m)].sum()) for m in draws]
+            out = {k: [f[k]] for k in keys} | {"_sums": [sums]}
+        return pa.table(out, schema=to_arrow_schema(schema))
+
+    dealt = rows.withColumn("_leaf", leaf)
+    sums = dealt.groupBy(*part).cogroup(known.toDF(*known.columns).groupBy(*part)).applyInArrow(draw, schema)
+    totals = sums.select(*keys, F.posexplode("_sums").alias("_i", "_s")).groupBy(*keys, "_i").agg(F.sum("_s").alias("_s"))
+    return totals.join(counts, list(keys)).groupBy(*keys, "mean").agg(
+        F.percentile(F.col("_s") / F.col("_n"), F.lit(0.025)).alias("ci_low"),
+        F.percentile(F.col("_s") / F.col("_n"), F.lit(0.975)).alias("ci_high"))
+
+
 def _exact_two_sided(n: Column, statistic: Column) -> Column:
     """P-value from all 2^n sign patterns: counts per rank sum, built rank by rank."""
     def add(ways: Column, r: Column) -> Column:

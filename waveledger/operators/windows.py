@@ -126,6 +126,15 @@ def window_shortages(windows: DataFrame, manifest: DataFrame, key: str = "group_
             .where(F.col("produced") < F.col("expected")))
 
 
+def window_slots(fs: float, window_s: float, n_windows: int, usable_s: float, skip_s: float = 0.0
+                 ) -> tuple[list[tuple[int, int, int]], int, int]:
+    """((window, first sample, end), ...), full length and fewest samples of evenly spaced windows."""
+    span = max(usable_s - window_s, window_s)
+    size, skip, usable = int(window_s * fs), int(skip_s * fs), int(round(usable_s * fs))
+    starts = [int(k * span / n_windows * fs) for k in range(n_windows)]
+    return [(k, skip + s, skip + min(s + size, usable)) for k, s in enumerate(starts)], size, int(0.5 * window_s * fs)
+
+
 def spaced_windows(samples: DataFrame, keys: Sequence[str], fs: float, window_s: float,
                    n_windows: int, usable_s: float, skip_s: float = 0.0) -> DataFrame:
     """Evenly spaced windows over a usable span after a skipped start.

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from waveledger import fixed_values as fv
+from waveledger import fixed_values as fv, schemas
 from waveledger.functions import scalars as sc
 from waveledger.functions.scalars import rounded
 from waveledger.operators import catalog, manifest
 from waveledger.plans import standins as S
 from waveledger.plans.registry import query
+from waveledger.sources import tables
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -105,6 +108,29 @@ def scan_metadata(spark, sf):
     return catalog.of_sensors(S.recordings(spark, sf), ["sound_phone", "sound_vibrometer"])
 
 
+@query("metadata_csv", """
+SELECT o_orderpriority AS condition, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('run, ', o_orderstatus) END AS operation,
+  CAST(year(o_orderdate) AS INT) AS speed_percent, CASE o_orderstatus WHEN 'F' THEN 'sound_phone' WHEN 'O' THEN 'sound_vibrometer' END AS sensor,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS duration_s,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey AS BIGINT) END AS file_size_bytes,
+  printf('data/%s/%012d.bin', o_orderstatus, o_orderkey) AS new_path
+FROM orders WHERE o_orderstatus IN ('F', 'O')""")
+def metadata_csv(spark, sf):
+    """The metadata file written as CSV, with blanks and commas, read back with its schema and cut to two sensors."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    known = {
+        "condition": F.col("o_orderpriority"), "operation": F.when(key % 3 != 0, F.concat(F.lit("run, "), status)),
+        "speed_percent": F.year("o_orderdate"),
+        "sensor": F.create_map(*[F.lit(x) for kv in S.SENSOR_OF_STATUS.items() for x in kv])[status],
+        "duration_s": F.when(key % 5 != 0, F.round("o_totalprice", 2)), "file_size_bytes": F.when(key % 7 != 0, key),
+        "new_path": F.format_string("data/%s/%012d.bin", status, key)}
+    rows = S.table(spark, sf, "orders").select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.METADATA])
+    path = f"{tables.shared_dir(spark).rstrip('/')}/waveledger/metadata-{uuid.uuid4().hex}"
+    rows.write.option("header", True).csv(path)
+    read = catalog.of_sensors(catalog.read_metadata(spark, path), ["sound_phone", "sound_vibrometer"])
+    return read.select("condition", "operation", "speed_percent", "sensor", "duration_s", "file_size_bytes", "new_path")
+
+
 @query("metadata_sorted", f"""
 WITH {S.META}
 SELECT condition, sensor, speed_percent, recording_id FROM meta ORDER BY condition, sensor, speed_percent""")

@@ -784,6 +784,27 @@ def bootstrap_ci(spark, sf):
               ["mean", "ci_low", "ci_high"])
 
 
+@query("bootstrap_large", """
+SELECT l_returnflag AS quantity, round(avg(l_extendedprice), 4) + 0.0 AS mean, true AS low_as_normal, true AS high_as_normal
+FROM lineitem GROUP BY l_returnflag""")
+def bootstrap_large(spark, sf):
+    """Intervals of large groups, drawn slice by slice; by the central limit they are those of the normal law.
+
+    The SQL has the mean, and expects both limits within a quarter of the standard error.
+    """
+    rows = S.table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("quantity"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("line"),
+        F.col("l_extendedprice").cast("double").alias("price"))
+    got = stats.bootstrap_interval_sliced(rows, ["quantity"], "line", "price", n_iter=2000, slice_rows=2048)
+    normal = rows.groupBy("quantity").agg(F.avg("price").alias("_m"), (F.stddev_pop("price") / F.sqrt(F.count("price"))).alias("_e"))
+
+    def near(limit: str, z: float):
+        return F.abs(F.col(limit) - (F.col("_m") + F.lit(z) * F.col("_e"))) < F.col("_e") / 4
+
+    return got.join(normal, "quantity").select("quantity", rounded("mean", 4).alias("mean"), near("ci_low", -1.959964).alias("low_as_normal"),
+                                               near("ci_high", 1.959964).alias("high_as_normal"))
+
+
 def _exact_sql(column: str, name: str) -> str:
     return f"""{name}_r AS (
   SELECT reference, {column} AS d, row_number() OVER (PARTITION BY reference ORDER BY abs({column})) AS rk FROM delta),

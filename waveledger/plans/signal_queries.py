@@ -537,3 +537,10 @@ def chunk_file_table(spark, sf):
                              by_channel=S.chunks(s, ["recording_id", "channel"]), alone=True)
     return _rounded(out, ["recording_id", "n", "clip_count", "clipped", "channels", "n_windows", "n_peers", "quiet_start",
                           "channels_ok"], _TABLE_NUM)
+
+
+@_chunked("chunk_spaced_windows", "spaced_windows")
+def chunk_spaced_windows(spark, sf):
+    w = chunked.spaced_windows(S.chunks(S.samples(spark, sf), REC, 9), REC, fs=8.0, window_s=2.0, n_windows=4, usable_s=8.0, skip_s=0.5)
+    return w.select("recording_id", F.col("segment_index").cast("bigint").alias("segment_index"),
+                    F.col("n_present").cast("bigint").alias("n_present"), rounded(A.mean("samples")).alias("padded_mean"))

@@ -264,3 +264,27 @@ def feature_cache(spark, sf):
     return kept.groupBy("label").agg(F.count(F.lit(1)).alias("n_windows"),
                                      rounded(F.avg("RMS")).alias("RMS"),
                                      rounded(F.avg("band_2_5")).alias("band_2_5"))
+
+
+@query("incremental_cache", """
+SELECT doc_id, CAST(length(text) + CASE WHEN doc_id % 50 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_chars,
+  CASE WHEN doc_id % 50 = 0 OR doc_id % 97 = 1 THEN 2 ELSE 1 END AS built_by
+FROM documents WHERE doc_id % 97 <> 0""")
+def incremental_cache(spark, sf):
+    """A table of documents built, then followed through changed, new and removed ones.
+
+    `built_by` tells which run made a row: the second one makes those of changed and new documents.
+    """
+    docs = S.table(spark, sf, "documents").select("doc_id", "text")
+    root = f"{tables.shared_dir(spark).rstrip('/')}/waveledger/follow-{uuid.uuid4().hex}"
+    first = docs.where("doc_id % 97 <> 1")
+    second = docs.where("doc_id % 97 <> 0").withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    out = None
+    for run, state in enumerate((first, second), 1):
+        inputs = state.select("doc_id", F.octet_length("text").alias("length"), F.sha2("text", 256).alias("digest"))
+
+        def build(keys, state=state, run=run):
+            return state.join(keys, "doc_id").select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.lit(run).alias("built_by"))
+
+        out = tables.incremental_table(spark, root, inputs, build, key="doc_id", buckets=16)
+    return out

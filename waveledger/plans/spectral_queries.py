@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waveledger.functions.scalars import rounded
-from waveledger.operators import spectral, timefeat, windows
+from waveledger.operators import chunked, spectral, timefeat, windows
 from waveledger.plans import standins as S
-from waveledger.plans.registry import query
+from waveledger.plans.registry import ORACLES, query
 
 FS = S.UNIT_RATE
 STEP = F.lit  # step column helper: STEP(1.0) is 1 Hz
@@ -274,14 +274,22 @@ def resample(spark, sf):
     return out.select("recording_id", "i", rounded("value").alias("value"))
 
 
+@query("chunk_resample", ORACLES["resample"])
+def chunk_resample(spark, sf):
+    """The same from chunks of 24 samples, arrays in and out."""
+    out = chunked.resample(S.chunks(S.samples(spark, sf), ["recording_id"], 24), ["recording_id"], source_hz=8, target_hz=12)
+    return out.select("recording_id", "start_sample", F.posexplode("samples").alias("k", "v")).select(
+        "recording_id", (F.col("start_sample") + F.col("k")).alias("i"), rounded("v").alias("value"))
+
+
 @query("signal_spectrum", f"""
 WITH {S.SIG}, placed AS (
   SELECT recording_id, i, value, n, unnest(range(CASE WHEN i < 32 THEN 0 ELSE (i - 32) // 16 + 1 END, i // 16 + 1)) AS s
   FROM sig),
-w AS (SELECT recording_id * 1000 + s AS wid, i - s * 16 AS j, value AS x
+w AS (SELECT recording_id * 1000000000 + s AS wid, i - s * 16 AS j, value AS x
       FROM placed WHERE s * 16 + 32 <= n),
 {S.dft("w", "wid", 32, S.symmetric_hann(32))}
-SELECT wid // 1000 AS recording_id, wid % 1000 AS segment_index, k AS bin,
+SELECT wid // 1000000000 AS recording_id, wid % 1000000000 AS segment_index, k AS bin,
   round(sqrt(re * re + im * im) / 15.5 * CASE WHEN k = 0 OR k = 16 THEN 1 ELSE 2 END, 6) + 0.0 AS amplitude
 FROM dft""")
 def signal_spectrum(spark, sf):
