@@ -18,7 +18,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waveledger.functions import scalars as sc
-from waveledger.operators import knn, metrics, scaling, splits, voting
+from waveledger.operators import kernel, knn, metrics, scaling, splits, voting
 from waveledger.sources.tables import staged
 
 Fit = Callable[[DataFrame], Model]
@@ -195,6 +195,38 @@ def kernel_svm_oof(rows: DataFrame, features: Sequence[str], folds: Sequence, la
     return reduce(DataFrame.unionByName, parts)
 
 
+def svm_rows(rows: DataFrame, features: Sequence[str], k_folds: int, id_col: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(training rows, test rows) of the kernel machine: fold, id, label, x, gamma.
+
+    Features are standardised with the statistics of the fold's training rows. gamma is 1 / (features
+    x variance of all standardised values), which is 1 / the number of features that vary.
+    """
+    stats = staged(scaling.fold_scaler(rows, features, k_folds), "scaler")
+    varied = stats.where(F.col("feature").isin(*features)).groupBy("fold").agg(
+        (F.lit(1.0) / F.greatest(F.count_if(F.col("std") > 0), F.lit(1))).alias("gamma"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return scaling.scaled_vectors(df, stats, features).join(F.broadcast(varied), "fold").select(
+            F.col("fold").cast("bigint").alias("fold"), F.col(id_col).cast("string").alias("id"),
+            F.col(label).cast("double").alias("label"), F.col("scaled").alias("x"), "gamma")
+
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(k_folds - 1).cast("bigint")), lambda f: f != F.col("_own"))
+    spread = rows.withColumnRenamed("fold", "_own").withColumn("fold", F.explode(others))
+    return placed(spread), placed(rows)
+
+
+def svm_oof(rows: DataFrame, features: Sequence[str], k_folds: int, id_col: str, label: str, c: float = 1.0
+            ) -> tuple[DataFrame, DataFrame]:
+    """(rows with `prediction`, support vectors): a radial support vector machine, one against one.
+
+    Solved in the dual to convergence; the gap between primal and dual value stands with the vectors.
+    """
+    known, asked = svm_rows(rows, features, k_folds, id_col, label)
+    model = kernel.train(known, c)
+    found = kernel.predict(asked, model).select(F.col("id").alias("_id"), "prediction")
+    return rows.join(found, F.col(id_col).cast("string") == F.col("_id")).drop("_id"), model
+
+
 # Experiments ---------------------------------------------------------------------------
 
 def subset_ablation(rows: DataFrame, subsets: Mapping[str, Sequence[str]],

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from waveledger.operators import metrics, models, splits, voting
+from waveledger.operators import kernel, metrics, models, splits, voting
 from waveledger.plans import spectral_queries, standins as S
 from waveledger.plans.registry import query
 from waveledger.sources import tables
@@ -62,6 +62,36 @@ def rff_svm_oof(spark, sf):
     return voted.select("fold", "group_id", "label", "predicted", "n_segments")
 
 
+@query("svm_oof")
+def svm_oof(spark, sf):
+    """Votes of a radial support vector machine that is solved to convergence."""
+    oof, _ = models.svm_oof(_rows(spark, sf), BOTH, K, "vec_id", "label")
+    voted = voting.majority_vote(oof, ["fold", "group_id", "label"], "prediction", "predicted")
+    return voted.select("fold", "group_id", "label", "predicted", "n_segments")
+
+
+@query("svm_conditions", f"""
+WITH {S.WIN}, groups AS (SELECT DISTINCT group_id, label FROM win),
+folds AS (SELECT group_id, label, (row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', group_id))) - 1
+    + CAST(concat('0x', substr(md5(concat('42:', label)), 1, 8)) AS BIGINT) % {K}) % {K} AS fold FROM groups),
+r AS (SELECT DISTINCT vec_id, win.label, fold FROM win JOIN folds ON folds.group_id = win.group_id),
+c AS (SELECT f AS fold, label, count(*) AS n FROM r, range({K}) t(f) WHERE f <> fold GROUP BY ALL)
+SELECT a.fold, a.label::DOUBLE AS lo, b.label::DOUBLE AS hi, a.n + b.n AS n_rows, true AS settled, true AS balanced
+FROM c a JOIN c b ON a.fold = b.fold AND a.label < b.label""")
+def svm_conditions(spark, sf):
+    """Of each machine: its training rows, whether primal and dual value meet, and whether its weights balance."""
+    known, _ = models.svm_rows(_rows(spark, sf), BOTH, K, "vec_id", "label")
+    known = tables.staged(known, "svm-rows")
+    model = tables.staged(kernel.train(known), "svm")
+    key = ["fold", "lo", "hi"]
+    got = model.groupBy(*key).agg((F.max("gap") < 0.01 * F.sum("alpha")).alias("settled"),
+                                  (F.abs(F.sum(F.col("alpha") * F.col("y"))) < 1e-6).alias("balanced"))
+    counts = known.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+    lo, hi = (counts.select("fold", F.col("label").alias(c), F.col("n").alias(f"n_{c}")) for c in ("lo", "hi"))
+    return got.join(lo, ["fold", "lo"]).join(hi, ["fold", "hi"]).select(
+        *key, (F.col("n_lo") + F.col("n_hi")).alias("n_rows"), "settled", "balanced")
+
+
 @query("subset_ablation")
 def subset_ablation(spark, sf):
     def forest(rows, features):
@@ -75,7 +105,7 @@ def subset_ablation(spark, sf):
             "predicted", F.col("predicted").cast("double"))
 
     def svm(rows, features):
-        return models.kernel_svm_oof(rows, features, range(K), "label").withColumn("predicted", F.col("prediction"))
+        return models.svm_oof(rows, features, K, "vec_id", "label")[0].withColumn("predicted", F.col("prediction"))
 
     return models.subset_ablation(
         _rows(spark, sf), {"time": TIME, "frequency": BANDS, "both": BOTH},
