@@ -1,4 +1,10 @@
-"""Exact nearest neighbours with pivots: only cells that can hold a neighbour are compared."""
+"""Exact nearest neighbours: cells of pivots in few dimensions, rotated lower bounds in many.
+
+In few dimensions the triangle inequality leaves most cells of training rows unvisited. In many
+it leaves none, so there all rows of a key are one cell, and vectors are turned to the axes of
+greatest spread instead: distances over the first axes bound the whole from below, and only
+pairs that such a bound cannot exclude are measured in full.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +21,10 @@ from waveledger.sources.tables import staged
 
 #: Pivots of a key at most.
 MOST_PIVOTS = 2_048
+#: Dimensions up to which cells are of use.
+CELL_DIMENSIONS = 16
+#: Share of the spread that the leading axes hold.
+SPREAD_SHARE = 0.5
 
 
 def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -31,6 +41,61 @@ def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(_squared(points, centres))
 
 
+def axes(sample: np.ndarray) -> tuple[np.ndarray, int]:
+    """Orthonormal axes, as columns, of greatest spread first, and how many hold SPREAD_SHARE of it.
+
+    Any orthonormal axes give lower bounds; the sample only decides how tight they are.
+    """
+    centred = sample - sample.mean(0)
+    spread, turn = np.linalg.eigh(centred.T @ centred)
+    spread, turn = np.maximum(spread[::-1], 0), turn[:, ::-1]
+    total = spread.sum()
+    leading = int(np.searchsorted(np.cumsum(spread), SPREAD_SHARE * total)) + 1 if total > 0 else 1
+    return turn, min(leading, len(spread))
+
+
+def _part(points: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Squared distances over some axes, by one product of matrices; subject to rounding."""
+    return (points * points).sum(1)[:, None] + (base * base).sum(1)[None] - 2 * points @ base.T
+
+
+def closest(points: np.ndarray, base: np.ndarray, turned: tuple[np.ndarray, int], k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(indices, squared distances, pairs measured) of the k rows of `base` nearest to each point.
+
+    Distances over the leading axes leave out rows that are too far from every point of a block,
+    the other axes are added for the rest, and what such a sum cannot exclude is measured by
+    direct differences. Of equal distances the row that stands first counts.
+    """
+    k = min(k, len(base))
+    turn, m = turned
+    found, squares, measured = np.empty((len(points), k), np.int64), np.empty((len(points), k)), 0
+    short = base @ turn
+    slack = 1e-9 * (1 + float((base * base).sum(1).max(initial=0)) + float((points * points).sum(1).max(initial=0)))
+    step = max(1, 4_000_000 // len(base))
+    for at in range(0, len(points), step):
+        some = points[at:at + step]
+        here = some @ turn
+
+        def reach(low: np.ndarray, rows: np.ndarray, some=some) -> np.ndarray:
+            """A distance within which each point has k rows: those of least bound, measured."""
+            first = rows[np.argpartition(low, k - 1, axis=1)[:, :k]]
+            return ((some[:, None, :] - base[first]) ** 2).sum(2).max(1)[:, None]
+
+        rows = np.arange(len(base))
+        low = _part(here[:, :m], short[:, :m]) - slack
+        near = (low <= reach(low, rows)).any(0)
+        rows = rows[near]
+        low = low[:, near] + _part(here[:, m:], short[rows][:, m:]) - slack
+        i, j = np.nonzero(low <= reach(low, rows))
+        j = rows[j]
+        d2 = np.concatenate([((some[i[a:a + 100_000]] - base[j[a:a + 100_000]]) ** 2).sum(1) for a in range(0, len(i), 100_000)])
+        measured += len(i) + 2 * k * len(some)
+        order = np.lexsort((j, d2, i))
+        best = order[np.searchsorted(i[order], np.arange(len(some)))[:, None] + np.arange(k)]
+        found[at:at + step], squares[at:at + step] = j[best], d2[best]
+    return found, squares, measured
+
+
 def _by_key(batch: pd.DataFrame, keys: list[str]):
     """(key tuple, rows) groups of a batch."""
     for key, rows in batch.groupby(keys, sort=False):
@@ -92,14 +157,15 @@ def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col:
     """The k nearest training rows of every test row within `keys` (Euclidean; ties by id).
 
     `keys` must be few (folds).  Training rows belong to the cell of their nearest pivot;
-    a test row visits only the cells that can hold one of its k nearest.  Within a cell
+    a test row visits only the cells that can hold one of its k nearest (beyond CELL_DIMENSIONS
+    there is one cell).  Within a cell
     both sides are hashed into blocks of about `block_rows`, one task compares one block
     pair and keeps k rows per test row, so a cell of any size is split.  The driver sees
     the pivots and one summary row per cell (`pivots` per key), never the data.  By default
     there are as many pivots as the square root of the largest key's rows, so that choosing
     cells and comparing rows cost about the same; at most MOST_PIVOTS, which bounds the driver.
-    The result is exact at any number; in many dimensions few cells are pruned, so this is
-    meant for training sets of a size the caller bounds.
+    The result is exact at any number. In many dimensions every pair of blocks is met, though few
+    pairs of rows are measured in full, so this is meant for training sets of a size the caller bounds.
 
     Columns: keys, test_id, train_id, distance2, train_label, rank.
     """
@@ -118,10 +184,14 @@ def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col:
     if pivots is None:
         largest = left.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
         pivots = min(MOST_PIVOTS, math.isqrt(largest) + 1)
+    dims = left.agg(F.max(F.size("v"))).first()[0] or 1
     chosen: dict[tuple, list] = {}
-    for r in top_k(left.select(*keys, "id", "v"), keys, [portable_hash("id"), "id"], pivots).collect():
+    for r in top_k(left.select(*keys, "id", "v"), keys, [portable_hash("id"), "id"],
+                   pivots if dims <= CELL_DIMENSIONS else min(MOST_PIVOTS, max(pivots, 4 * dims))).collect():
         chosen.setdefault(tuple(r[c] for c in keys), []).append(r.v)
-    centres = {key: np.array(v) for key, v in chosen.items()}
+    samples = {key: np.array(v) for key, v in chosen.items()}
+    turned = {key: axes(v) for key, v in samples.items()}
+    centres = {key: v if v.shape[1] <= CELL_DIMENSIONS else v[:1] for key, v in samples.items()}
 
     members = staged(_assign_cells(left, centres, keys, train_schema), "knn-cells")
     where = [*keys, "cell"]
@@ -151,21 +221,15 @@ def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col:
         if a.empty or b.empty:
             return pd.DataFrame(columns=columns)
         a = a.sort_values("id", kind="stable").reset_index(drop=True)
-        base = np.stack(a["v"].to_numpy())
-        keep = min(k, len(a))
-        parts = []
-        step = max(1, 4_000_000 // len(base))
-        for at in range(0, len(b), step):
-            some = b.iloc[at:at + step]
-            d2 = _squared(np.stack(some["v"].to_numpy()), base)
-            best = np.argsort(d2, axis=1, kind="stable")[:, :keep]
-            rows = {c: np.repeat(some[c].to_numpy(), keep) for c in keys}
-            rows["test_id"] = np.repeat(some["id"].to_numpy(), keep)
-            rows["train_id"] = a["id"].to_numpy()[best].ravel()
-            rows["distance2"] = np.take_along_axis(d2, best, axis=1).ravel()
-            rows["train_label"] = a["label"].to_numpy()[best].ravel()
-            parts.append(pd.DataFrame(rows))
-        return pd.concat(parts, ignore_index=True)
+        key = tuple(a[c].iloc[0] for c in keys)
+        best, d2, _ = closest(np.stack(b["v"].to_numpy()), np.stack(a["v"].to_numpy()), turned[key], k)
+        keep = best.shape[1]
+        rows = {c: np.repeat(b[c].to_numpy(), keep) for c in keys}
+        rows["test_id"] = np.repeat(b["id"].to_numpy(), keep)
+        rows["train_id"] = a["id"].to_numpy()[best].ravel()
+        rows["distance2"] = d2.ravel()
+        rows["train_label"] = a["label"].to_numpy()[best].ravel()
+        return pd.DataFrame(rows)
 
     found = known.cogroup(asked).applyInPandas(compare, ", ".join(
         [*key_schema, f"test_id {types[id_col]}", f"train_id {types[id_col]}",
