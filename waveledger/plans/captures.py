@@ -21,14 +21,14 @@ PART = 4096
 STEP_S = 0.125
 
 
-def scope_bytes(samples, step: float = STEP_S, fault: int = 0, waveforms: int = 1) -> bytes:
+def scope_bytes(samples, step: float = STEP_S, fault: int = 0, waveforms: int = 1, origin: float = 0.0) -> bytes:
     """A scope capture with float payload; fault 1 cuts it, 2 breaks the magic, 3 the size."""
     payload = np.asarray(samples, dtype="<f4").tobytes()
     body = b""
     for w in range(waveforms):
         head = bytearray(fv.SCOPE_MIN_WAVEFORM_HEADER)
         struct.pack_into("<5i", head, 0, len(head), 1, 1, len(samples), 0)
-        struct.pack_into("<d", head, 32, step)
+        struct.pack_into("<2d", head, 32, step, origin)
         struct.pack_into("<2i", head, 48, 2, 1)
         head[56:66], head[72:80] = b"2024-01-01", b"12:00:00"
         label = f"CH{w + 1}".encode()
@@ -73,11 +73,11 @@ def _path(extension: str):
     return F.format_string(f"rec%06d/part%04d.{extension}", "recording_id", "part")
 
 
-def scope_files(spark: SparkSession, sf: str, faulty: bool = False) -> DataFrame:
-    """(path, content); with `faulty`, recordings 1-4 modulo 5 carry faults 1-4."""
+def scope_files(spark: SparkSession, sf: str, faulty: bool = False, origin: float = 0.0) -> DataFrame:
+    """(path, content); with `faulty`, recordings 1-4 modulo 5 carry faults 1-4. `origin` is the time of the first sample."""
     @pandas_udf(T.BinaryType())
     def encode(samples: pd.Series, fault: pd.Series) -> pd.Series:
-        return pd.Series([scope_bytes(s, fault=int(f)) for s, f in zip(samples, fault)])
+        return pd.Series([scope_bytes(s, fault=int(f), origin=origin) for s, f in zip(samples, fault)])
 
     fault = (F.col("recording_id") % 5).cast("int") if faulty else F.lit(0)
     return parts(spark, sf).select(_path("bin").alias("path"), encode("samples", fault).alias("content"))

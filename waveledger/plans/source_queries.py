@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from waveledger.functions.register import register
 from waveledger.functions.scalars import rounded
-from waveledger.operators import quality
+from waveledger.operators import quality, timefeat
 from waveledger.plans import captures, spectral_queries, standins as S
 from waveledger.plans.registry import ORACLES, query
 from waveledger.sources import capture, deep_memory, dispatch, files, scope_bin, scope_csv, tables, wav
@@ -74,6 +74,43 @@ def bin_centred(spark, sf):
     return files.samples_long(chunks).select("path", "i", rounded("value").alias("value"))
 
 
+@query("bin_time", f"""
+WITH {_PARTS} SELECT {_path('bin')} AS path, 'CH1(V)' AS channel, k AS i, -1.5 + k * 0.125::DOUBLE AS t,
+  CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM parts""")
+def bin_time(spark, sf):
+    """Samples on the capture's own time axis."""
+    made = captures.scope_files(spark, sf, origin=-1.5)
+    long = files.samples_long(scope_bin.decode(made, chunk=64))
+    return scope_bin.with_time(long, scope_bin.headers(made)).select("path", "channel", "i", "t", "value")
+
+
+@query("wav_rails", f"""
+WITH {_PARTS}, x AS (SELECT recording_id, part, 'ch0' AS channel, floor(value) AS v FROM parts
+  UNION ALL SELECT recording_id, part, 'ch1', -floor(value) FROM parts)
+SELECT {_path('wav')} AS path, count(*) AS n, count(*) FILTER (WHERE v / 32768 <= -1 OR v / 32768 >= 1 - pow(2, -15)) AS clip_count,
+  count(*) FILTER (WHERE v / 32768 <= -1 OR v / 32768 >= 1 - pow(2, -15)) > 0 AS clipped FROM x GROUP BY recording_id, part""")
+def wav_rails(spark, sf):
+    """Clipping of audio files at the rails that their bit depth gives."""
+    made = captures.wav_files(spark, sf)
+    long = files.samples_long(wav.decode(made, chunk=64)).join(wav.info(made).select("path", "bit_depth"), "path")
+    low, high = wav.rails(F.col("bit_depth"))
+    return timefeat.clipping(long, ["path"], low, high).select("path", "n", "clip_count", "clipped")
+
+
+@query("sniffed_readers", f"""
+WITH {_PARTS}, f AS (SELECT DISTINCT recording_id, part FROM parts)
+SELECT {_path('raw')} AS path, CASE WHEN recording_id % 2 = 0 THEN 'wav' WHEN recording_id % 5 <> 2 THEN 'scope_bin' END AS reader FROM f""")
+def sniffed_readers(spark, sf):
+    """Files whose names say nothing, told by their first bytes; broken ones by none."""
+    number = F.substring("path", 4, 6).cast("int")
+    root = f"{tables.shared_dir(spark).rstrip('/')}/waveledger/raw-{uuid.uuid4().hex}"
+    made = captures.wav_files(spark, sf).where(number % 2 == 0).unionByName(
+        captures.scope_files(spark, sf, faulty=True).where(number % 2 == 1))
+    files.write_contents(made.select(F.regexp_replace("path", r"[a-z]+$", "raw").alias("path"), F.col("content").cast("binary").alias("content")), root)
+    found = dispatch.sniffed(files.listing(spark, root), "reader")
+    return found.select(F.substring_index("path", "/", -2).alias("path"), "reader")
+
+
 @query("wav_info", f"""
 WITH {_PARTS}, f AS (SELECT DISTINCT recording_id, part, points FROM parts)
 SELECT {_path('wav')} AS path, 8.0::DOUBLE AS sample_rate_hz, 2 AS channels, 16 AS bit_depth, points AS frames,

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,10 +43,33 @@ def remove_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("staged tables", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Collects the folders that are staged inside, by this thread, in order."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield made
+    finally:
+        _scope.reset(token)
+
+
+def drop(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for folder in folders:
+        where, fs = _fs(spark, folder)
+        fs.delete(where, True)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a result once and continue from the written table (also cuts its lineage)."""
     path = f"{_stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _scope.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
