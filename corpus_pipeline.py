@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from waveledger.llm import line_dedup, packing, quality_rules, simhash, suffix_dedup
 from waveledger.llm.queries import vocabulary
 from waveledger.llm.shared import table
-from waveledger.sources.tables import staged
+from waveledger.sources.tables import drop, scope, staged
 
 
 def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -50,9 +50,13 @@ STAGES = [("quality rules", quality), ("line dedup", lines), ("SimHash near-dedu
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has read or staged goes once its documents are written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), "corpus")
+        with scope() as made:
+            docs = staged(stage(spark, docs, sf_dir), "corpus")
+        drop(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
