@@ -13,6 +13,7 @@ from test_operators import check_pieces  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from waveledger.llm import quality_rules  # noqa: E402
 from waveledger.llm.shared import table  # noqa: E402
+from waveledger.sources import tables  # noqa: E402
 from waveledger.sources.tables import staged  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -70,7 +71,12 @@ def test_packed(stages):
 
 
 def test_run_is_the_stages(spark, stages):
+    folder = Path(tables._stage_dir(spark))
+    before = set(folder.iterdir())
     got = corpus_pipeline.run(spark, SF)
+    # of what the stages have written, the last documents and what packing needs are left
+    assert sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before).count("corpus") == 1
+    assert not any(p.name.startswith(("anchors", "edges", "features")) for p in set(folder.iterdir()) - before)
     assert got.columns == stages[5].columns
     assert sorted(map(str, got.drop("sequence_id", "offset").collect())) == sorted(
         map(str, stages[5].drop("sequence_id", "offset").collect()))
