@@ -7,7 +7,7 @@ from importlib import import_module
 from waveledger.plans.registry import ORACLES, QUERIES, Query
 
 _MODULES = ["signal_queries", "spectral_queries", "catalog_queries", "evaluation_queries",
-            "source_queries", "model_queries"]
+            "source_queries", "stream_queries", "model_queries"]
 
 
 def _load() -> None:
