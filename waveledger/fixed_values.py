@@ -108,6 +108,9 @@ SI_PREFIXES = {-15: "f", -12: "p", -9: "n", -6: "u", -3: "m",
 SECONDS_FACTORS = {"f": 1e-15, "p": 1e-12, "n": 1e-9, "u": 1e-6, "m": 1e-3,
                    "": 1.0, "k": 1e3, "M": 1e6}
 
+# What the quality report says about clipping.
+CLIPPING_UNKNOWN, CLIPPING_FOUND, CLIPPING_NONE = "unverifiable", "limit samples detected", "not detected"
+
 # Scope capture layout: little-endian byte offsets and widths.
 SCOPE_MAGICS = (b"RG01", b"AG01")
 SCOPE_FILE_HEADER = 12

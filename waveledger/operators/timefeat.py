@@ -150,7 +150,7 @@ def clipping(samples: DataFrame, keys: Sequence[str], low: Column | None, high:
         return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(
             *keys, "n", F.lit(None).cast("bigint").alias("clip_count"),
             F.lit(None).cast("double").alias("clip_fraction"), F.lit(False).alias("clipped"),
-            F.lit("unverifiable").alias("clipping_status"))
+            F.lit(fv.CLIPPING_UNKNOWN).alias("clipping_status"))
     hits = (v <= low).cast("bigint") + (v >= high).cast("bigint")
     return clip_verdict(samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(hits).alias("clip_count")))
 
@@ -158,8 +158,8 @@ def clipping(samples: DataFrame, keys: Sequence[str], low: Column | None, high:
 def clip_verdict(counts: DataFrame) -> DataFrame:
     return (counts.withColumn("clip_fraction", F.col("clip_count") / F.col("n"))
             .withColumn("clipped", F.col("clip_count") > 0)
-            .withColumn("clipping_status", F.when(F.col("clipped"), "limit samples detected")
-                        .otherwise("not detected")))
+            .withColumn("clipping_status", F.when(F.col("clipped"), fv.CLIPPING_FOUND)
+                        .otherwise(fv.CLIPPING_NONE)))
 
 
 def rms_variation(samples: DataFrame, keys: Sequence[str], size: int,

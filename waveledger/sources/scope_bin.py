@@ -168,8 +168,7 @@ def _problem(rows: list[dict], size: int) -> str | None:
         if r["_bytes"] != r["points"] * r["width"]:
             return "buffer size differs from points"
         if r["_end"] > size:
-            return (f"payload ends after {r['available_points']} samples of {r['points']}, "
-                    f"{r['available_s']:.6f} s of {r['declared_s']:.6f} s")
+            return "payload cut off"
         if r["declared_size"] != size:
             return f"declared {r['declared_size']} bytes, actual {size}"
     if rows[-1]["_end"] != size:
@@ -178,16 +177,25 @@ def _problem(rows: list[dict], size: int) -> str | None:
 
 
 def validate(files: DataFrame) -> DataFrame:
-    """(path, ok, error) for (path, content) captures."""
+    """(path, ok, error, points, available_points) for (path, content) captures.
+
+    The last two are the samples that the headers promise and that are there, over all buffers;
+    null where the headers cannot be followed.
+    """
+    columns = ["path", "ok", "error", "points", "available_points"]
+
     def run(batches):
         for batch in batches:
             out = []
             for p, c in zip(batch["path"], batch["content"]):
-                problem = _problem(_header_rows(p, _from_bytes(c), len(c)), len(c))
-                out.append((p, problem is None, problem))
-            yield pd.DataFrame(out, columns=["path", "ok", "error"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, ok boolean, error string")
+                rows = _header_rows(p, _from_bytes(c), len(c))
+                problem = _problem(rows, len(c))
+                known = not any(r.get("error") for r in rows)
+                out.append((p, problem is None, problem, *(sum(r[k] for r in rows) if known else None for k in columns[3:])))
+            yield pd.DataFrame(out, columns=columns).astype({k: "Int64" for k in columns[3:]})
+
+    return files.select("path", "content").mapInPandas(
+        run, "path string, ok boolean, error string, points bigint, available_points bigint")
 
 
 def _samples(raw: bytes, width: int) -> np.ndarray:
