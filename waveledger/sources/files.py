@@ -146,7 +146,8 @@ def checksums(listing: DataFrame, block: int = 1 << 20) -> DataFrame:
                     rows.append((path, None, f"cannot read: {exc}"))
             yield pd.DataFrame(rows, columns=["path", "sha256", "error"])
 
-    return spread(listing.select("path", "length"), F.col("length"), "path").select("path").mapInPandas(
+    # dealt in turn: by hash of the path, two of few large files may meet in a task
+    return spread(listing.select("path", "length"), F.col("length")).select("path").mapInPandas(
         run, "path string, sha256 string, error string")
 
 
