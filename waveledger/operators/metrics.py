@@ -216,19 +216,22 @@ def macro_roc_curve(rows: DataFrame, label: str, scores: str, classes: Sequence,
     ends = at.where(known).groupBy("class", "_s").agg(
         F.max_by(F.struct("fpr", "lo", "hi"), "fpr").alias("_last"),
         F.min_by(F.struct("fpr", "lo", "hi"), "fpr").alias("_first"))
+    # what follows is looked up from the other end: a frame that runs to the end is summed anew for every row
     across = Window.partitionBy("class").orderBy("_s")
+    back = Window.partitionBy("class").orderBy(F.desc("_s"))
     all_slices = at.select("class", "_s").distinct().join(ends, ["class", "_s"], "left")
     around = all_slices.select(
         "class", "_s",
         F.last("_last", ignorenulls=True).over(
             across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(
-            across.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+        F.last("_first", ignorenulls=True).over(
+            back.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
     inside = Window.partitionBy("class", "_s").orderBy("fpr")
     near = at.withColumn("_p", F.last(me, ignorenulls=True).over(
         inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    near = near.withColumn("_n", F.first(me, ignorenulls=True).over(
-        inside.rowsBetween(1, Window.unboundedFollowing)))
+    from_end = Window.partitionBy("class", "_s").orderBy(F.desc("fpr"))
+    near = near.withColumn("_n", F.last(me, ignorenulls=True).over(
+        from_end.rowsBetween(Window.unboundedPreceding, -1)))
     near = near.join(around, ["class", "_s"])
     p, n = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
     between = p["hi"] + (n["lo"] - p["hi"]) * (F.col("fpr") - p["fpr"]) / (n["fpr"] - p["fpr"])
