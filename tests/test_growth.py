@@ -4,8 +4,10 @@ import contextlib
 import io
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from waveledger.operators import metrics
+from waveledger.sources import files, scope_csv, tables
 
 
 def plan_of(df) -> str:
@@ -38,3 +40,23 @@ def test_macro_curve_looks_up_neighbours_without_frames_to_the_end(spark):
     got = {round(r.fpr, 12): r.macro_tpr for r in made.collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
+def test_small_files_are_listed_once_and_share_tasks(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "a.csv").write_text("Time(s),CH1(V)\n0,1\n0.5,2\n")
+    listing = files.listing(spark, str(tmp_path))
+    assert "MapInPandas" not in plan_of(listing)  # each level was listed again for the next and for every reader
+    assert listing.count() == 40
+    with tables.scope() as made:
+        rows = scope_csv.read_chunks(listing).collect()
+    assert sorted(r.path for r in rows) == sorted(str(tmp_path / f"d{k}" / "a.csv") for k in range(40))
+    assert all(list(r.samples) == [1.0, 2.0] and r.fs == 2.0 for r in rows)
+    # a file of 30 bytes stood for 8 MB, so four of them made a task
+    assert all(len(spark.read.parquet(folder).inputFiles()) == 1 for folder in made)
+
+
+def test_many_small_ranges_are_dealt_by_the_files_they_open(spark):
+    dealt = files.spread(spark.range(1000).withColumn("n", F.lit(10)), F.col("n"), "id")
+    assert dealt.rdd.getNumPartitions() == -(-1000 // files.TASK_FILES)

@@ -8,6 +8,8 @@ from urllib.parse import unquote, urlparse
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from waveledger.sources.tables import staged
+
 
 def open_input(path: str):
     """Seekable input for a local path or any URI that Arrow's file systems know."""
@@ -23,7 +25,7 @@ def open_input(path: str):
 
 #: Bytes that one task reads, and files that one task opens for their headers.
 TASK_BYTES = 32 << 20
-TASK_FILES = 64
+TASK_FILES = 256
 
 
 def spread(work: DataFrame, bytes_to_read: Column, *keys: str, partitions: int | None = None,
@@ -31,10 +33,12 @@ def spread(work: DataFrame, bytes_to_read: Column, *keys: str, partitions: int |
     """Deal rows of work (ranges, paths) to tasks by the bytes they stand for.
 
     The rows themselves are tiny, so adaptive execution would put them into one task; the
-    number of partitions is therefore explicit: the bytes over TASK_BYTES, or `fewest`.
+    number of partitions is therefore explicit: the bytes over TASK_BYTES, or `fewest`. Each row
+    opens a file, so it counts as the share of one of TASK_FILES at least.
     """
     if partitions is None:
-        size = work.agg(F.sum(bytes_to_read.cast("double"))).first()[0] or 0
+        cost = F.greatest(F.coalesce(bytes_to_read.cast("double"), F.lit(0.0)), F.lit(TASK_BYTES / TASK_FILES))
+        size = work.agg(F.sum(cost)).first()[0] or 0
         partitions = max(fewest, math.ceil(size / TASK_BYTES))
     return work.repartition(partitions, *keys)
 
@@ -79,19 +83,29 @@ def listing(spark, root: str, extension: str | None = None, spread_levels: int =
 
     def lister(recursive: bool):
         def run(batches):
+            held = []  # of many folders with few files each, not a frame for every one
             for batch in batches:
                 for folder in batch["path"]:
-                    yield pd.DataFrame(_children(folder, recursive),
-                                       columns=["path", "length", "is_folder"])
+                    held += _children(folder, recursive)
+                    if len(held) >= 10_000:
+                        yield pd.DataFrame(held, columns=["path", "length", "is_folder"])
+                        held = []
+            if held:
+                yield pd.DataFrame(held, columns=["path", "length", "is_folder"])
         return run
 
     folders = spark.createDataFrame([(root.rstrip("/"),)], "path string")
     out = None
     for level in range(spread_levels + 1):
-        found = folders.mapInPandas(lister(level == spread_levels), schema)
+        # written, so that no level is listed again for the next one or for each reader
+        found = staged(folders.mapInPandas(lister(level == spread_levels), schema), "listed")
         here = found.where(~F.col("is_folder")).select("path", "length")
         out = here if out is None else out.unionByName(here)
-        folders = found.where("is_folder").select("path").repartition("path")
+        folders = found.where("is_folder").select("path")
+        n = folders.count()
+        if n == 0:
+            break
+        folders = folders.repartition(math.ceil(n / TASK_FILES), "path")
     return out if extension is None else out.where(F.col("path").endswith(extension))
 
 
@@ -114,10 +128,14 @@ def write_contents(contents: DataFrame, root: str) -> int:
         parsed = urlparse(root)
         system, inner = ((fs.LocalFileSystem(), unquote(parsed.path)) if parsed.scheme in ("", "file")
                          else fs.FileSystem.from_uri(root))
+        made = None
         for batch in batches:
             for path, data in batch.itertuples(index=False):
                 target = f"{inner.rstrip('/')}/{path}"
-                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                folder = target.rsplit("/", 1)[0]
+                if folder != made:
+                    system.create_dir(folder, recursive=True)
+                    made = folder
                 with system.open_output_stream(target) as out:
                     out.write(bytes(data))
             yield pd.DataFrame({"n": [len(batch)]})

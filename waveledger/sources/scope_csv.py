@@ -86,12 +86,13 @@ def read_chunks(listing: DataFrame, chunk: int = 65_536, offset_s: float = 0.0,
     """
     ranges = listing.select("path", "length", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(block).cast("bigint"))).alias("_a"))
-    ranges = spread(ranges, F.lit(block), "path", "_a").select("path", "_a")
+    ranges = ranges.select("path", "_a", F.least(F.lit(block), F.col("length") - F.col("_a")).alias("_size"))
+    ranges = spread(ranges, F.col("_size"), "path", "_a")
 
     def count(batches):
         for batch in batches:
             rows = []
-            for path, a in batch.itertuples(index=False):
+            for path, a, size in batch.itertuples(index=False):
                 try:
                     with open_input(path) as f:
                         n = sum(1 for _ in _range_lines(f, int(a), int(a) + block))
@@ -100,12 +101,12 @@ def read_chunks(listing: DataFrame, chunk: int = 65_536, offset_s: float = 0.0,
                             f.seek(0)
                             lines = f.read(1 << 16).split(b"\n")
                             head = b"\n".join([x for x in lines if x.strip()][:3])
-                    rows.append((path, a, n, head if a == 0 else None, None))
+                    rows.append((path, a, size, n, head if a == 0 else None, None))
                 except OSError as exc:
-                    rows.append((path, a, 0, None, f"cannot read: {exc}"))
-            yield pd.DataFrame(rows, columns=["path", "_a", "_lines", "content", "error"])
+                    rows.append((path, a, size, 0, None, f"cannot read: {exc}"))
+            yield pd.DataFrame(rows, columns=["path", "_a", "_size", "_lines", "content", "error"])
 
-    counted = staged(ranges.mapInPandas(count, "path string, _a bigint, _lines bigint, content binary, error string"),
+    counted = staged(ranges.mapInPandas(count, "path string, _a bigint, _size bigint, _lines bigint, content binary, error string"),
                      "csv-lines")
     before = Window.partitionBy("path").orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
     numbered = counted.withColumn("_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
@@ -116,11 +117,11 @@ def read_chunks(listing: DataFrame, chunk: int = 65_536, offset_s: float = 0.0,
     heads = heads.withColumn("_v", values).select(
         "path", "mode", "channels", F.when(F.col("mode") == "memory", F.col("t_inc")).otherwise(
             F.get("_v", F.lit(1)) - F.get("_v", F.lit(0))).alias("_step"))
-    work = numbered.where("_lines > 0").join(heads, "path").select("path", "_a", "_first", "mode", "channels", "_step")
+    work = numbered.where("_lines > 0").join(heads, "path").select("path", "_a", "_size", "_first", "mode", "channels", "_step")
 
     def rows(batches):
         for batch in batches:
-            for path, a, first, mode, channels, step in batch.itertuples(index=False):
+            for path, a, _, first, mode, channels, step in batch.itertuples(index=False):
                 rate = 1.0 / step if step and step == step and step > 0 else None
                 low, high = 0, None
                 if rate is not None:
@@ -147,7 +148,7 @@ def read_chunks(listing: DataFrame, chunk: int = 65_536, offset_s: float = 0.0,
     def run(batches):
         return frames(rows(batches), ["path", "channel", "start_sample", "fs", "samples", "error"], 4)
 
-    read = staged(spread(work, F.lit(block), "path", "_a").mapInPandas(run, CHUNK_SCHEMA), "csv-chunks")
+    read = staged(spread(work, F.col("_size"), "path", "_a").mapInPandas(run, CHUNK_SCHEMA), "csv-chunks")
     failed = counted.where("error IS NOT NULL").select("path", "error")
     silent = listing.select("path").join(read.select("path").union(failed.select("path")).distinct(), "path", "left_anti")
     return read.unionByName(failed, allowMissingColumns=True).unionByName(
