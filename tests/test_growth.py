@@ -6,7 +6,7 @@ import io
 import numpy as np
 from pyspark.sql import functions as F
 
-from waveledger.operators import metrics
+from waveledger.operators import knn, metrics
 from waveledger.sources import files, scope_csv, tables
 
 
@@ -60,3 +60,9 @@ def test_small_files_are_listed_once_and_share_tasks(spark, tmp_path):
 def test_many_small_ranges_are_dealt_by_the_files_they_open(spark):
     dealt = files.spread(spark.range(1000).withColumn("n", F.lit(10)), F.col("n"), "id")
     assert dealt.rdd.getNumPartitions() == -(-1000 // files.TASK_FILES)
+
+
+def test_large_cells_have_fewer_blocks():
+    assert [knn.block_count(n, 4096) for n in (1, 4096, 4097, 16_384)] == [1, 1, 2, 4]  # small ones stay as they were
+    assert [knn.block_count(n, 4096) for n in (34_000, 68_000, 400_000)] == [4, 5, 25]
+    assert max(n / knn.block_count(n, 4096) for n in range(1, 300_000, 997)) <= knn.WIDER * 4096  # a task holds no more

@@ -23,6 +23,8 @@ from waveledger.sources.tables import staged
 MOST_PIVOTS = 2_048
 #: Dimensions up to which cells are of use.
 CELL_DIMENSIONS = 16
+#: How much larger than asked for the blocks of a large cell may be.
+WIDER = 4
 #: Share of the spread that the leading axes hold.
 SPREAD_SHARE = 0.5
 
@@ -152,6 +154,14 @@ def _spread(df: DataFrame, cells: DataFrame, keys: list[str], own: str, other: s
             .drop(f"n_{own}", f"n_{other}"))
 
 
+def block_count(n: int, block_rows: int) -> int:
+    """Blocks of one side of a cell: of `block_rows` up to four of them, of up to WIDER times as many rows beyond.
+
+    Each side is sent once for every block of the other, so fewer blocks are less to shuffle.
+    """
+    return min(-(-n // block_rows), max(4, -(-n // (WIDER * block_rows))))
+
+
 def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col: str,
             vector: str, label: str, pivots: int | None = None, block_rows: int = 4096) -> DataFrame:
     """The k nearest training rows of every test row within `keys` (Euclidean; ties by id).
@@ -159,7 +169,7 @@ def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col:
     `keys` must be few (folds).  Training rows belong to the cell of their nearest pivot;
     a test row visits only the cells that can hold one of its k nearest (beyond CELL_DIMENSIONS
     there is one cell).  Within a cell
-    both sides are hashed into blocks of about `block_rows`, one task compares one block
+    both sides are hashed into blocks of about `block_rows` (WIDER times that in large cells), one task compares one block
     pair and keeps k rows per test row, so a cell of any size is split.  The driver sees
     the pivots and one summary row per cell (`pivots` per key), never the data.  By default
     there are as many pivots as the square root of the largest key's rows, so that choosing
@@ -206,8 +216,7 @@ def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col:
     visits = staged(_candidate_cells(right, centres, cells, k, keys, test_schema), "knn-visits")
     visit_counts = {tuple(r[c] for c in where): r["count"]
                     for r in visits.groupBy(*where).count().collect()}
-    blocks = [(*key, int(c), -(-int(n) // block_rows),
-               -(-visit_counts.get((*key, int(c)), 1) // block_rows))
+    blocks = [(*key, int(c), block_count(int(n), block_rows), block_count(visit_counts.get((*key, int(c)), 1), block_rows))
               for key, rows in summary.items() for c, n, _, _ in rows]
     plan = train.sparkSession.createDataFrame(
         blocks, ", ".join([*key_schema, "cell bigint, n_tb bigint, n_sb bigint"]))
