@@ -6,7 +6,7 @@ import io
 import numpy as np
 from pyspark.sql import functions as F
 
-from waveledger.operators import knn, metrics
+from waveledger.operators import knn, metrics, stats
 from waveledger.sources import files, scope_csv, tables
 
 
@@ -66,3 +66,11 @@ def test_large_cells_have_fewer_blocks():
     assert [knn.block_count(n, 4096) for n in (1, 4096, 4097, 16_384)] == [1, 1, 2, 4]  # small ones stay as they were
     assert [knn.block_count(n, 4096) for n in (34_000, 68_000, 400_000)] == [4, 5, 25]
     assert max(n / knn.block_count(n, 4096) for n in range(1, 300_000, 997)) <= knn.WIDER * 4096  # a task holds no more
+
+
+def test_draws_of_many_iterations_at_once_are_those_of_one_after_the_other():
+    x, draws = np.random.default_rng(1).normal(size=300), np.array([0, 5, 300, 0, 0, 700, 1, 0])
+    one = np.random.default_rng(2)
+    want = [float(x[one.integers(0, len(x), m)].sum()) for m in draws]
+    for at_once in (1, 600, 10_000):
+        assert np.allclose(stats.drawn_sums(x, draws, np.random.default_rng(2), at_once), want, rtol=0, atol=1e-9)

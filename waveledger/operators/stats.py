@@ -68,6 +68,23 @@ def bootstrap_interval(folds: DataFrame, keys: Sequence[str], value: str, n_iter
         F.percentile("_m", F.lit(0.975)).alias("ci_high"))
 
 
+def drawn_sums(x: np.ndarray, draws: np.ndarray, rng: np.random.Generator, at_once: int = 500_000) -> list[float]:
+    """For each number of draws the sum of so many values of `x`, drawn with replacement; many iterations at a time."""
+    ends = np.cumsum(draws)
+    out = np.zeros(len(draws))
+    first = 0
+    while first < len(draws):
+        base = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + at_once, "right")))
+        values = x[rng.integers(0, len(x), int(ends[last - 1] - base))]
+        some = np.flatnonzero(draws[first:last])  # an iteration without draws has no sum to reduce
+        if len(some):
+            starts = (ends[first:last] - draws[first:last] - base)[some]
+            out[first + some] = np.add.reduceat(values, starts)
+        first = last
+    return out.tolist()
+
+
 def bootstrap_interval_sliced(rows: DataFrame, keys: Sequence[str], order: str, value: str, n_iter: int = 5000,
                               seed: int = 42, slice_rows: int = 65_536) -> DataFrame:
     """Mean and percentile interval of the mean of draws with replacement, for groups of any size.
@@ -114,7 +131,7 @@ def bootstrap_interval_sliced(rows: DataFrame, keys: Sequence[str], order: str,
                 left = np.random.default_rng(entropy).binomial(draws, step["left"] / (step["left"] + step["right"]))
                 draws = left if step["side"] == 0 else draws - left
             rng = np.random.default_rng([seed, f["_name"] & (2**64 - 1), 1 << 32, f["_leaf"]])
-            sums = [float(x[rng.integers(0, len(x), m)].sum()) for m in draws]
+            sums = drawn_sums(x, draws, rng)
             out = {k: [f[k]] for k in keys} | {"_sums": [sums]}
         return pa.table(out, schema=to_arrow_schema(schema))
 
