@@ -5,6 +5,7 @@ The driver loops over folds (a handful); every fit and prediction runs on the ex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -18,7 +19,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waveledger.functions import scalars as sc
-from waveledger.operators import kernel, knn, metrics, scaling, splits, voting
+from waveledger.operators import forest, kernel, knn, metrics, scaling, splits, voting
 from waveledger.sources.tables import staged
 
 Fit = Callable[[DataFrame], Model]
@@ -75,6 +76,14 @@ def out_of_fold(rows: DataFrame, folds: Sequence, fit: Callable[[DataFrame, int]
 def forest_oof(rows: DataFrame, folds: Sequence, key: str, label: str, n_classes: int,
                trees: int, seed: int = 42, depth: int = MAX_DEPTH, min_leaf: int = 1) -> DataFrame:
     """Classifier predictions of held-out windows; adds `probabilities` and `prediction`."""
+    numbered = _numbered(rows)
+    if numbered is not None:
+        votes = forest.out_of_fold_votes(numbered, folds, key, label, n_classes, trees,
+                                         _sqrt(numbered), depth, min_leaf, seed)
+        top = F.array_position("probabilities", F.array_max("probabilities")) - 1
+        return numbered.join(votes.withColumnRenamed("votes", "probabilities"), "_row").drop("_row").withColumn(
+            "prediction", top.cast("double"))
+
     def fit(train: DataFrame, position: int) -> Model:
         # Declare all classes, also those absent from this training set.
         weighted = _with_classes(training_weights(train, key, label), label, n_classes)
@@ -85,6 +94,20 @@ def forest_oof(rows: DataFrame, folds: Sequence, key: str, label: str, n_classes
     return out.withColumn("probabilities", vector_to_array("probability"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame | None:
+    """The rows, written with a number each; None if they are too many to be dealt whole to tasks."""
+    out = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "forest-rows")
+    return out if 0 < out.count() <= forest.MOST else None
+
+
+def _n_features(rows: DataFrame) -> int:
+    return len(rows.select("features").first().features)
+
+
+def _sqrt(rows: DataFrame) -> int:
+    return math.ceil(math.sqrt(_n_features(rows)))
+
+
 def _fit_kept(estimator, train: DataFrame) -> Model:
     """Fit on a kept copy: a fit passes over its input several times."""
     kept = train.persist()
@@ -102,6 +125,11 @@ def _with_classes(df: DataFrame, label: str, n_classes: int) -> DataFrame:
 
 def forest_regression_oof(rows: DataFrame, folds: Sequence, key: str, target: str,
                           trees: int, seed: int = 42, depth: int = MAX_DEPTH) -> DataFrame:
+    numbered = _numbered(rows)
+    if numbered is not None:
+        votes = forest.out_of_fold_votes(numbered, folds, key, target, 0, trees, _n_features(numbered), depth, 1, seed)
+        return numbered.join(votes.select("_row", F.get("votes", F.lit(0)).alias("prediction")), "_row").drop("_row")
+
     def fit(train: DataFrame, position: int) -> Model:
         return _fit_kept(forest_regressor(target, trees, seed + position + 1, depth),
                          training_weights(train, key).select("features", target, "weight"))
@@ -128,6 +156,16 @@ def feature_importance(model: Model, spark, features: Sequence[str], top: int =
         F.desc("importance"), "feature").limit(top)
 
 
+def forest_importance(rows: DataFrame, label: str, n_classes: int, features: Sequence[str], trees: int = 500,
+                      seed: int = 42, top: int = 8, depth: int = MAX_DEPTH) -> DataFrame:
+    """The `top` features of a forest over all rows, which count alike."""
+    if rows.count() > forest.MOST:
+        model = forest_classifier(label, trees, seed, depth=depth).fit(rows.withColumn("weight", F.lit(1.0)))
+        return feature_importance(model, rows.sparkSession, features, top)
+    found = forest.importance(rows, label, n_classes, features, trees, math.ceil(math.sqrt(len(features))), depth, seed=seed)
+    return found.orderBy(F.desc("importance"), "feature").limit(top)
+
+
 # Nearest neighbours and the kernel machine -------------------------------------------
 
 def knn_oof(rows: DataFrame, features: Sequence[str], k_folds: int, id_col: str, label: str,

@@ -163,6 +163,5 @@ def validation_sensitivity(spark, sf):
 
 @query("rf_importance")
 def rf_importance(spark, sf):
-    rows = models.assemble(_rows(spark, sf), BOTH).withColumn("weight", F.lit(1.0))
-    model = models.forest_classifier("label", trees=500).fit(rows)
-    return models.feature_importance(model, spark, BOTH, top=8)
+    rows = models.assemble(_rows(spark, sf), BOTH)
+    return models.forest_importance(rows, "label", N_CLASSES, BOTH, trees=500, top=8)
