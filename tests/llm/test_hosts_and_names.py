@@ -285,3 +285,15 @@ def test_nnls_says_when_it_stops_early():
         packing.nnls(a, b, 1)
     x = packing.nnls(a, b, 1000)
     assert (x >= 0).all() and (a.T @ (b - a @ x)).max() < 1e-5
+
+
+def test_the_search_sees_whole_articles(spark):
+    """A passage of another page's article is shared text of the host, whether or not it could be voted out there."""
+    passage = "the turbine was opened in spring and its bearings were measured by three crews in turn"
+    own = "what this page alone says about the weather on the coast in the second week of march"
+    rows = [(1, "http://h.example/a", f"<article><p>{passage}</p><p>an ending of its own for the first page</p></article>"),
+            (2, "http://h.example/b", f"<body><p>{passage}</p><p>{own}</p></body>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert got[1] == f"{passage} an ending of its own for the first page"
+    assert got[2].endswith(own) and "turbine was opened" not in got[2]

@@ -263,9 +263,8 @@ def _with_candidates(parsed: DataFrame) -> DataFrame:
 
 
 def _streams(marked: DataFrame) -> DataFrame:
-    """doc, tag, seed, text: what is searched of a page. Article blocks that cannot be voted out are left aside."""
-    candidates = F.transform("asked", lambda i: F.get("article", i))
-    return marked.select("doc", "tag", "seed", F.array_join(F.concat("open", candidates, "frame"), "\n").alias("text"))
+    """doc, tag, seed, text: the whole token stream of a page, block by block."""
+    return marked.select("doc", "tag", "seed", F.array_join(F.concat("open", "article", "frame"), "\n").alias("text"))
 
 
 def _covered(runs: list[tuple[int, int]], start: int, end: int) -> int:
@@ -273,18 +272,19 @@ def _covered(runs: list[tuple[int, int]], start: int, end: int) -> int:
 
 
 def voted_out(article: list[str], asked: list[int], runs: list[tuple[int, int]], at: int) -> set[int]:
-    """Of the candidates, which lie end to end from `at` on: those that repeated substrings cover.
+    """Of the candidates among the blocks, which lie end to end from `at` on: those that repeated substrings cover.
 
     An article that would lose more than half of its bytes is a copy of another: nothing goes.
     """
-    gone, lost = set(), 0
-    for i in asked:
-        size = len(article[i].encode())
-        if _covered(runs, at, at + size) >= COVER * size:
+    gone, lost, total, wanted = set(), 0, 0, set(asked)
+    for i, block in enumerate(article):
+        size = len(block.encode())
+        if i in wanted and _covered(runs, at, at + size) >= COVER * size:
             gone.add(i)
             lost += size
+        total += size
         at += size + 1
-    return gone if 2 * lost <= sum(len(a.encode()) for a in article) else set()
+    return gone if 2 * lost <= total else set()
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -346,9 +346,14 @@ def evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     marked = _with_candidates(staged(_parsed(pages, id_col, url_col, html_col), "pages"))
     spans = repeated_spans(_streams(marked).filter("text <> ''"), repeat, shared=True)
     order = Window.partitionBy("doc", "tag").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.greatest(F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(order), F.lit(0))), F.lit(0))
-    covered = spans.distinct().select(fresh.alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("covered_bytes"))
     frame = F.octet_length(F.array_join(F.concat("open", "frame"), "\n"))
+    # the article lies between the open blocks and the frame, with a byte after every block
+    ends = [F.aggregate(b, F.lit(0), lambda n, t: n + F.octet_length(t) + 1) for b in ("open", F.concat("open", "article"))]
+    places = marked.select("doc", "tag", ends[0].alias("first"), ends[1].alias("last")).distinct()
+    start = F.greatest("start", F.coalesce(F.max("end").over(order), F.lit(0)))
+    inside = F.greatest(F.least("end", "last") - F.greatest("fresh", "first"), F.lit(0))
+    fresh = spans.distinct().select("doc", "tag", "end", start.alias("fresh")).where("end > fresh").join(places, ["doc", "tag"])
+    covered = fresh.select((F.col("end") - F.col("fresh") - inside).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("covered_bytes"))
     totals = marked.agg(F.count(F.lit(1)).alias("pages"), F.sum(frame).alias("frame_bytes"), F.sum(F.size("article")).alias("article_blocks"),
                         F.sum(F.size("asked")).alias("asked_blocks"))
     one = F.lit(1).alias("one")
