@@ -64,3 +64,27 @@ def test_samples_wait_for_the_watermark():
     assert ended == [(0, 3)] and run == (4, 5, 40) and rest == [(5, 50, True)]
     assert quiet.advance(rest, run, 100) == ([], [], (4, 6, 50))
     assert quiet.advance([(9, 90, True)], (4, 6, 50), 100) == ([(4, 6)], [], (9, 10, 90))  # indexes are missing between
+
+
+def test_python_is_called_for_buckets_and_not_for_keys(spark, tmp_path):
+    """Many keys share a state: calls of a batch do not grow with the keys; keys of all kinds come back whole."""
+    rows = [(None if k == 7 else (1 << 60) + k, f"n{k % 3}", i, 1_000 * i, 0.0 if i % 5 else 3.0) for k in range(300) for i in range(12)]
+    end = [(-1, "end", 0, 10_000_000, 9.0), (-1, "end", 1, 20_000_000, 9.0)]
+    schema = "k bigint, name string, i bigint, ms bigint, value double"
+    source = str(tmp_path / "in")
+    for part in (rows, end[:1], end[1:]):
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_millis("ms")).coalesce(1).write.mode("append").parquet(source)
+    table = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_millis("ms"))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    found = quiet.quiet_runs(stream, ["k", "name"], 0.5, "10 seconds", 30, buckets=4)
+    q = found.writeStream.outputMode("append").format("memory").queryName("buckets").option(
+        "checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        q.processAllAvailable()
+        states = max(op.numRowsTotal for p in q.recentProgress for op in p.stateOperators)
+    finally:
+        q.stop()
+    got = spark.table("buckets")
+    assert got.dtypes[:2] == [("k", "bigint"), ("name", "string")] and states <= 4
+    want = quiet.quiet_runs(table, ["k", "name"], 0.5, "10 seconds", 30)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == 900

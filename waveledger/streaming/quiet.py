@@ -2,7 +2,8 @@
 
 Samples of a key wait in its state until the watermark has passed them, so what is held is bounded
 by the delay that the watermark allows. Then they are taken in order of their index and extend
-the open run or end it. An open run of a key that has gone silent is ended by a timeout.
+the open run or end it. An open run of a key that has gone silent is ended by a timeout. Keys share
+a state by their hash: a batch calls Python once for each such bucket, not once for each key.
 """
 
 from __future__ import annotations
@@ -10,13 +11,34 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from waveledger.functions import ordered
 
-#: Samples that wait (index, time in ms, quiet), the open run, and when its last sample was taken.
-STATE = "i array<bigint>, t array<bigint>, quiet array<boolean>, start bigint, stop bigint, seen bigint"
+#: Samples that wait (key, index, time in ms, quiet), and the open runs with the time of their last sample.
+STATE = ("key array<array<string>>, i array<bigint>, t array<bigint>, quiet array<boolean>, "
+         "open array<array<string>>, start array<bigint>, stop array<bigint>, seen array<bigint>")
+#: Buckets that share the keys.
+BUCKETS = 256
+
+
+def _text(name: str, kind: T.DataType) -> Column:
+    """A key as text that `_value` turns back."""
+    c = F.col(name)
+    if isinstance(kind, T.BinaryType):
+        return F.base64(c)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        c = F.when(c == 0, F.lit(0.0).cast(kind)).otherwise(c)  # zeros of both signs are one key
+    return c.cast("string")
+
+
+def _value(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.BinaryType):
+        return F.unbase64(c)
+    return F.timestamp_micros(c.cast("bigint")) if isinstance(kind, T.TimestampType) else c.cast(kind)
 
 
 def advance(waiting: list[tuple[int, int, bool]], run: tuple[int, int, int] | None, upto: int
@@ -39,43 +61,66 @@ def advance(waiting: list[tuple[int, int, bool]], run: tuple[int, int, int] | No
 
 
 def quiet_runs(samples: DataFrame, keys: Sequence[str], limit: float, watermark: str, idle_s: float,
-               least: int = 1, ts: str = "ts", index: str = "i", value: str = "value") -> DataFrame:
+               least: int = 1, ts: str = "ts", index: str = "i", value: str = "value",
+               buckets: int = BUCKETS) -> DataFrame:
     """keys, start, end: runs of `least` or more consecutive samples of at most `limit` in size.
 
     Works on tables, where all runs are found at once, and on streams: there samples may be late
     by `watermark`, and a run of a key without samples for `idle_s` seconds is ended. A null or
-    NaN value is not quiet. Each index of a key is expected once.
+    NaN value is not quiet. Each index of a key is expected once. Keys of a stream are values that
+    text can hold (no arrays or structs); `buckets` of them by hash share a state, which holds
+    their waiting samples, and have to stay the same for a checkpoint.
     """
     flag = F.coalesce((F.abs(F.col(value)) <= limit) & ~F.isnan(F.col(value).cast("double")), F.lit(False))
     if not samples.isStreaming:
         return ordered.runs(samples, keys, index, flag).where(F.col("end") - F.col("start") >= least)
+    kinds = [samples.schema[k].dataType for k in keys]
+    if any(isinstance(k, (T.ArrayType, T.StructType, T.MapType)) for k in kinds):
+        raise ValueError("keys of a stream have to be plain values")
+    named = F.array(*[_text(k, t) for k, t in zip(keys, kinds)])
     timed = samples.withWatermark(ts, watermark).select(
-        *keys, ts, F.col(index).cast("bigint").alias("_i"), F.unix_millis(ts).alias("_t"), flag.alias("_q"))
-    schema = T.StructType([*[samples.schema[k] for k in keys], T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+        named.alias("_key"), ts, F.col(index).cast("bigint").alias("_i"), F.unix_millis(ts).alias("_t"), flag.alias("_q"))
+    timed = timed.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)))
+    schema = T._parse_datatype_string("key array<string>, start bigint, end bigint")
     idle = int(idle_s * 1000)
 
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, run = [], None
+    def work(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting: dict[tuple, list] = {}
+        runs: dict[tuple, tuple[int, int, int]] = {}
+
+        def wait(keys, i, t, quiet) -> None:
+            for k, *sample in zip(keys, i, t, quiet):
+                waiting.setdefault(tuple(k), []).append(tuple(sample))
+
         if state.exists:
-            i, t, quiet, start, stop, seen = state.get
-            waiting = list(zip(i, t, quiet))
-            run = None if start is None or start < 0 else (start, stop, seen)
+            key, i, t, quiet, opened, start, stop, seen = state.get
+            wait(key, i, t, quiet)
+            runs = {tuple(k): (a, b, t) for k, a, b, t in zip(opened, start, stop, seen)}
         if not state.hasTimedOut:
             for b in batches:
-                waiting += list(zip(b["_i"].tolist(), b["_t"].tolist(), b["_q"].tolist()))
+                wait(b["_key"], b["_i"].tolist(), b["_t"].tolist(), b["_q"].tolist())
         now = state.getCurrentWatermarkMs()
-        ended, waiting, run = advance(waiting, run, now)
-        if run is not None and not waiting and run[2] + idle <= now:
-            ended, run = [*ended, run[:2]], None
-        if not waiting and run is None:
+        found, again = [], []
+        for key in waiting.keys() | runs.keys():
+            ended, rest, run = advance(waiting.get(key, []), runs.pop(key, None), now)
+            waiting[key] = rest
+            if run is not None and not rest and run[2] + idle <= now:
+                ended, run = [*ended, run[:2]], None
+            if run is not None:
+                runs[key] = run
+            # again when all that waits may be taken, or when the open run has been silent for long
+            if rest or run is not None:
+                again.append(max(w[1] for w in rest) if rest else run[2] + idle)
+            found += [(list(key), *r) for r in ended if r[1] - r[0] >= least]
+        if not again:
             state.remove()
         else:
-            held = run or (-1, -1, -1)
-            state.update(([w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting], *held))
-            # again when all that waits may be taken, or when the open run has been silent for long
-            state.setTimeoutTimestamp(max(now + 1, max(w[1] for w in waiting) if waiting else run[2] + idle))
-        ended = [r for r in ended if r[1] - r[0] >= least]
-        if ended:
-            yield pd.DataFrame([(*key, *r) for r in ended], columns=schema.names)
+            held = [(list(k), *w) for k, some in waiting.items() for w in some]
+            opened = [(list(k), *r) for k, r in runs.items()]
+            state.update((*([h[c] for h in held] for c in range(4)), *([r[c] for r in opened] for c in range(4))))
+            state.setTimeoutTimestamp(max(now + 1, min(again)))
+        if found:
+            yield pd.DataFrame(found, columns=schema.names)
 
-    return timed.groupBy(*keys).applyInPandasWithState(work, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    out = timed.groupBy("_bucket").applyInPandasWithState(work, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(*[_value(F.get("key", F.lit(n)), t).alias(k) for n, (k, t) in enumerate(zip(keys, kinds))], "start", "end")
