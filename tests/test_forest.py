@@ -94,3 +94,10 @@ def test_labels_out_of_range_are_refused(spark):
     df = spark.createDataFrame([("a", 0.0, 0, 1.0), ("b", 5.0, 1, 2.0)], "g string, label double, fold int, x double")
     with pytest.raises(Exception, match="labels are not 0 to 1"):
         models.forest_oof(models.assemble(df, ["x"]), [0, 1], "g", "label", 2, trees=4).collect()
+
+
+def test_a_small_forest_reads_the_rows_once_for_each_fold(spark):
+    rows = models.assemble(spark.range(40).selectExpr("id AS _row", "id % 4 AS g", "double(id % 2) AS label", "double(id) AS a"), ["a"])
+    held = [F.struct(F.lit(p).alias("part"), (F.col("g") == p).alias("asked")) for p in range(4)]
+    plain, blocks = forest._plain(rows, "g", "label", held, 10)
+    assert blocks == 1 and plain.count() == 4 * 40

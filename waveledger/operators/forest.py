@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Rows up to which trees are dealt whole to tasks.
 MOST = 2_000_000
-#: Trees of a block at least, and blocks of a forest at most.
-TREES, BLOCKS = 4, 16
+#: Trees of a block at least, as each block reads the fold's rows anew, and blocks of a forest at most.
+TREES, BLOCKS = 10, 16
 #: Ranges of a feature that splits lie between, and (tree, row) pairs that are split together.
 BINS, PAIRS = 32, 1 << 16
 
