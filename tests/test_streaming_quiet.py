@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,26 @@ def test_python_is_called_for_buckets_and_not_for_keys(spark, tmp_path):
     assert got.dtypes[:2] == [("k", "bigint"), ("name", "string")] and states <= 4
     want = quiet.quiet_runs(table, ["k", "name"], 0.5, "10 seconds", 30)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == 900
+
+
+def test_all_keys_of_a_bucket_advance_as_each_alone():
+    rng = np.random.default_rng(5)
+    for case in range(300):
+        n_keys, upto, idle = int(rng.integers(1, 5)), 60, 15
+        n = int(rng.integers(0, 30))
+        # repeated and late indices in half of the cases
+        i = rng.integers(0, 12, n) if case % 2 else rng.permutation(40)[:n]
+        waiting = np.stack([rng.integers(0, n_keys, n), i, rng.integers(0, 80, n), rng.integers(0, 2, n)], 1).astype(np.int64)
+        runs = np.array([(k, 2, int(rng.integers(3, 8)), int(rng.integers(0, 60))) for k in range(n_keys) if rng.random() < 0.5], np.int64).reshape(-1, 4)
+        want_ended, want_rest, want_runs = [], [], []
+        for k in range(n_keys):
+            mine = [(a, b, bool(q)) for a, b, q in waiting[waiting[:, 0] == k, 1:].tolist()]
+            opened = [tuple(r) for r in runs[runs[:, 0] == k, 1:].tolist()]
+            ended, rest, run = quiet.advance(mine, opened[0] if opened else None, upto)
+            if run is not None and not rest and run[2] + idle <= upto:
+                ended, run = [*ended, run[:2]], None
+            want_ended += [(k, *r) for r in ended]
+            want_rest += [(k, *w) for w in rest]
+            want_runs += [(k, *run)] if run is not None else []
+        got = [sorted(map(tuple, x.tolist())) for x in quiet.advance_all(waiting, runs, upto, idle)]
+        assert got == [sorted(want_ended), sorted(want_rest), sorted(want_runs)]

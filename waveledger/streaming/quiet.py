@@ -10,15 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from waveledger.functions import ordered
 
-#: Samples that wait (key, index, time in ms, quiet), and the open runs with the time of their last sample.
-STATE = ("key array<array<string>>, i array<bigint>, t array<bigint>, quiet array<boolean>, "
-         "open array<array<string>>, start array<bigint>, stop array<bigint>, seen array<bigint>")
+#: Keys of a bucket; its waiting samples (rows of key number, index, time in ms, quiet) and open runs (rows of key
+#: number, start, stop, time of the last sample) as bytes of whole numbers, so that no sample is an object of its own.
+STATE = "key array<string>, waiting binary, open binary"
 #: Buckets that share the keys.
 BUCKETS = 256
 
@@ -60,6 +61,46 @@ def advance(waiting: list[tuple[int, int, bool]], run: tuple[int, int, int] | No
     return ended, [w for w in waiting if w[1] > upto], run
 
 
+def advance_all(waiting: np.ndarray, runs: np.ndarray, upto: int, idle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`advance` for the rows of all keys of a bucket at once: (ended runs: key, start, stop; samples that wait; open runs).
+
+    Open runs of keys without waiting samples end when they have been silent for `idle` ms.
+    """
+    late = waiting[:, 2] > upto
+    rest, done = waiting[late], waiting[~late]
+    done = done[np.lexsort((done[:, 3], done[:, 2], done[:, 1], done[:, 0]))]
+    # an open run goes ahead of its key's samples as its last sample
+    every = np.concatenate([done, np.stack([runs[:, 0], runs[:, 2] - 1, runs[:, 3], np.ones(len(runs), np.int64)], 1)])
+    start = np.concatenate([done[:, 1], runs[:, 1]])
+    ahead = np.arange(len(every)) < len(done)
+    order = np.lexsort((ahead, every[:, 0]))
+    every, start = every[order], start[order]
+    same = every[1:, 0] == every[:-1, 0]
+    # repeated indices and samples before the end of the open run are left to the plain form
+    odd = np.unique(every[1:][same & (every[1:, 1] <= every[:-1, 1]), 0])
+    ended, still = [], []
+    if len(odd):
+        for key in odd.tolist():
+            mine = [tuple(w) for w in done[done[:, 0] == key, 1:].tolist()]
+            opened = runs[runs[:, 0] == key, 1:].tolist()
+            found, _, run = advance(mine, tuple(opened[0]) if opened else None, upto)
+            ended += [(key, *r) for r in found]
+            still += [(key, *run)] if run is not None else []
+        plain = ~np.isin(every[:, 0], odd)
+        every, start = every[plain], start[plain]
+    last_of_key = np.append(every[1:, 0] != every[:-1, 0], True)[:len(every)]
+    quiet = np.flatnonzero(every[:, 3] == 1)
+    held = every[quiet]
+    first = np.flatnonzero(np.append(True, (held[1:, 0] != held[:-1, 0]) | (held[1:, 1] != held[:-1, 1] + 1))[:len(held)])
+    end = np.append(first[1:], len(held))[:len(first)] - 1
+    found = np.stack([held[first, 0], start[quiet[first]], held[end, 1] + 1, held[end, 2]], 1)
+    goes_on = last_of_key[quiet[end]]
+    ended = np.concatenate([np.array(ended, np.int64).reshape(-1, 3), found[~goes_on, :3]])
+    still = np.concatenate([np.array(still, np.int64).reshape(-1, 4), found[goes_on]])
+    silent = ~np.isin(still[:, 0], rest[:, 0]) & (still[:, 3] + idle <= upto)
+    return np.concatenate([ended, still[silent, :3]]), rest, still[~silent]
+
+
 def quiet_runs(samples: DataFrame, keys: Sequence[str], limit: float, watermark: str, idle_s: float,
                least: int = 1, ts: str = "ts", index: str = "i", value: str = "value",
                buckets: int = BUCKETS) -> DataFrame:
@@ -77,50 +118,45 @@ def quiet_runs(samples: DataFrame, keys: Sequence[str], limit: float, watermark:
     kinds = [samples.schema[k].dataType for k in keys]
     if any(isinstance(k, (T.ArrayType, T.StructType, T.MapType)) for k in kinds):
         raise ValueError("keys of a stream have to be plain values")
-    named = F.array(*[_text(k, t) for k, t in zip(keys, kinds)])
+    # one text for all columns of a key
+    named = F.to_json(F.array(*[_text(k, t) for k, t in zip(keys, kinds)]))
     timed = samples.withWatermark(ts, watermark).select(
         named.alias("_key"), ts, F.col(index).cast("bigint").alias("_i"), F.unix_millis(ts).alias("_t"), flag.alias("_q"))
     timed = timed.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)))
-    schema = T._parse_datatype_string("key array<string>, start bigint, end bigint")
+    schema = T._parse_datatype_string("key string, start bigint, end bigint")
     idle = int(idle_s * 1000)
 
     def work(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting: dict[tuple, list] = {}
-        runs: dict[tuple, tuple[int, int, int]] = {}
-
-        def wait(keys, i, t, quiet) -> None:
-            for k, *sample in zip(keys, i, t, quiet):
-                waiting.setdefault(tuple(k), []).append(tuple(sample))
-
+        names = pd.Index([], dtype=object)
+        waiting, runs = np.zeros((0, 4), np.int64), np.zeros((0, 4), np.int64)
         if state.exists:
-            key, i, t, quiet, opened, start, stop, seen = state.get
-            wait(key, i, t, quiet)
-            runs = {tuple(k): (a, b, t) for k, a, b, t in zip(opened, start, stop, seen)}
+            key, *held = state.get
+            names = pd.Index(list(key), dtype=object)
+            waiting, runs = (np.frombuffer(bytes(h), np.int64).reshape(-1, 4) for h in held)
         if not state.hasTimedOut:
-            for b in batches:
-                wait(b["_key"], b["_i"].tolist(), b["_t"].tolist(), b["_q"].tolist())
+            some = pd.concat(list(batches), ignore_index=True)
+            some = some[some["_i"].notna() & some["_t"].notna()]  # what has no place or no time is in no run
+            number, new = pd.factorize(some["_key"])
+            names = names.append(pd.Index(new, dtype=object).difference(names, sort=False))
+            number = names.get_indexer(new)[number]
+            waiting = np.concatenate([waiting, np.stack([number, *(some[c].to_numpy(np.int64) for c in ("_i", "_t", "_q"))], 1)])
         now = state.getCurrentWatermarkMs()
-        found, again = [], []
-        for key in waiting.keys() | runs.keys():
-            ended, rest, run = advance(waiting.get(key, []), runs.pop(key, None), now)
-            waiting[key] = rest
-            if run is not None and not rest and run[2] + idle <= now:
-                ended, run = [*ended, run[:2]], None
-            if run is not None:
-                runs[key] = run
-            # again when all that waits may be taken, or when the open run has been silent for long
-            if rest or run is not None:
-                again.append(max(w[1] for w in rest) if rest else run[2] + idle)
-            found += [(list(key), *r) for r in ended if r[1] - r[0] >= least]
-        if not again:
+        ended, waiting, runs = advance_all(waiting, runs, now, idle)
+        if not len(waiting) and not len(runs):
             state.remove()
         else:
-            held = [(list(k), *w) for k, some in waiting.items() for w in some]
-            opened = [(list(k), *r) for k, r in runs.items()]
-            state.update((*([h[c] for h in held] for c in range(4)), *([r[c] for r in opened] for c in range(4))))
-            state.setTimeoutTimestamp(max(now + 1, min(again)))
-        if found:
-            yield pd.DataFrame(found, columns=schema.names)
+            # again when all that waits of a key may be taken, or when an open run has been silent for long
+            last = np.full(len(names), np.iinfo(np.int64).min)
+            np.maximum.at(last, waiting[:, 0], waiting[:, 2])
+            lone = runs[last[runs[:, 0]] == np.iinfo(np.int64).min]
+            again = min(last[waiting[:, 0]].min(initial=np.iinfo(np.int64).max), (lone[:, 3] + idle).min(initial=np.iinfo(np.int64).max))
+            kept = np.union1d(waiting[:, 0], runs[:, 0])
+            state.update((names[kept].tolist(), *(np.column_stack([np.searchsorted(kept, x[:, 0]), x[:, 1:]]).tobytes() for x in (waiting, runs))))
+            state.setTimeoutTimestamp(max(now + 1, int(again)))
+        ended = ended[ended[:, 2] - ended[:, 1] >= least]
+        if len(ended):
+            yield pd.DataFrame({"key": names[ended[:, 0]], "start": ended[:, 1], "end": ended[:, 2]})
 
     out = timed.groupBy("_bucket").applyInPandasWithState(work, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    out = out.withColumn("key", F.from_json("key", "array<string>"))
     return out.select(*[_value(F.get("key", F.lit(n)), t).alias(k) for n, (k, t) in enumerate(zip(keys, kinds))], "start", "end")
