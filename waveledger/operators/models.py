@@ -169,7 +169,7 @@ def forest_importance(rows: DataFrame, label: str, n_classes: int, features: Seq
 # Nearest neighbours and the kernel machine -------------------------------------------
 
 def knn_oof(rows: DataFrame, features: Sequence[str], k_folds: int, id_col: str, label: str,
-            k: int = 5, pivots: int | None = None, block_rows: int = 4096) -> DataFrame:
+            k: int = 5, pivots: int | None = None, block_rows: int = knn.BLOCK_ROWS) -> DataFrame:
     """k-nearest-neighbour label of every row, from the rows outside its fold.
 
     Features are standardised per fold with training statistics.  `rows` should be a
