@@ -78,3 +78,17 @@ def test_distances_that_single_precision_cannot_tell():
 def test_blocks_of_a_large_table_are_sent_a_few_times():
     """492,000 training and 123,000 test rows of a fold were sent 8 and 30 times."""
     assert knn.block_count(492_000, knn.BLOCK_ROWS) <= 8 and knn.block_count(123_000, knn.BLOCK_ROWS) <= 4
+
+
+def test_cells_are_few_unless_the_rows_are_many(spark):
+    """As many cells as the square root of the rows: in nine dimensions each test row visited nearly all, and each visit gave k rows."""
+    assert [knn.default_pivots(n) for n in (1, 500, 34_188, 10**9)] == [1, 1, 9, knn.MOST_PIVOTS]
+    rng = np.random.default_rng(11)
+    base, points = rng.normal(size=(5_000, 9)), rng.normal(size=(60, 9))
+    train, test = (spark.createDataFrame([(0, i, v.tolist(), "a") for i, v in enumerate(x)], "fold bigint, id bigint, v array<double>, label string")
+                   for x in (base, points))
+    got = {}
+    for r in knn.nearest(train, test, 5, ["fold"], "id", "v", "label").collect():
+        got.setdefault(r.test_id, {})[r["rank"] - 1] = r.train_id
+    best, _ = brute(points, base, 5)
+    assert all([got[i][p] for p in range(5)] == best[i].tolist() for i in range(60))

@@ -22,6 +22,8 @@ from waveledger.sources.tables import staged
 
 #: Pivots of a key at most.
 MOST_PIVOTS = 2_048
+#: Rows of a cell, about, if the caller names no number of pivots.
+CELL_ROWS = 4_096
 #: Dimensions up to which cells are of use.
 CELL_DIMENSIONS = 16
 #: Rows of a block of either side: of 64 dimensions they are 8 MB, and each side is sent once for every block of the other.
@@ -224,6 +226,11 @@ def block_count(n: int, block_rows: int) -> int:
     return min(-(-n // block_rows), max(4, -(-n // (WIDER * block_rows))))
 
 
+def default_pivots(n: int) -> int:
+    """Every visit of a cell sends a row and gives k, so cells hold as many rows as one product compares at ease."""
+    return min(MOST_PIVOTS, math.isqrt(n) + 1, -(-n // CELL_ROWS))
+
+
 def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col: str,
             vector: str, label: str, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest training rows of every test row within `keys` (Euclidean; ties by id).
@@ -234,8 +241,8 @@ def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col:
     both sides are hashed into blocks of about `block_rows` (WIDER times that in large cells), one task compares one block
     pair and keeps k rows per test row, so a cell of any size is split.  The driver sees
     the pivots and one summary row per cell (`pivots` per key), never the data.  By default
-    there are as many pivots as the square root of the largest key's rows, so that choosing
-    cells and comparing rows cost about the same; at most MOST_PIVOTS, which bounds the driver.
+    there is a pivot for every CELL_ROWS rows of the largest key, but no more than the square root of
+    these; at most MOST_PIVOTS, which bounds the driver.
     The result is exact at any number. In many dimensions every pair of blocks is met, though few
     pairs of rows are measured in full, so this is meant for training sets of a size the caller bounds.
 
@@ -256,7 +263,7 @@ def nearest(train: DataFrame, test: DataFrame, k: int, keys: list[str], id_col:
     largest, dims = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).agg(F.max("n"), F.max("dims")).first()
     dims = dims or 1
     if pivots is None:
-        pivots = min(MOST_PIVOTS, math.isqrt(largest or 1) + 1)
+        pivots = default_pivots(largest or 1)
     chosen: dict[tuple, list] = {}
     for r in top_k(left.select(*keys, "id", "v"), keys, [portable_hash("id"), "id"],
                    pivots if dims <= CELL_DIMENSIONS else min(MOST_PIVOTS, max(pivots, 4 * dims))).collect():
